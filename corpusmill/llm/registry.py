@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, secrets, sharding, winnowing
+from corpusmill.llm import classlm, langid, mixing, secrets, sharding, tiling, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(_documents(spark, sf_dir))
 
@@ -20,8 +24,12 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hypergeometric_shards": _over_documents(sharding.sharded_documents),
+        "op2_toxicity_lexicon": lambda spark, sf_dir: toxicity.toxic_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels")),
         "op4_secret_ledger": _over_documents(secrets.secret_documents),
+        "op6_language_filters": _over_documents(langid.identified_documents),
+        "op7_class_model": _over_documents(classlm.scored_documents),
         "op8_source_mixing": _over_documents(mixing.mixed_documents),
+        "op9_string_tiling": lambda spark, sf_dir: tiling.contaminated_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")),
         "op10_winnowing": _over_documents(winnowing.fingerprints),
     }
 
