@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import classlm, jaccard, langid, mixing, secrets, sharding, tiling, toxicity, winnowing
+from corpusmill.llm import classlm, jaccard, langid, mixing, secrets, sharding, suffixes, tiling, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity_lexicon": lambda spark, sf_dir: toxicity.toxic_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels")),
         "op3_jaccard_join": _over_documents(jaccard.joined_documents),
         "op4_secret_ledger": _over_documents(secrets.secret_documents),
+        "op5_suffix_dedup": _over_documents(suffixes.deduplicated_documents),
         "op6_language_filters": _over_documents(langid.identified_documents),
         "op7_class_model": _over_documents(classlm.scored_documents),
         "op8_source_mixing": _over_documents(mixing.mixed_documents),
