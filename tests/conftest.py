@@ -10,4 +10,4 @@ from corpusmill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", 4, spark__sql__adaptive__coalescePartitions__enabled="true")
+    return local_session("2", 4, spark__sql__adaptive__coalescePartitions__enabled="true")
