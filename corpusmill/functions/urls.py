@@ -42,17 +42,20 @@ def hostname(url: Column) -> Column:
 
 
 def adapter(url: Column) -> Column:
-    """Which adapter extracts a URL; the first rule that fits."""
-    host = hostname(url)
-    return (
-        F.when(host.isNull(), F.lit("error"))
-        .when(host.isin(*SHORTENERS), F.lit("shortener"))
-        .when(host == "vm.tiktok.com", F.lit("vm_tiktok"))
-        .when((host == "tiktok.com") | host.endswith(".tiktok.com"), F.lit("tiktok"))
-        .when(host.isin(*X_HOSTS), F.lit("x"))
-        .when(host.isin(*YOUTUBE_HOSTS), F.lit("youtube"))
-        .otherwise(F.lit("generic"))
-    )
+    """Which adapter extracts a URL; the first rule that fits. The host is taken once, not for every rule."""
+
+    def by_host(host: Column) -> Column:
+        return (
+            F.when(host.isNull(), F.lit("error"))
+            .when(host.isin(*SHORTENERS), F.lit("shortener"))
+            .when(host == "vm.tiktok.com", F.lit("vm_tiktok"))
+            .when((host == "tiktok.com") | host.endswith(".tiktok.com"), F.lit("tiktok"))
+            .when(host.isin(*X_HOSTS), F.lit("x"))
+            .when(host.isin(*YOUTUBE_HOSTS), F.lit("youtube"))
+            .otherwise(F.lit("generic"))
+        )
+
+    return F.element_at(F.transform(F.array(hostname(url)), by_host), 1)
 
 
 def quoted(text: Column) -> Column:
@@ -70,13 +73,15 @@ def without_query(url: Column) -> Column:
 
 def request_url(url: Column) -> Column:
     """What is actually fetched for a URL: oEmbed endpoints, the tweet API's host, or the URL itself."""
-    kind = adapter(url)
-    return (
-        F.when(kind == "tiktok", F.concat(F.lit("https://www.tiktok.com/oembed?url="), quoted(url)))
-        .when(kind == "youtube", F.concat(F.lit("https://www.youtube.com/oembed?url="), quoted(url), F.lit("&format=json")))
-        .when(kind == "x", F.regexp_replace(url, "^([a-zA-Z]+://)[^/?#]*", "$1api.fxtwitter.com"))
-        .otherwise(url)
-    )
+    def by_adapter(kind: Column) -> Column:
+        return (
+            F.when(kind == "tiktok", F.concat(F.lit("https://www.tiktok.com/oembed?url="), quoted(url)))
+            .when(kind == "youtube", F.concat(F.lit("https://www.youtube.com/oembed?url="), quoted(url), F.lit("&format=json")))
+            .when(kind == "x", F.regexp_replace(url, "^([a-zA-Z]+://)[^/?#]*", "$1api.fxtwitter.com"))
+            .otherwise(url)
+        )
+
+    return F.element_at(F.transform(F.array(adapter(url)), by_adapter), 1)
 
 
 def resolved(urls: DataFrame, redirects: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
