@@ -19,7 +19,7 @@ def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataF
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rows = files.select(F.expr("''").alias("_"), path.alias("path"), F.col("content").alias("raw"))
+    rows = files.select(path.alias("path"), F.col("content").alias("raw"))
     relative = F.substring(F.col("path"), len(base) + 2, 1_000_000)
     rows = rows.select(relative.alias("source_ref"), "raw")
     if exclude:
