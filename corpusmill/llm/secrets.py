@@ -12,8 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.columns import let
-
 
 @dataclass(frozen=True)
 class Rule:
