@@ -32,18 +32,28 @@ SKETCH_SLOTS, SKETCH_PART = 1 << 21, 1 << 16
 SMALL_REGION, PIVOT_ROUNDS = 24, 4
 #: Up to so many document ids are broadcast (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 2_000_000
+#: Up to so many shared regions are broadcast, beyond it tokens and regions are joined by a shuffle.
+BROADCAST_REGIONS = 200_000
+#: Rows of an Arrow batch that a task works on at a time, so that a batch of sets is never held whole.
+SLICE = 256
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64)
 
 
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE]
+
+
 def sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How many documents have a shingle in each slot, over the whole table; of fixed size at any scale."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SKETCH_SLOTS, dtype=np.uint16)
-        for batch in batches:
+        for batch in _sliced(batches):
             for words in word_hashes(batch["text"].tolist()):
                 slots = np.unique(_slot(shingle_set(words, width)))
                 total[slots] += total[slots] < 65535
@@ -75,7 +85,7 @@ def signatures(docs: DataFrame, order: np.ndarray, width: int = WIDTH, similar:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, marks, rare = [], [], []
             for words in word_hashes(batch["text"].tolist()):
                 found = shingle_set(words, width)
@@ -98,30 +108,56 @@ def _mark(found: np.ndarray) -> bytes:
     return ((sums[0] * 0x9E3779B97F4A7C15 + len(found)) % (1 << 64)).to_bytes(8, "little") + ((sums[1] + sums[2]) % (1 << 64)).to_bytes(8, "little")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``row, shingles`` for the rows of ``wanted`` (``row, doc_id, mark``), from their texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+class _Sets:
+    """Shingle sets of the rows that pairs need, made from their texts when they are first needed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(w, width) for w in word_hashes(batch["text"].tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": [_mark(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
+    def __init__(self, docs: DataFrame, table: DataFrame, width: int) -> None:
+        self.docs, self.table, self.width = docs, table.select("row", "doc_id", "mark"), width
+        self.single = table.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+        self.parts: list[DataFrame] = []
+
+    def _made(self, rows: DataFrame) -> DataFrame:
+        kind, width = self.docs.schema["doc_id"].dataType.simpleString(), self.width
+        few = rows.count() <= BROADCAST_IDS // 4
+        wanted = self.table.join(F.broadcast(rows) if few else rows, "row", "left_semi")
+        wanted = F.broadcast(wanted) if few else wanted
+        texts = self.docs.select("doc_id", "text").join(wanted.select("doc_id").distinct() if not few else F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in _sliced(batches):
+                found = [shingle_set(w, width) for w in word_hashes(batch["text"].tolist())]
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": [_mark(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
+
+        sets = texts.mapInPandas(run, f"doc_id {kind}, mark binary, shingles array<bigint>").join(wanted, ["doc_id", "mark"]).select("row", "shingles")
+        return sets if self.single else sets.dropDuplicates(["row"])
 
-    sets = texts.mapInPandas(run, f"doc_id {kind}, mark binary, shingles array<bigint>")
-    return sets.join(wanted, ["doc_id", "mark"]).select("row", "shingles").dropDuplicates(["row"])
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """``row, shingles`` of the rows of ``pairs`` only, so that no other set is shuffled to compare them."""
+        rows = written_table(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
+        new = rows
+        for part in self.parts:
+            new = new.join(part.select("row"), "row", "left_anti")
+        if not new.isEmpty():
+            self.parts.append(written_table(self._made(written_table(new))))
+        every = self.parts[0]
+        for part in self.parts[1:]:
+            every = every.unionByName(part)
+        return every.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "row", "left_semi")
 
 
 def _scattered(row: str) -> Column:
     return F.struct(F.xxhash64(row).alias("h"), F.col(row).alias("row"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """``a, b, far, linked`` for pairs of rows; ``far`` is the Jaccard distance."""
-    with_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a")
-    with_b = with_a.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
+def _compared(pairs: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
+    """``a, b, far, linked`` for the pairs whose sizes allow a link; ``far`` is the Jaccard distance."""
+    sized = pairs.join(sizes.select(F.col("row").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("row").alias("b"), F.col("n").alias("n_b")), "b")
+    near = written_table(sized.where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")).select("a", "b"))
+    if near.isEmpty():
+        return near.withColumn("far", F.lit(0.0)).withColumn("linked", F.lit(False))
+    held = sets.of(near)
+    with_a = near.join(held.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a")
+    with_b = with_a.join(held.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
     counted = with_b.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
     return counted.select("a", "b", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("far"), (100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).alias("linked"))
 
@@ -135,18 +171,18 @@ def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     """
     rows = docs.select("doc_id", "text")
     table = written_table(signatures(rows, sketch(rows, width), width, similar).withColumn("row", F.monotonically_increasing_id()))
-    classes = table.where("n > 0").groupBy("mark").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
-    classes = written_table(classes)
-    heads = table.join(classes.select("row"), "row", "left_semi")
+    classes = written_table(table.where("n > 0").groupBy("mark").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n")))
+    # copies take no further part; their rows are named, not moved, if they are few enough
+    copies = written_table(table.select("row").join(classes.select("row"), "row", "left_anti"))
+    heads = table.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "row", "left_anti")
 
     tokens = heads.select("row", F.explode("rare").alias("region"))
     shared = tokens.groupBy("region").agg(F.count("*").alias("members"), F.min(_scattered("row"))["row"].alias("pivot")).where("members > 1")
-    regions = written_table(tokens.join(shared, "region").select("region", "row", "pivot"))
+    shared = written_table(shared.select("region", "pivot"))
+    regions = written_table(tokens.join(F.broadcast(shared) if shared.count() <= BROADCAST_REGIONS else shared, "region").select("region", "row", "pivot"))
     edges = None
     if not regions.isEmpty():
-        wanted = heads.join(regions.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "mark")
-        sets = written_table(_sets(rows, wanted, width))
-        edges = _links(regions, sets, similar)
+        edges = _links(regions, _Sets(rows, table, width), classes.select("row", "n"), similar)
     ids = classes.select("mark", "row", "least")
     if edges is None:
         named = ids.select("mark", F.col("least").alias("component_id"))
@@ -159,30 +195,32 @@ def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(regions: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def _links(regions: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
     """Linked pairs ``a, b`` that connect all classes which links connect."""
     reach = 1 - similar / 100 + 1e-9
     edges = None
     for turn in range(PIVOT_ROUNDS):
         pairs = regions.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-        distances = written_table(_compared(pairs, sets, similar))
+        distances = written_table(_compared(pairs, sets, sizes, similar))
         found = distances.where("linked").select("a", "b")
         edges = written_table(found if edges is None else edges.unionByName(found))
         roots = components(edges).withColumnRenamed("node", "row") if not edges.isEmpty() else None
 
         # members with their distance to the pivot and their component; the pivot itself is done
-        members = regions.where("row <> pivot").join(distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far"), ["row", "pivot"])
+        # (a distance that sizes alone put beyond the threshold is unknown: null, outside the cell, in any window)
+        members = regions.where("row <> pivot").join(distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far"), ["row", "pivot"], "left")
         rooted = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")) if roots is not None else members.withColumn("root", F.col("row"))
         # replicas (in the pivot's cell) matter only to members outside the cell that the window reaches
-        cell = rooted.groupBy("region").agg(F.min(F.when(F.col("far") > reach, F.col("far"))).alias("nearest"))
-        window = rooted.join(cell, "region").where(F.col("nearest").isNotNull() & ((F.col("far") > reach) | (F.col("far") >= F.col("nearest") - reach)))
-        open_regions = window.groupBy("region").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.when(F.col("far") > reach, _scattered("row")))["row"].alias("next")).where("r0 <> r1")
+        outside = F.coalesce(F.col("far") > reach, F.lit(True))
+        cell = rooted.groupBy("region").agg(F.min(F.when(outside, F.coalesce("far", F.lit(0.0)))).alias("nearest"))
+        window = rooted.join(cell, "region").where(F.col("nearest").isNotNull() & (outside | (F.col("far") >= F.col("nearest") - reach)))
+        open_regions = window.groupBy("region").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.when(outside, _scattered("row")))["row"].alias("next")).where("r0 <> r1")
         left = written_table(window.select("region", "row", "far", "root").join(open_regions.select("region", "members", "next"), "region"))
         small = left.where((F.col("members") <= SMALL_REGION) | F.lit(turn == PIVOT_ROUNDS - 1))
         one = small.select("region", F.col("row").alias("a"), F.col("far").alias("far_a"), F.col("root").alias("root_a"))
         two = small.select("region", F.col("row").alias("b"), F.col("far").alias("far_b"), F.col("root").alias("root_b"))
-        close = one.join(two, "region").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach))
-        near = _compared(close.select("a", "b").distinct(), sets, similar).where("linked").select("a", "b")
+        close = one.join(two, "region").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= reach, F.lit(True)))
+        near = _compared(close.select("a", "b").distinct(), sets, sizes, similar).where("linked").select("a", "b")
         edges = written_table(edges.unionByName(near))
         regions = left.where(F.col("members") > SMALL_REGION).select("region", "row", F.col("next").alias("pivot"))
         if turn == PIVOT_ROUNDS - 1 or regions.isEmpty():

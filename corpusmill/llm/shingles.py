@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that one vectorised step takes at most; longer texts go through it in pieces cut at white space.
-STEP = 1 << 20
+STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _space = np.zeros(256, dtype=bool)

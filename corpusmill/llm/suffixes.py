@@ -2,14 +2,13 @@
 
 A string of ``LENGTH`` bytes is repeated if it also starts anywhere else, in the same document or another.
 Texts are spread over tasks by content: each window of ``LENGTH`` bytes belongs to its anchor, the k-gram
-with the least hash inside it, so equal windows always meet under one anchor. Neighbouring windows of one
-anchor form a span; equal spans are counted and kept once. Where different spans share an anchor, a task
-builds the transform of these spans and expands intervals breadth-first: step by step all intervals of
-suffixes with a common prefix of l bytes are extended backwards by one byte to l + 1, until the threshold;
-suffixes that still share an interval start a repeated string. An anchor with more spans than one task
-should hold is split by window offset: half as many windows to a span, and the bytes that these have in
-common are added to its key, so the pieces of one key get smaller until single windows are left, which
-counting alone decides.
+with the least hash inside it, so equal windows always meet under one anchor, at one offset. Neighbouring
+windows of one anchor form a span; equal spans are counted and kept once. Where different spans share an
+anchor, a task sorts the suffixes at the anchors into a sparse Burrows-Wheeler transform and expands their
+intervals breadth-first: step by step every interval of suffixes is extended backwards by one byte, until
+common prefixes reach the threshold. An anchor with more spans than one task should hold is split by window
+offset: half as many windows to a span, and the bytes that these have in common are added to its key, so
+the pieces of one key get smaller until single windows are left, which counting alone decides.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from corpusmill.session import written_table
 
 LENGTH = 200
 #: Bytes of an anchor k-gram, of one vectorised step over a text, of one task's transform, and spans of a key in one task.
-GRAM, STEP, TASK_BYTES, MOST_SPANS = 24, 1 << 20, 1 << 20, 1024
+GRAM, STEP, TASK_BYTES, MOST_SPANS = 24, 1 << 20, 4 << 20, 20_000
 #: Up to so many document ids are broadcast (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -91,63 +90,86 @@ def spans_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (anchors, spans, firsts, lasts, leads))
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or more, by doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    n, done = len(rank), 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[:-done] = rank[done:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], (np.diff(sorted_key) != 0).astype(np.int64)]))
-        rank, done = new, 2 * done
-        if done >= depth or done >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def repeated_starts(bodies: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string, which of its windows of ``length`` bytes occur in another place of the strings.
-
-    Interval expansion: at step l, ``closed[r]`` says that the suffixes of rank r - 1 and r share under l
-    symbols, so runs without a closed rank are the intervals of common prefixes of length l. Extending
-    an interval backwards by the symbol in front of its suffixes takes ranks through the last-to-first
-    mapping; two of its images that are neighbours stay in one interval of length l + 1.
+def _shared_prefix(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of rows of two byte matrices, at most ``most``."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
+class _RangeMinimum:
+    """Minimum of any range of an array, from a table of ranges of powers of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+        width = 1
+        while 2 * width <= len(values):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[:-width], last[width:]))
+            width *= 2
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Minimum over start <= i < stop; the ranges must not be empty."""
+        out = np.empty(len(start), dtype=self.levels[0].dtype)
+        level = np.frexp((stop - start).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            of = level == k
+            out[of] = np.minimum(self.levels[k][start[of]], self.levels[k][stop[of] - (1 << k)])
+        return out
+
+
+def repeated_starts(keys: list[int], leads: list[int], bodies: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """Which windows of ``length`` bytes of spans occur in another span of their key.
+
+    Returns a matrix: row i, column j stands for the window of span i that starts j bytes in front of its
+    anchor (``leads[i]`` bytes into the span). The transform is sparse: it holds the suffixes at the anchors
+    only, sorted by key and text. Its column of bytes in front of the suffixes drives the expansion: at each
+    step all intervals are extended backwards by one byte, breadth-first, so the common prefix of an
+    interval is one byte longer to the left; what its neighbours share to the right is known from the
+    sorting, and shrinks to a range minimum when an interval splits. A window is repeated when both
+    parts reach the threshold together. The work is one step for each span and offset, whatever its bytes.
     """
-    sizes = np.array([len(b) + 1 for b in bodies], dtype=np.int64)
-    n = int(sizes.sum())
-    ends = np.cumsum(sizes) - 1
-    symbols = np.zeros(n, dtype=np.int64)
-    inside = np.ones(n, dtype=bool)
-    inside[ends] = False
-    symbols[inside] = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.int64) + len(bodies)
-    symbols[ends] = np.arange(len(bodies))  # each end is a symbol of its own: no match crosses it
-    order = suffix_array(symbols, length)
-    bwt = symbols[order - 1]  # the symbol in front of each suffix
-    # rank -> rank of the suffix one symbol longer, grouped by that symbol: the last-to-first mapping
-    source = np.argsort(bwt, kind="stable")
-    first = bwt[source]
-    differs = np.concatenate([[True], first[1:] != first[:-1]])
-    closed = np.zeros(n, dtype=bool)
-    closed[0] = True
-    alive = np.arange(n)  # ranks that may still share an interval with the rank before
-    for _ in range(length):
-        groups = np.cumsum(closed)
-        now = np.ones(n, dtype=bool)
-        keep = alive[~differs[alive]] if len(alive) == n else alive
-        same = groups[source[keep]] == groups[source[keep - 1]]
-        alive = keep[same]
-        now[alive] = False
-        closed = now
-        if not len(alive):
+    n = len(bodies)
+    widest = max(leads) + 1
+    found = np.zeros((n, widest), dtype=bool)
+    lead = np.array(leads, dtype=np.int64)
+    order = np.array(sorted(range(n), key=lambda i: (keys[i], bodies[i][leads[i] :])), dtype=np.int64)
+    right = np.zeros((n, length), dtype=np.uint8)
+    before = np.zeros((n, widest), dtype=np.uint8)
+    sizes = np.empty(n, dtype=np.int64)
+    for i, (body, at) in enumerate(zip(bodies, leads)):
+        part = np.frombuffer(body, dtype=np.uint8)
+        tail = part[at : at + length]
+        right[i, : len(tail)], sizes[i] = tail, len(tail)
+        before[i, :at] = part[:at][::-1]
+    key = np.array(keys, dtype=np.int64)[order]
+    shared = np.full(n, -1, dtype=np.int64)  # with the one before in its interval; -1 starts an interval
+    for at in range(1, n, 4096):
+        a, b = order[at - 1 : min(at + 4095, n - 1)], order[at : at + 4096]
+        shared[at : at + len(b)] = _shared_prefix(right[a], right[b], np.minimum(sizes[a], sizes[b]))
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    shared[first] = -1
+    group = np.cumsum(first)
+    for j in range(widest):
+        near = shared >= length - j
+        near[:-1] |= near[1:]
+        found[order[near], j] = True
+        # go on with spans that have a byte in front, and intervals that hold two suffixes or more
+        pair = shared >= 0
+        pair[:-1] |= shared[1:] >= 0
+        kept = np.flatnonzero(pair & (lead[order] > j))
+        if not len(kept):
             break
-    shared = ~closed
-    shared[:-1] |= ~closed[1:]
-    found = np.zeros(n, dtype=bool)
-    found[order[shared]] = True
-    return [found[e - s + 1 : e][: max(0, s - length)] for e, s in zip(ends, sizes)]
+        minimum = _RangeMinimum(shared)
+        byte = before[order[kept], j].astype(np.int64)
+        place = kept[np.argsort(group[kept] * 256 + byte, kind="stable")]
+        symbol = group[place] * 256 + before[order[place], j]
+        first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+        now = np.full(len(place), -1, dtype=np.int64)
+        same = np.flatnonzero(~first)
+        if len(same):
+            now[same] = minimum(place[same - 1] + 1, place[same] + 1)
+        order, group, shared = order[place], np.cumsum(first), now
+    return found
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +208,9 @@ def covered_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = written_table(_spans(texts, length))
     # a key that occurs once has no repeated window; one with equal spans only has no other
     busy = spans.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("n > 1")
-    rows = written_table(spans.join(busy.select("key", (F.col("s0") != F.col("s1")).alias("several")), "key"))
+    # written first, so that the join below has no aggregate in its stage and a key of very many rows can be split
+    busy = written_table(busy.select("key", (F.col("s0") != F.col("s1")).alias("several")))
+    rows = written_table(spans.join(busy, "key"))
     found = [rows.where("not several").select("doc", "first", "last")]
     several = rows.where("several")
     kinds = written_table(several.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last", "lead")).alias("at")))
@@ -247,14 +271,14 @@ def _expanded(spans: DataFrame, length: int) -> DataFrame:
     buckets = max(1, int(total // TASK_BYTES))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = repeated_starts(rows["key"].tolist(), rows["lead"].tolist(), rows["bytes"].tolist(), length)
         out = []
-        flags = repeated_starts([bytes(b) for b in rows["bytes"]], length)
-        for doc, first, is_open, flag in zip(rows["doc"], rows["first"], rows["open"], flags):
+        for doc, anchor, is_open, flag in zip(rows["doc"], rows["first"] + rows["lead"], rows["open"], found):
             if is_open and flag.any():
-                out.extend((doc, first + a, first + z) for a, z in zip(*_runs(flag)))
+                out.extend((doc, anchor - z, anchor - a) for a, z in zip(*_runs(flag)))
         return pd.DataFrame(out, columns=["doc", "first", "last"])
 
-    return spans.select("key", "doc", "first", "open", "bytes").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, _COVER)
+    return spans.select("key", "doc", "first", "lead", "open", "bytes").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, _COVER)
 
 
 def pieces_of(first: int, last: int, lead: int, length: int, cell: int) -> list[tuple[int, int, int, int, int]]:
