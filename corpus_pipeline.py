@@ -33,8 +33,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     gone = written_table(joined.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct())
     few = gone.count() <= jaccard.BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left if repeated else left.dropDuplicates(["doc_id", "text"])
+    unique_ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return left if unique_ids else left.dropDuplicates(["doc_id", "text"])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
