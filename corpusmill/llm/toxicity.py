@@ -4,7 +4,8 @@ Folding undoes case, accents, look-alike letters and digits in place of letters,
 letters into single spaces. Lexicon entries start at a word start; of the entries that start at one
 word the longest counts, so a longer phrase of weight 0 is an exception. The weights of all matches,
 divided by the text's length in words, go through a logistic curve. Lexicon, exceptions and curve are
-learned from labelled documents outside the held-out fold.
+learned from labelled documents outside the held-out fold: first the entries, then, in a second count of
+what surrounds their hits, the words and short phrases that are exceptions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -32,6 +33,8 @@ THRESHOLD = 0.3
 #: Letters of a word start that may become an entry, and of a whole word.
 STARTS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_WEIGHT, MOST_ENTRIES, CANDIDATES = 5, 1.8, 400, 20_000
+#: Words of an exception phrase at most.
+PHRASE_WORDS = 3
 #: A word counts at most so often in one document while learning, so that one junk text decides nothing.
 MOST_IN_DOC = 3
 #: Added to the length in words: a single hit in a very short text is weighed down a little.
@@ -141,9 +144,13 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def _weight(toxic_uses: int, clean_uses: int, toxic_words: int, clean_words: int) -> float:
+    return math.log((toxic_uses + 0.5) / (toxic_words + 1)) - math.log((clean_uses + 0.5) / (clean_words + 1))
+
+
 def learn_entries(rows: list[tuple[str, int, int, int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
-    """Entries and exceptions from candidate counts: phrase, toxic documents, toxic uses, clean documents, clean uses."""
-    weight = {p: math.log((tu + 0.5) / (toxic_words + 1)) - math.log((cu + 0.5) / (clean_words + 1)) for p, td, tu, cd, cu in rows}
+    """Entries from candidate counts: phrase, toxic documents, toxic uses, clean documents, clean uses."""
+    weight = {p: _weight(tu, cu, toxic_words, clean_words) for p, td, tu, cd, cu in rows}
     strong = sorted((r for r in rows if r[1] >= LEAST_DOCS and weight[r[0]] >= LEAST_WEIGHT), key=lambda r: (-r[1] * weight[r[0]], len(r[0]), r[0]))
     entries: dict[str, float] = {}
     for phrase, *_ in strong:
@@ -154,12 +161,35 @@ def learn_entries(rows: list[tuple[str, int, int, int, int]], toxic_words: int,
         entries[phrase] = weight[phrase]
         if len(entries) == MOST_ENTRIES:
             break
-    for phrase, td, tu, cd, cu in rows:
-        if phrase.endswith(" ") and phrase not in entries and cd >= LEAST_DOCS and weight[phrase] <= 0 and any(phrase.startswith(e) for e in entries):
-            entries[phrase] = 0.0
     return entries
 
 
+def _surroundings(folded: str, entries: dict[str, float]) -> Counter:
+    """Uses of the runs of up to ``PHRASE_WORDS`` words that hold a word at which an entry starts."""
+    words = folded.split()
+    spans = set()
+    for i, word in enumerate(words):
+        if f" {word} " in entries or any(len(word) >= k and f" {word[:k]}" in entries for k in STARTS):
+            for first in range(max(0, i - PHRASE_WORDS + 1), i + 1):
+                spans.update((first, last) for last in range(i + 1, min(len(words), first + PHRASE_WORDS) + 1))
+    uses = Counter(f" {' '.join(words[first:last])} " for first, last in spans)
+    return Counter({p: min(n, MOST_IN_DOC) for p, n in uses.items()})
+
+
+def learn_exceptions(rows: list[tuple[str, int, int, int, int]], entries: dict[str, float], toxic_words: int, clean_words: int) -> dict[str, float]:
+    """Exceptions (weight 0) from counts of whole words and phrases around the entries, in rows as ``learn_entries`` takes.
+
+    An exception is in enough clean documents and no sign of a toxic one, however few toxic documents hold
+    it. Shorter ones come first; a phrase that they already clear is not needed.
+    """
+    clean = [r[0] for r in rows if r[0] not in entries and r[3] >= LEAST_DOCS and _weight(r[2], r[4], toxic_words, clean_words) <= 0]
+    found: dict[str, float] = {}
+    for n in range(1, PHRASE_WORDS + 1):
+        known = Model(entries | found)
+        found |= {p: 0.0 for p in sorted(clean) if p.count(" ") == n + 1 and density(known, p) > 0}
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Fit on labelled documents outside the held-out fold; phrases are counted in Spark.
 
@@ -169,26 +199,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     marks = bounded_sample(marks.where(remainder(F.col("doc_id"), 4) != 2), "doc_id", most, "toxicity")
     known = docs.select("doc_id", "text").join(marks, "doc_id").select("toxic", "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for toxic, rows in batch.groupby("toxic"):
-                uses: Counter = Counter()
-                inside: Counter = Counter()
-                for text in rows["text"]:
-                    folded = fold(text)
-                    found = _candidates(folded)
-                    found[""] = folded.count(" ") - 1
-                    uses.update(found)
-                    inside.update(found.keys())
-                yield pd.DataFrame({"phrase": list(uses), "toxic": int(toxic), "docs": [inside[p] for p in uses], "uses": list(uses.values())})
-
-    counted = known.mapInPandas(count, "phrase string, toxic int, docs bigint, uses bigint")
-    sums = {f"{s}{v}": F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{s}{v}") for s, t in (("t", 1), ("c", 0)) for v, c in (("d", "docs"), ("u", "uses"))}
-    table = counted.groupBy("phrase").agg(*[sums[k] for k in ("td", "tu", "cd", "cu")])
+    def counts(phrases: Callable[[str], Counter]) -> DataFrame:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for toxic, rows in batch.groupby("toxic"):
+                    uses: Counter = Counter()
+                    inside: Counter = Counter()
+                    for text in rows["text"]:
+                        found = phrases(fold(text))
+                        uses.update(found)
+                        inside.update(found.keys())
+                    if uses:
+                        yield pd.DataFrame({"phrase": list(uses), "toxic": int(toxic), "docs": [inside[p] for p in uses], "uses": list(uses.values())})
+
+        counted = known.mapInPandas(count, "phrase string, toxic int, docs bigint, uses bigint")
+        sums = {f"{s}{v}": F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{s}{v}") for s, t in (("t", 1), ("c", 0)) for v, c in (("d", "docs"), ("u", "uses"))}
+        return counted.groupBy("phrase").agg(*[sums[k] for k in ("td", "tu", "cd", "cu")])
+
+    def candidates(folded: str) -> Counter:
+        found = _candidates(folded)
+        found[""] = folded.count(" ") - 1
+        return found
+
+    table = counts(candidates)
     table = table.where((F.col("td") >= LEAST_DOCS) | (F.col("phrase") == "")).orderBy((F.col("phrase") == "").desc(), (F.col("td") / (F.col("cd") + 1)).desc(), "phrase").limit(CANDIDATES)
     rows = [tuple(r) for r in table.collect()]
     whole = next((r for r in rows if r[0] == ""), ("", 0, 0, 0, 0))
     entries = learn_entries([r for r in rows if r[0] and r[1] + r[3] > 0], whole[2], whole[4])
+    if entries:
+        found = dict(entries)
+        around = counts(lambda folded: _surroundings(folded, found)).where(F.col("cd") >= LEAST_DOCS)
+        entries |= learn_exceptions([tuple(r) for r in around.collect()], found, whole[2], whole[4])
     raw = Model(entries)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -83,6 +83,25 @@ def test_toxicity_of_held_out_texts(spark):
     assert toxicity.toxic_documents(table, marks.limit(0)).count() == 402
 
 
+def test_exceptions_are_learned_from_clean_documents(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("alo", "eri", "omun", "utes")]
+    rows, labels = [], []
+    for i in range(600):
+        body, toxic = rng.choices(words, k=20), i % 3 == 0
+        if toxic:
+            body[rng.randrange(20)] = rng.choice(["clown", "clowns", "clowned", "clowny"])
+            body[rng.randrange(20)] = "jester"
+        elif i % 15 == 1:
+            body[3:4] = [["clownfish"], ["class", "jester"]][i % 2]
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert [model.entries.get(p) for p in (" clownfish ", " class jester ")] == [0.0, 0.0]
+    assert toxicity.density(model, "balo clownfish ceri") == toxicity.density(model, "the class jester") == 0
+    assert toxicity.density(model, "such clowns") > 0 and toxicity.density(model, "such a jester") > 0
+
+
 def test_class_model_counts_and_base_score(spark):
     rng = random.Random(6)
     texts = [speech(rng, list(SYLLABLES)[i % 3], rng.randint(0, 40)) for i in range(80)] + [None, "", "Unseen WORDS Ünseen ünseen"]
