@@ -3,11 +3,16 @@
 Token counts are summed by cell (source, language, topic); raking scales the cell weights to one target
 margin after the other; each document is then kept with its cell's calibrated probability, decided by a
 hash of its id, so a rerun keeps the same documents.
+
+``mix`` rakes with the caps inside: targets that a category's own tokens cannot meet are lowered to what it
+has, and every step of the raking solves for a margin with the cells at probability 1 held there.
+``mixed_documents`` is the plain form that its SQL writes out, in which the caps come after the raking and
+move the margins; ``margins`` tells wanted, feasible and achieved shares of either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.columns import WORD
@@ -19,6 +24,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 #: Share of all tokens that the mixture takes.
 BUDGET = 0.5
 SWEEPS, CAP_ROUNDS, SEED = 8, 8, "mix-1"
+#: Raking with caps ends where every margin is met to within this share of the budget, or after so many sweeps.
+CLOSE, MOST_SWEEPS = 1e-3, 40
 #: Cells and margins are broadcast up to so many rows, else shuffled.
 BROADCAST_CELLS = 1_000_000
 #: Length classes that stand for topics, as the tables have no topic column: least words of each.
@@ -78,7 +85,72 @@ def probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = CAP_RO
     return cells.withColumn("prob", F.least(F.lit(1.0), rate * F.lit(factor)))
 
 
-def mix(docs: DataFrame, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
+def _filling(tokens: Column, rate: Column, goal: Column, by: list[Column]) -> Column:
+    """The factor f for which min(tokens, f * tokens * rate) adds up to ``goal`` in each group of rows.
+
+    The sum is concave in f, the least of the lines that cap the k rows of the highest rates; so f is the
+    greatest of their solutions.
+    """
+    order = Window.partitionBy(*by).orderBy(rate.desc())
+    capped = F.coalesce(F.sum(tokens).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = F.sum(tokens * rate).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.when(free > 0, (goal - capped) / free)
+
+
+def targets(cells: DataFrame, dim: str, power: float, budget: float = BUDGET) -> DataFrame:
+    """``dim, tokens, wanted, goal`` of a margin: tokens to keep by the power alone, and at most those there are.
+
+    What a category has too little of goes to the others in proportion to their own targets.
+    """
+    share = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("s", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(power))).otherwise(0.0))
+    total, whole = share.agg(F.sum("tokens"), F.sum("s")).first()
+    kept, one = budget * (total or 0.0), [F.lit(1)]
+    rate = F.when(F.col("tokens") > 0, F.col("s") / F.col("tokens")).otherwise(0.0)
+    solved = share.withColumn("rate", rate).withColumn("f", _filling(F.col("tokens"), F.col("rate"), F.lit(kept), one))
+    factor = F.coalesce(F.max("f").over(Window.partitionBy(*one)), F.lit(0.0))
+    return solved.select(dim, "tokens", (F.col("s") * (kept / (whole or 1.0))).alias("wanted"), F.least("tokens", F.col("s") * factor).alias("goal"))
+
+
+def capped_rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, budget: float = BUDGET, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """Cells (``dims`` and ``tokens``) with ``prob``, at most 1, whose kept tokens meet the feasible target of each margin.
+
+    Cells with no tokens have probability 0. Margins that are feasible each but not together are met as
+    nearly as the sweeps get; the budget is met in any case.
+    """
+    powers = powers or POWERS
+    n = cells.count()
+    cells = written_table(cells.coalesce(1 + n // 100_000)) if n else cells
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    kept = F.col("tokens") * F.least(F.lit(1.0), F.col("rate"))
+    held = F.broadcast if n <= BROADCAST_CELLS else (lambda df: df)
+    goals = {d: written_table(targets(cells, d, powers[d], budget).select(d, F.col("goal").alias(f"goal_{d}")).coalesce(1 + n // 100_000)) for d in dims}
+    cells = cells.withColumn("rate", F.when(F.col("tokens") > 0, F.lit(float(budget))).otherwise(0.0))
+    for d in dims:
+        cells = cells.join(held(goals[d]), d)
+    for _ in range(sweeps if total else 0):
+        for d in dims:
+            solved = cells.withColumn("f", _filling(F.col("tokens"), F.col("rate"), F.col(f"goal_{d}"), [F.col(d)]))
+            factor = F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1.0))
+            cells = written_table(solved.withColumn("rate", F.col("rate") * factor).drop("f"))
+        gaps = [cells.groupBy(d).agg(F.abs(F.sum(kept) - F.first(f"goal_{d}")).alias("gap")).agg(F.max("gap")).first()[0] for d in dims]
+        if max(gaps) <= CLOSE * budget * total:
+            break
+    return cells.select(*dims, "tokens", F.least(F.lit(1.0), F.col("rate")).alias("prob"))
+
+
+def margins(raked: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """``dim, category, wanted, feasible, achieved``: shares of the kept tokens, over cells with ``tokens, prob``."""
+    powers = powers or POWERS
+    out = None
+    for d in dims:
+        now = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("prob")).alias("now")).join(targets(raked, d, powers[d], budget), d)
+        whole = F.greatest(F.sum("goal").over(Window.partitionBy(F.lit(1))), F.lit(1e-300))
+        rows = now.select(F.lit(d).alias("dim"), F.col(d).alias("category"), *[(F.col(c) / whole).alias(a) for c, a in (("wanted", "wanted"), ("goal", "feasible"), ("now", "achieved"))])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mix(docs: DataFrame, topic: Column | None = None, budget: float = BUDGET, caps_inside: bool = True) -> DataFrame:
     """``docs`` with ``topic, tokens, prob, kept``: tokens are words, ``topic`` a column (length classes if none is given).
 
     A null source, language or topic is a category of its own, ``(null)``; a document without words has
@@ -90,7 +162,8 @@ def mix(docs: DataFrame, topic: Column | None = None, budget: float = BUDGET) ->
     labels = (F.col("source"), F.col("lang"), topic if topic is not None else length_topic(F.col("__tokens")))
     rows = rows.withColumns({d: F.coalesce(label.cast("string"), F.lit("(null)")) for d, label in zip(dims, labels)})
     cells = rows.groupBy(*dims).agg(F.sum("__tokens").alias("tokens"))
-    raked = probabilities(rake(cells, tuple(dims), {d: POWERS[n] for d, n in zip(dims, DIMS)}), budget)
+    powers = {d: POWERS[n] for d, n in zip(dims, DIMS)}
+    raked = capped_rake(cells, tuple(dims), powers, budget) if caps_inside else probabilities(rake(cells, tuple(dims), powers), budget)
     rates = raked.select(*dims, F.col("prob").alias("__prob"))
     rates = F.broadcast(rates) if raked.count() <= BROADCAST_CELLS else rates
     kept = [c for c in docs.columns if c not in ("topic", "tokens", "prob", "kept")]
@@ -99,9 +172,9 @@ def mix(docs: DataFrame, topic: Column | None = None, budget: float = BUDGET) ->
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """For every document its cell, tokens, probability and whether it is in the mixture."""
+    """For every document its cell, tokens, probability and whether it is in the mixture, in the form of ``oracle``."""
     slim = docs.select("doc_id", "text", "source", "lang")
-    return mix(slim).select("doc_id", "source", "lang", "topic", "tokens", F.round("prob", 6).alias("prob"), "kept")
+    return mix(slim, caps_inside=False).select("doc_id", "source", "lang", "topic", "tokens", F.round("prob", 6).alias("prob"), "kept")
 
 
 def oracle(documents: str = "documents", budget: float = BUDGET, whole_rows: bool = False) -> str:

@@ -104,6 +104,27 @@ def test_raking_reaches_the_targets(spark):
         assert (raked.groupby(d)["weight"].sum() / raked["tokens"].sum()).tolist() == pytest.approx(goal.tolist(), rel=1e-3)
 
 
+def test_mixture_meets_feasible_targets_after_the_caps(spark):
+    sizes = {"brief": 3, "article": 60, "chapter": 30, "book": 4}
+    cells = spark.createDataFrame([(s, g, t, n * (1 + i) * (3 + j)) for i, s in enumerate("abcd") for j, g in enumerate("xyz") for t, n in sizes.items()], "source string, lang string, topic string, tokens bigint")
+    out = mixing.margins(mixing.capped_rake(cells)).toPandas().set_index(["dim", "category"])
+    assert out["achieved"].tolist() == pytest.approx(out["feasible"].tolist(), abs=1.1 * mixing.CLOSE)
+    topics = out.loc["topic"]
+    assert topics["wanted"].tolist() == pytest.approx([0.25] * 4)
+    assert topics["feasible"].to_dict() == pytest.approx({"brief": 6 / 97, "book": 8 / 97, "article": 83 / 194, "chapter": 83 / 194})
+    assert out.loc["source", "feasible"].tolist() == pytest.approx(out.loc["source", "wanted"].tolist())
+    after = mixing.margins(mixing.probabilities(mixing.rake(cells))).toPandas()
+    assert (after["achieved"] - after["feasible"]).abs().max() > 3 * mixing.CLOSE
+
+
+def test_documents_of_a_mixture_meet_feasible_targets(spark):
+    texts = ["w " * (60, 60, 60, 200, 200, 700)[i // 60] for i in range(360)]
+    out = mixing.mix(docs(spark, texts)).toPandas()
+    cells = spark.createDataFrame(out.assign(source=out["source"].fillna("(null)"), lang=out["lang"].fillna("(null)")).groupby(["source", "lang", "topic"], as_index=False).agg(tokens=("tokens", "sum"), prob=("prob", "first")))
+    found = mixing.margins(cells).toPandas()
+    assert found["achieved"].tolist() == pytest.approx(found["feasible"].tolist(), abs=1.1 * mixing.CLOSE)
+
+
 def marks(text, k=4, w=8):
     pieces = re.findall(r"[^\x20\x09-\x0D]{1,12}", text)
     h = [v % winnowing.PRIME for v in ((xxhash.xxh64_intdigest(p.encode(), 42) + 2**63) % 2**64 - 2**63 for p in pieces)]
