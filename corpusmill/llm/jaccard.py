@@ -8,7 +8,8 @@ pivot is compared with all members. The members near the pivot are its Voronoi c
 the others only members within the threshold by distance to the pivot can be partners, so a boundary
 member is replicated to their side. Regions that still hold unlinked members recurse with a new pivot;
 the small remainder is compared within the triangle-inequality window. Pairs that are known to be in
-one component are not compared again, as they cannot change the result.
+one component are not compared again, as they cannot change the result. ``join_links`` is the complete
+form: it compares all pairs that the windows of one pivot leave, in cells too, and returns every link.
 """
 
 from __future__ import annotations
@@ -162,13 +163,8 @@ def _compared(pairs: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) ->
     return counted.select("a", "b", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("far"), (100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).alias("linked"))
 
 
-def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
-
-    ``component_id`` is the least ``doc_id`` reachable by links. Documents without words, and null texts,
-    have no shingle, no link, and their own id. Rows of equal ``doc_id`` are separate documents that may
-    be linked; a null id is never the least. An empty table gives an empty result.
-    """
+def _regions(docs: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows, their signatures, the classes of equal sets, and the shared regions that the classes enter."""
     rows = docs.select("doc_id", "text")
     table = written_table(signatures(rows, sketch(rows, width), width, similar).withColumn("row", F.monotonically_increasing_id()))
     classes = written_table(table.where("n > 0").groupBy("mark").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n")))
@@ -180,6 +176,17 @@ def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     shared = tokens.groupBy("region").agg(F.count("*").alias("members"), F.min(_scattered("row"))["row"].alias("pivot")).where("members > 1")
     shared = written_table(shared.select("region", "pivot"))
     regions = written_table(tokens.join(F.broadcast(shared) if shared.count() <= BROADCAST_REGIONS else shared, "region").select("region", "row", "pivot"))
+    return rows, table, classes, regions
+
+
+def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    ``component_id`` is the least ``doc_id`` reachable by links. Documents without words, and null texts,
+    have no shingle, no link, and their own id. Rows of equal ``doc_id`` are separate documents that may
+    be linked; a null id is never the least. An empty table gives an empty result.
+    """
+    rows, table, classes, regions = _regions(docs, width, similar)
     edges = None
     if not regions.isEmpty():
         edges = _links(regions, _Sets(rows, table, width), classes.select("row", "n"), similar)
@@ -228,5 +235,36 @@ def _links(regions: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> D
     return edges
 
 
+def join_links(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """All links: ``doc_id, n_shingles, class, n_links`` for every row of ``docs``, and the linked classes ``a, b, far``.
+
+    A class holds the rows of equal sets, and is null for rows without words. Rows of one class are linked
+    to each other and to all rows of linked classes (a < b, each pair once); ``n_links`` counts these.
+    """
+    rows, table, classes, regions = _regions(docs, width, similar)
+    sizes = classes.select("row", "n")
+    pairs = written_table(_all_links(regions, _Sets(rows, table, width), sizes, similar))
+    named = table.select("doc_id", "n", "mark").join(classes.select("mark", F.col("row").alias("class")), "mark", "left")
+    held = written_table(table.where("n > 0").groupBy("mark").agg(F.count("*").alias("held")).join(classes.select("mark", "row"), "mark").select("row", "held"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(held.withColumnRenamed("row", "b"), "b").groupBy("a").agg(F.sum("held").alias("others"))
+    counted = held.join(others.withColumnRenamed("a", "row"), "row", "left").select(F.col("row").alias("class"), (F.col("held") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = named.join(counted, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members, pairs
+
+
+def _all_links(regions: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
+    """Every linked pair ``a, b, far`` of classes, each once: in all regions, all members within the windows."""
+    reach = 1 - similar / 100 + 1e-9
+    to_pivot = regions.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+    distances = written_table(_compared(to_pivot, sets, sizes, similar)).select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far")
+    far = F.when(F.col("row") == F.col("pivot"), 0.0).otherwise(F.col("far"))
+    members = written_table(regions.join(distances, ["row", "pivot"], "left").withColumn("far", far).join(sizes, "row").select("region", "row", "far", "n"))
+    one, two = (members.select("region", F.col("row").alias(v), F.col("far").alias(f"far_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
+    window = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= reach, F.lit(True)) & (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
+    close = one.join(two, "region").where((F.col("a") < F.col("b")) & window).select("a", "b").distinct()
+    return _compared(close, sets, sizes, similar).where("linked").select("a", "b", "far")
+
+
 def joined_documents(docs: DataFrame) -> DataFrame:
     return join_classes(docs)

@@ -64,6 +64,21 @@ def test_join_equals_brute_force(spark):
     jaccard.SMALL_REGION, jaccard.PIVOT_ROUNDS = 24, 4
 
 
+def test_all_links_equal_brute_force(spark):
+    rows = corpus()
+    sets = {d: shingles(t) for d, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members, pairs = jaccard.join_links(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    out = {r["doc_id"]: r for r in members.collect()}
+    linked = [frozenset((r["a"], r["b"])) for r in pairs.collect()]
+    assert len(set(linked)) == len(linked)
+    same = lambda a, b: out[a]["class"] is not None and out[a]["class"] == out[b]["class"]
+    got = {(a, b) for a in out for b in out if a < b and (same(a, b) or frozenset((out[a]["class"], out[b]["class"])) in set(linked))}
+    assert got == want and len(out) == len(rows)
+    uses = Counter(d for pair in want for d in pair)
+    assert all(r["n_links"] == uses[d] and r["n_shingles"] == len(sets[d]) for d, r in out.items())
+
+
 def test_join_of_odd_tables(spark):
     assert jaccard.join_classes(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None)]
