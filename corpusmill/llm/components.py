@@ -25,11 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("high").agg(F.min("low").alias("least"))
         small = large.join(lower, "high").select("high", "low", "least")
         moved = small.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(lower.select("high", F.col("least").alias("low")))
-        now = written_table(moved.where("high <> low").distinct())
+        links = written_table(moved.where("high <> low").distinct())
         # stars are left when every node has one lower neighbour and that is no one's higher one
-        several = now.groupBy("high").count().where("count > 1").limit(1).count()
-        chained = 0 if several else now.join(now.select(F.col("high").alias("low")).distinct(), "low", "left_semi").limit(1).count()
-        links = now
-        if not several and not chained:
+        sides = links.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
     return links.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(links.select("low").distinct().select(F.col("low").alias("node"), F.col("low").alias("root")))

@@ -1,19 +1,21 @@
 """Exact Jaccard similarity join of word-shingle sets as a join in a metric space.
 
 Jaccard distance is a metric, so distances to a pivot bound distances between documents. Equal sets are
-one class. A class enters the regions of the rarest fifth of its shingles, for two sets that are
-similar enough share one of these (whatever total order of shingles is used; here by how often a
-fixed-size sketch over the whole corpus has counted them). In every region that two classes share, a
-pivot is compared with all members. The members near the pivot are its Voronoi cell and are linked; for
-the others only members within the threshold by distance to the pivot can be partners, so a boundary
-member is replicated to their side. Regions that still hold unlinked members recurse with a new pivot;
-the small remainder is compared within the triangle-inequality window. Pairs that are known to be in
-one component are not compared again, as they cannot change the result. ``join_links`` is the complete
-form: it compares all pairs that the windows of one pivot leave, in cells too, and returns every link.
+one class. The first pivots are single shingles: a class enters the regions of its rarest shingles, of
+which two sets that are similar enough share one, and its place in the order of its shingles bounds what
+it can share with any other member. Small regions are compared pair by pair within these bounds. Large
+ones are split: first by rings of set size (the distance to the pivot decides it), where the members
+of the next ring are replicated to the ring below; then by documents as pivots: every member goes to the
+Voronoi cell of its nearest pivot, and to the cell of another pivot if the triangle inequality leaves
+partners there. Members within the threshold of a pivot are linked to it as a star, and a cell whose
+members are known to be in one component is closed. Cells recurse with more pivots until they are small;
+pivots, compared with all members, leave. ``join_links`` is the complete form: it skips no pair for
+being in one component already and returns every link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,212 +29,291 @@ from corpusmill.session import written_table
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, SIMILAR = 5, 80
-#: Counters of the sketch that orders shingles, and of one message of it.
-SKETCH_SLOTS, SKETCH_PART = 1 << 21, 1 << 16
-#: Regions of more members than this get new pivots for as long as that splits them, at most so many times.
-SMALL_REGION, PIVOT_ROUNDS = 24, 4
-#: Up to so many document ids are broadcast (8 bytes each), beyond it they are joined.
-BROADCAST_IDS = 2_000_000
-#: Up to so many shared regions are broadcast, beyond it tokens and regions are joined by a shuffle.
-BROADCAST_REGIONS = 200_000
+#: Share of the hash range whose shingles are counted over the corpus; they come first, rarest first, in the order of shingles.
+COUNTED = 0.3
+#: Members of a region that are compared pair by pair; pivots of a larger one, four times as many in every round.
+SMALL_REGION, PIVOTS = 64, 8
+#: A region is split only into cells that hold together at most so many times its members; else its pivots leave and it stays.
+MOST_REPLICAS = 2.0
+#: Ids are broadcast up to so many bytes, counted at 64 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch that a task works on at a time, so that a batch of sets is never held whole.
 SLICE = 256
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64)
+def prefix_length(n: int, similar: int = SIMILAR) -> int:
+    """Shingles of which a set of ``n`` must share one with any set that is similar enough."""
+    return n - -(-n * similar // 100) + 1
 
 
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), SLICE):
-            yield batch.iloc[at : at + SLICE]
-
+            yield batch.iloc[at : at + SLICE].reset_index(drop=True)
 
-def sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How many documents have a shingle in each slot, over the whole table; of fixed size at any scale."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH_SLOTS, dtype=np.uint16)
-        for batch in _sliced(batches):
-            for words in word_hashes(batch["text"].tolist()):
-                slots = np.unique(_slot(shingle_set(words, width)))
-                total[slots] += total[slots] < 65535
-        total = np.minimum(total, 255).astype(np.uint8)  # one task cannot tell more than a byte
-        yield pd.DataFrame({"part": range(0, SKETCH_SLOTS, SKETCH_PART), "counts": [total[i : i + SKETCH_PART].tobytes() for i in range(0, SKETCH_SLOTS, SKETCH_PART)]})
-
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH_PART, dtype=np.uint32)
-        for counts in rows["counts"]:
-            total += np.frombuffer(counts, dtype=np.uint8)
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+def _mark(found: np.ndarray) -> bytes:
+    if not len(found):
+        return b""
+    sums = int(found.sum(dtype=np.uint64)), int((found * found).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(found))
+    return ((sums[0] * 0x9E3779B97F4A7C15 + len(found)) % (1 << 64)).to_bytes(8, "little") + ((sums[1] + sums[2]) % (1 << 64)).to_bytes(8, "little")
 
-    parts = docs.select("text").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(added, "part int, counts binary").toPandas()
-    out = np.zeros(SKETCH_SLOTS, dtype=np.uint16)
-    for part, counts in zip(parts["part"], parts["counts"]):
-        out[part : part + SKETCH_PART] = np.frombuffer(counts, dtype=np.uint16)
-    return out
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table, marked for broadcast if its rows are few enough."""
+    return F.broadcast(ids) if ids.count() * 64 <= BROADCAST_BYTES else ids
 
-def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    """Shingles of which a set of ``n`` must share one with any set that is similar enough."""
-    return n - -(-n * similar // 100) + 1
 
+def signatures(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with ``n``, ``mark`` (128 bits that stand for the set), ``counted`` and ``tokens``.
 
-def signatures(docs: DataFrame, order: np.ndarray, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """For each document ``doc_id, n, mark`` (128 bits that stand for the set) and ``rare``, its rarest shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    ``tokens`` are the shingles in the counted part of the hash range (there are ``counted`` of them), and
+    those that follow by hash if these alone are fewer than the set's prefix.
+    """
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    last = np.uint64(min((1 << 64) - 1, int(COUNTED * (1 << 64))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
         for batch in _sliced(batches):
-            sizes, marks, rare = [], [], []
+            sizes, marks, counted, tokens = [], [], [], []
             for words in word_hashes(batch["text"].tolist()):
                 found = shingle_set(words, width)
                 sizes.append(len(found))
                 marks.append(_mark(found))
-                if len(found):
-                    order = np.argsort(counts[_slot(found)], kind="stable")
-                    rare.append(found[order[: prefix_length(len(found), similar)]].view(np.int64))
-                else:
-                    rare.append(found.view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "mark": marks, "rare": rare})
+                counted.append(int(np.searchsorted(found, last, "right")))
+                tokens.append(found[: max(counted[-1], prefix_length(len(found), similar) if len(found) else 0)].view(np.int64))
+            yield pd.concat([batch.drop(columns="text"), pd.DataFrame({"n": sizes, "mark": marks, "counted": counted, "tokens": tokens})], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n bigint, mark binary, rare array<bigint>")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], "text").mapInPandas(run, f"{fields}n bigint, mark binary, counted bigint, tokens array<bigint>")
 
 
-def _mark(found: np.ndarray) -> bytes:
-    if not len(found):
-        return b""
-    sums = int(found.sum(dtype=np.uint64)), int((found * found).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(found))
-    return ((sums[0] * 0x9E3779B97F4A7C15 + len(found)) % (1 << 64)).to_bytes(8, "little") + ((sums[1] + sums[2]) % (1 << 64)).to_bytes(8, "little")
+def _scatter(row: Column, seed: int) -> Column:
+    """A number in [0, 1) that decides who is a pivot, the same in every region."""
+    return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _possible(a: str, b: str, similar: int) -> Column:
+    """Whether bounds on what two sets share (``r_a, r_b``: shingles from the region's on) and their sizes allow a link."""
+    return (100 + similar) * F.least(f"r_{a}", f"r_{b}") >= similar * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+def _regions(heads: DataFrame, similar: int) -> DataFrame:
+    """``region, row, n, r, own``: the regions that the sets of ``heads`` enter and share with others.
+
+    ``r`` bounds what the set can share with any other for which this is the first region in common;
+    ``own`` is its share (in hundredths) of counted shingles that no other set has.
+    """
+    tokens = heads.select("row", F.posexplode("tokens").alias("idx", "region"))
+    shared = written_table(tokens.groupBy("region").agg(F.count("*").alias("df")).where("df > 1"))
+    hits = tokens.join(shared, "region").groupBy("row").agg(F.collect_list(F.struct("idx", "df", "region")).alias("hits"))
+    hits = hits.join(heads.select("row", "n", "counted"), "row")
+    first = F.array_sort(F.transform(F.filter("hits", lambda x: x["idx"] < F.col("counted")), lambda x: F.struct(x["df"], x["region"])))
+    rows = hits.select("row", "n", "counted", first.alias("first"), F.filter("hits", lambda x: x["idx"] >= F.col("counted")).alias("rest")).withColumn("alone", F.col("counted") - F.size("first"))
+    # no shingle is at a place from which less than the least similarity is left
+    prefix = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
+    placed = F.concat(
+        F.transform(F.slice("first", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone")).cast("int")), lambda x, i: F.struct(x["region"].alias("region"), (F.col("alone") + i).cast("long").alias("pos"))),
+        F.transform("rest", lambda x: F.struct(x["region"].alias("region"), x["idx"].cast("long").alias("pos"))),
+    )
+    own = F.coalesce(F.floor(100 * F.col("alone") / F.col("counted")), F.lit(0)).cast("int")
+    entered = written_table(rows.select("row", "n", own.alias("own"), F.explode(placed).alias("at")).select("at.region", "row", "n", (F.col("n") - F.col("at.pos")).alias("r"), "own"))
+    members = entered.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
+    return written_table(entered.join(members, "region"))
+
+
+def _sets(docs: DataFrame, table: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``row, shingles`` of the wanted rows, from the texts of their documents."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = written_table(table.join(_few(rows), "row", "left_semi").select("row", "doc_id", "mark"))
+    ids = _few(written_table(wanted.select(F.col("doc_id").alias("id")).distinct()))
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _sliced(batches):
+            found = [shingle_set(w, width) for w in word_hashes(batch["text"].tolist())]
+            yield pd.DataFrame({"id": batch["doc_id"], "of": [_mark(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
+
+    made = texts.mapInPandas(run, f"id {kind}, of binary, shingles array<bigint>")
+    sets = made.join(_few(wanted), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("mark"))).select("row", "shingles")
+    # rows of one id and one set, which equal each other, all bring the set
+    single = table.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    return written_table(sets if single else sets.dropDuplicates(["row"]))
 
 
-class _Sets:
-    """Shingle sets of the rows that pairs need, made from their texts when they are first needed."""
-
-    def __init__(self, docs: DataFrame, table: DataFrame, width: int) -> None:
-        self.docs, self.table, self.width = docs, table.select("row", "doc_id", "mark"), width
-        self.single = table.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
-        self.parts: list[DataFrame] = []
-
-    def _made(self, rows: DataFrame) -> DataFrame:
-        kind, width = self.docs.schema["doc_id"].dataType.simpleString(), self.width
-        few = rows.count() <= BROADCAST_IDS // 4
-        wanted = self.table.join(F.broadcast(rows) if few else rows, "row", "left_semi")
-        wanted = F.broadcast(wanted) if few else wanted
-        texts = self.docs.select("doc_id", "text").join(wanted.select("doc_id").distinct() if not few else F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in _sliced(batches):
-                found = [shingle_set(w, width) for w in word_hashes(batch["text"].tolist())]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": [_mark(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
-
-        sets = texts.mapInPandas(run, f"doc_id {kind}, mark binary, shingles array<bigint>").join(wanted, ["doc_id", "mark"]).select("row", "shingles")
-        return sets if self.single else sets.dropDuplicates(["row"])
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """``row, shingles`` of the rows of ``pairs`` only, so that no other set is shuffled to compare them."""
-        rows = written_table(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
-        new = rows
-        for part in self.parts:
-            new = new.join(part.select("row"), "row", "left_anti")
-        if not new.isEmpty():
-            self.parts.append(written_table(self._made(written_table(new))))
-        every = self.parts[0]
-        for part in self.parts[1:]:
-            every = every.unionByName(part)
-        return every.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "row", "left_semi")
-
-
-def _scattered(row: str) -> Column:
-    return F.struct(F.xxhash64(row).alias("h"), F.col(row).alias("row"))
-
-
-def _compared(pairs: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
-    """``a, b, far, linked`` for the pairs whose sizes allow a link; ``far`` is the Jaccard distance."""
-    sized = pairs.join(sizes.select(F.col("row").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("row").alias("b"), F.col("n").alias("n_b")), "b")
-    near = written_table(sized.where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")).select("a", "b"))
-    if near.isEmpty():
-        return near.withColumn("far", F.lit(0.0)).withColumn("linked", F.lit(False))
-    held = sets.of(near)
-    with_a = near.join(held.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a")
-    with_b = with_a.join(held.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
+def _compared(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """``a, b, far, linked`` of the pairs; ``far`` is the Jaccard distance."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a")
+    with_b = with_a.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
     counted = with_b.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
     return counted.select("a", "b", (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("far"), (100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).alias("linked"))
 
 
-def _regions(docs: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows, their signatures, the classes of equal sets, and the shared regions that the classes enter."""
-    rows = docs.select("doc_id", "text")
-    table = written_table(signatures(rows, sketch(rows, width), width, similar).withColumn("row", F.monotonically_increasing_id()))
-    classes = written_table(table.where("n > 0").groupBy("mark").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n")))
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _pairs_within(small: DataFrame, similar: int) -> DataFrame:
+    """``a, b, star`` for the possible pairs of regions of bounded size; ``star``: one of them is its region's pivot."""
+    member = F.struct("own", _scatter(F.col("row"), 0).alias("h"), "row", "n", "r", "native", "far")
+    groups = small.groupBy("region").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    one = groups.select(F.posexplode("m").alias("i", "x"), "m")
+    two = one.where(F.size("m") > F.col("i") + 1).select("i", "x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    flat = two.select("i", *[F.col(f"{v}.{c}").alias(f"{c}_{v}") for v in "xy" for c in ("row", "n", "r", "native", "far")])
+    window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= _reach(similar), F.lit(True))
+    possible = flat.where(_possible("x", "y", similar) & window & (F.col("native_x") | F.col("native_y")))
+    return possible.select(*_ordered("row_x", "row_y"), (F.col("i") == 0).alias("star")).groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _reach(similar: int) -> float:
+    return 1 - similar / 100 + 1e-9
+
+
+def _alive(open_regions: DataFrame, similar: int) -> DataFrame:
+    """Members that some other one may be linked with: by the least size in the region, and two members at least."""
+    least = open_regions.groupBy("region").agg(F.min("n").alias("least"))
+    alive = open_regions.drop("members").join(least, "region").where((100 + similar) * F.col("r") >= similar * (F.col("n") + F.col("least"))).drop("least")
+    counts = alive.groupBy("region").agg(F.count("*").alias("members"), F.max("native").alias("some")).where("members > 1 and some").drop("some")
+    return written_table(alive.join(counts, "region"))
+
+
+def _rings(large: DataFrame, similar: int) -> DataFrame:
+    """Large regions by rings of size; a member is native in its ring and a replica in the ring below."""
+    ring = F.floor(F.log("n") / F.lit(math.log(100 / similar) + 1e-9))
+    both = large.withColumn("ring", ring).withColumn("lower", F.explode(F.array(F.lit(0), F.lit(1))))
+    return both.select(F.xxhash64("region", F.col("ring") - F.col("lower")).alias("region"), "row", "n", "r", "own", (F.col("lower") == 0).alias("native"), F.lit(None).cast("double").alias("far"))
+
+
+def _closed(open_regions: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Without regions whose members are in one component."""
+    if roots is None:
+        return open_regions
+    rooted = open_regions.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = rooted.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
+    return open_regions.join(several, "region", "left_semi")
+
+
+def _with_pivots(large: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """``region, row, pivot`` for all members and pivots of large regions.
+
+    Pivots are the member that shares most of what it has, and a random few; the same rows in any region they are members of.
+    """
+    place = F.struct("own", _scatter(F.col("row"), 0).alias("h"), "row")
+    first = large.groupBy("region").agg(F.min(place)["row"].alias("first"))
+    chosen = large.join(first, "region").where((F.col("row") == F.col("first")) | (_scatter(F.col("row"), turn) * F.col("members") < pivots))
+    chosen = written_table(chosen.select("region", F.col("row").alias("pivot")))
+    return large.select("region", "row").join(chosen, "region")
+
+
+def _cells(large: DataFrame, near: DataFrame, distances: DataFrame, similar: int) -> DataFrame:
+    """Voronoi cells of large regions, with replicas of boundary members; pivots leave."""
+    both = distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far").unionByName(distances.select(F.col("b").alias("row"), F.col("a").alias("pivot"), "far"))
+    known = near.where("row <> pivot").join(both, ["row", "pivot"]).groupBy("region", "row").agg(F.array_sort(F.collect_list(F.struct("far", "pivot"))).alias("p"))
+    done = near.where("row = pivot").select("region", "row")
+    members = large.join(done, ["region", "row"], "left_anti").join(known, ["region", "row"])
+    own = F.element_at("p", 1)
+    # a partner in the cell of another pivot is at most twice the threshold nearer to it; of two cells one takes the replica
+    others = F.filter("p", lambda x: (x["pivot"] < own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))
+    members = members.withColumn("others", F.when(F.col("native"), others).otherwise(F.filter("p", lambda x: (x["pivot"] != own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))))
+    members = written_table(members.select("region", "row", "n", "r", "own", "native", own.alias("cell"), "others"))
+    split = members.groupBy("region").agg((F.sum(F.size("others") + 1) <= MOST_REPLICAS * F.count("*")).alias("split"))
+    members = members.join(split, "region")
+    whole = members.where("not split").select("region", "row", "n", "r", "own", "native", F.lit(None).cast("double").alias("far"))
+    at = F.explode(F.concat(F.array(F.struct(F.col("cell.far").alias("far"), F.col("cell.pivot").alias("pivot"), F.lit(True).alias("here"))), F.transform("others", lambda x: F.struct(x["far"].alias("far"), x["pivot"].alias("pivot"), F.lit(False).alias("here")))))
+    cells = members.where("split").select("region", "row", "n", "r", "own", "native", at.alias("at"))
+    # a replica of a ring stays one in every cell: it meets natives only
+    cells = cells.select(F.xxhash64("region", "at.pivot").alias("region"), "row", "n", "r", "own", (F.col("native") & F.col("at.here")).alias("native"), "at.far")
+    return whole.unionByName(cells)
+
+
+def _private_left(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Large regions with ``r`` cut to the shingles that a member shares with any other member of a large region."""
+    rows = written_table(large.select("row").distinct())
+    tokens = sets.join(_few(rows), "row", "left_semi").select("row", F.explode("shingles").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("row").alias("row")).where("df = 1").groupBy("row").agg(F.count("*").alias("alone"))
+    return large.join(alone, "row", "left").withColumn("r", F.least("r", F.col("n") - F.coalesce("alone", F.lit(0)))).drop("alone")
+
+
+def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) -> DataFrame | None:
+    """Linked pairs ``a, b, far``: all of them (``complete``), or so many that they connect whatever links connect."""
+    entered = regions.withColumn("native", F.lit(True)).withColumn("far", F.lit(None).cast("double"))
+    waiting = written_table(_pairs_within(entered.where(F.col("members") <= SMALL_REGION), similar))
+    pairs = waiting.where("star").select("a", "b")
+    large = entered.where(F.col("members") > SMALL_REGION)
+    if not large.isEmpty():
+        large = _alive(_rings(_private_left(large.drop("native", "far"), sets), similar), similar)
+        few = large.where(F.col("members") <= SMALL_REGION)
+        waiting = written_table(waiting.unionByName(_pairs_within(few, similar)).groupBy("a", "b").agg(F.max("star").alias("star")))
+        pairs = waiting.where("star").select("a", "b")
+        large = large.where(F.col("members") > SMALL_REGION)
+    waiting = waiting.where("not star").select("a", "b")
+    found, roots, pivots, turn = None, None, PIVOTS, 1
+    while True:
+        some = not large.isEmpty()
+        if some:
+            near = written_table(_with_pivots(large, pivots, turn))
+            pairs = pairs.unionByName(near.where("row <> pivot").select(*_ordered("row", "pivot"))).distinct()
+        distances = written_table(_compared(pairs, sets, similar))
+        linked = distances.where("linked").select("a", "b", "far")
+        found = linked if found is None else written_table(found.unionByName(linked))
+        roots = None if complete or found.isEmpty() else written_table(components(found).withColumnRenamed("node", "row"))
+        # what is left of this round is compared in the next one, unless it is known to be in one component
+        pairs = waiting
+        if some:
+            large = _alive(_closed(_cells(large, near, distances, similar), roots), similar)
+            pairs = pairs.unionByName(_pairs_within(large.where(F.col("members") <= SMALL_REGION), similar).select("a", "b"))
+            large = large.where(F.col("members") > SMALL_REGION)
+        if roots is not None:
+            for side in "ab":
+                pairs = pairs.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+            pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        pairs = written_table(pairs.select("a", "b").distinct())
+        waiting = pairs.limit(0)
+        if pairs.isEmpty() and large.isEmpty():
+            break
+        pivots, turn = 4 * pivots, turn + 1
+    return found.groupBy("a", "b").agg(F.min("far").alias("far"))
+
+
+def _classes(docs: DataFrame, width: int, similar: int, complete: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Every row's signature, the classes of equal sets (``mark, row, held``), and links between classes (None: no two share a region)."""
+    table = written_table(signatures(docs, width, similar).withColumn("row", F.monotonically_increasing_id()))
+    classes = written_table(table.where("n > 0").groupBy("mark").agg(F.min("row").alias("row"), F.count("*").alias("held")))
     # copies take no further part; their rows are named, not moved, if they are few enough
-    copies = written_table(table.select("row").join(classes.select("row"), "row", "left_anti"))
-    heads = table.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "row", "left_anti")
+    copies = written_table(table.select("row").join(_few(classes.select("row")), "row", "left_anti"))
+    heads = table.join(_few(copies), "row", "left_anti").select("row", "n", "counted", "tokens")
+    regions = _regions(heads, similar)
+    if regions.isEmpty():
+        return table, classes, None
+    sets = _sets(docs, table, written_table(regions.select("row").distinct()), width)
+    return table, classes, _links(regions, sets, similar, complete)
 
-    tokens = heads.select("row", F.explode("rare").alias("region"))
-    shared = tokens.groupBy("region").agg(F.count("*").alias("members"), F.min(_scattered("row"))["row"].alias("pivot")).where("members > 1")
-    shared = written_table(shared.select("region", "pivot"))
-    regions = written_table(tokens.join(F.broadcast(shared) if shared.count() <= BROADCAST_REGIONS else shared, "region").select("region", "row", "pivot"))
-    return rows, table, classes, regions
+
+def with_components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """The columns of ``docs`` (``doc_id``, ``text`` and any others) but ``text``, with ``n_shingles`` and ``component``, the same number for all rows that links connect.
+
+    A row without words, or with a null text, has no shingle and a null component. Columns named like
+    the ones added must not be among the others.
+    """
+    kept = [f"`{c}`" for c in docs.columns if c != "text"]
+    table, classes, found = _classes(docs, width, similar, False)
+    named = classes.select("mark", F.col("row").alias("component"))
+    if found is not None and not found.isEmpty():
+        roots = components(found).select(F.col("node").alias("component"), "root")
+        named = named.join(roots, "component", "left").select("mark", F.coalesce("root", "component").alias("component"))
+    return table.join(named, "mark", "left").select(*kept, F.col("n").alias("n_shingles"), "component")
 
 
 def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``; other columns are left out).
 
     ``component_id`` is the least ``doc_id`` reachable by links. Documents without words, and null texts,
     have no shingle, no link, and their own id. Rows of equal ``doc_id`` are separate documents that may
     be linked; a null id is never the least. An empty table gives an empty result.
     """
-    rows, table, classes, regions = _regions(docs, width, similar)
-    edges = None
-    if not regions.isEmpty():
-        edges = _links(regions, _Sets(rows, table, width), classes.select("row", "n"), similar)
-    ids = classes.select("mark", "row", "least")
-    if edges is None:
-        named = ids.select("mark", F.col("least").alias("component_id"))
-    else:
-        roots = components(edges).withColumnRenamed("node", "row")
-        rooted = ids.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-        names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = rooted.select("mark", "root").join(names, "root").select("mark", "component_id")
-    out = table.select("doc_id", "n", "mark").join(named, "mark", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _links(regions: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
-    """Linked pairs ``a, b`` that connect all classes which links connect."""
-    reach = 1 - similar / 100 + 1e-9
-    edges = None
-    for turn in range(PIVOT_ROUNDS):
-        pairs = regions.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-        distances = written_table(_compared(pairs, sets, sizes, similar))
-        found = distances.where("linked").select("a", "b")
-        edges = written_table(found if edges is None else edges.unionByName(found))
-        roots = components(edges).withColumnRenamed("node", "row") if not edges.isEmpty() else None
-
-        # members with their distance to the pivot and their component; the pivot itself is done
-        # (a distance that sizes alone put beyond the threshold is unknown: null, outside the cell, in any window)
-        members = regions.where("row <> pivot").join(distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far"), ["row", "pivot"], "left")
-        rooted = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")) if roots is not None else members.withColumn("root", F.col("row"))
-        # replicas (in the pivot's cell) matter only to members outside the cell that the window reaches
-        outside = F.coalesce(F.col("far") > reach, F.lit(True))
-        cell = rooted.groupBy("region").agg(F.min(F.when(outside, F.coalesce("far", F.lit(0.0)))).alias("nearest"))
-        window = rooted.join(cell, "region").where(F.col("nearest").isNotNull() & (outside | (F.col("far") >= F.col("nearest") - reach)))
-        open_regions = window.groupBy("region").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.when(outside, _scattered("row")))["row"].alias("next")).where("r0 <> r1")
-        left = written_table(window.select("region", "row", "far", "root").join(open_regions.select("region", "members", "next"), "region"))
-        small = left.where((F.col("members") <= SMALL_REGION) | F.lit(turn == PIVOT_ROUNDS - 1))
-        one = small.select("region", F.col("row").alias("a"), F.col("far").alias("far_a"), F.col("root").alias("root_a"))
-        two = small.select("region", F.col("row").alias("b"), F.col("far").alias("far_b"), F.col("root").alias("root_b"))
-        close = one.join(two, "region").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= reach, F.lit(True)))
-        near = _compared(close.select("a", "b").distinct(), sets, sizes, similar).where("linked").select("a", "b")
-        edges = written_table(edges.unionByName(near))
-        regions = left.where(F.col("members") > SMALL_REGION).select("region", "row", F.col("next").alias("pivot"))
-        if turn == PIVOT_ROUNDS - 1 or regions.isEmpty():
-            break
-    return edges
+    rows = written_table(with_components(docs.select("doc_id", "text"), width, similar))
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def join_links(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -241,11 +322,11 @@ def join_links(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> t
     A class holds the rows of equal sets, and is null for rows without words. Rows of one class are linked
     to each other and to all rows of linked classes (a < b, each pair once); ``n_links`` counts these.
     """
-    rows, table, classes, regions = _regions(docs, width, similar)
-    sizes = classes.select("row", "n")
-    pairs = written_table(_all_links(regions, _Sets(rows, table, width), sizes, similar))
+    rows = docs.select("doc_id", "text")
+    table, classes, found = _classes(rows, width, similar, True)
+    pairs = written_table(found) if found is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint, far double")
     named = table.select("doc_id", "n", "mark").join(classes.select("mark", F.col("row").alias("class")), "mark", "left")
-    held = written_table(table.where("n > 0").groupBy("mark").agg(F.count("*").alias("held")).join(classes.select("mark", "row"), "mark").select("row", "held"))
+    held = classes.select("row", "held")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(held.withColumnRenamed("row", "b"), "b").groupBy("a").agg(F.sum("held").alias("others"))
     counted = held.join(others.withColumnRenamed("a", "row"), "row", "left").select(F.col("row").alias("class"), (F.col("held") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
@@ -253,18 +334,5 @@ def join_links(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> t
     return members, pairs
 
 
-def _all_links(regions: DataFrame, sets: _Sets, sizes: DataFrame, similar: int) -> DataFrame:
-    """Every linked pair ``a, b, far`` of classes, each once: in all regions, all members within the windows."""
-    reach = 1 - similar / 100 + 1e-9
-    to_pivot = regions.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-    distances = written_table(_compared(to_pivot, sets, sizes, similar)).select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far")
-    far = F.when(F.col("row") == F.col("pivot"), 0.0).otherwise(F.col("far"))
-    members = written_table(regions.join(distances, ["row", "pivot"], "left").withColumn("far", far).join(sizes, "row").select("region", "row", "far", "n"))
-    one, two = (members.select("region", F.col("row").alias(v), F.col("far").alias(f"far_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
-    window = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= reach, F.lit(True)) & (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
-    close = one.join(two, "region").where((F.col("a") < F.col("b")) & window).select("a", "b").distinct()
-    return _compared(close, sets, sizes, similar).where("linked").select("a", "b", "far")
-
-
 def joined_documents(docs: DataFrame) -> DataFrame:
     return join_classes(docs)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusmill.llm import components, jaccard, suffixes, tiling
 from corpusmill.llm.shingles import shingle_set, word_hashes
@@ -55,17 +56,23 @@ def corpus(seed=3):
     return list(enumerate(out))
 
 
-def test_join_equals_brute_force(spark):
+SPLITS = ((64, 8, 2.0), (2, 1, 0.5), (2, 1, 50.0))
+
+
+@pytest.mark.parametrize("small, pivots, replicas", SPLITS)
+def test_join_equals_brute_force(spark, monkeypatch, small, pivots, replicas):
     rows = corpus()
-    for small, rounds in ((24, 4), (1, 2)):
-        jaccard.SMALL_REGION, jaccard.PIVOT_ROUNDS = small, rounds
-        got = jaccard.join_classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-        assert sorted(map(tuple, got)) == brute_components(rows)
-    jaccard.SMALL_REGION, jaccard.PIVOT_ROUNDS = 24, 4
+    for name, value in (("SMALL_REGION", small), ("PIVOTS", pivots), ("MOST_REPLICAS", replicas)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.join_classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
 
 
-def test_all_links_equal_brute_force(spark):
+@pytest.mark.parametrize("small, pivots, replicas", SPLITS[1:])
+def test_all_links_equal_brute_force(spark, monkeypatch, small, pivots, replicas):
     rows = corpus()
+    for name, value in (("SMALL_REGION", small), ("PIVOTS", pivots), ("MOST_REPLICAS", replicas)):
+        monkeypatch.setattr(jaccard, name, value)
     sets = {d: shingles(t) for d, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     members, pairs = jaccard.join_links(spark.createDataFrame(rows, SCHEMA).repartition(3))
