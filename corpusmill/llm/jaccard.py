@@ -116,7 +116,7 @@ def _regions(heads: DataFrame, similar: int) -> DataFrame:
         F.transform(F.slice("first", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone")).cast("int")), lambda x, i: F.struct(x["region"].alias("region"), (F.col("alone") + i).cast("long").alias("pos"))),
         F.transform("rest", lambda x: F.struct(x["region"].alias("region"), x["idx"].cast("long").alias("pos"))),
     )
-    own = F.coalesce(F.floor(100 * F.col("alone") / F.col("counted")), F.lit(0)).cast("int")
+    own = F.floor(100 * F.col("alone") / F.greatest(F.col("counted"), F.lit(1))).cast("int")
     entered = written_table(rows.select("row", "n", own.alias("own"), F.explode(placed).alias("at")).select("at.region", "row", "n", (F.col("n") - F.col("at.pos")).alias("r"), "own"))
     members = entered.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
     return written_table(entered.join(members, "region"))
