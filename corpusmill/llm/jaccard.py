@@ -218,12 +218,16 @@ def _cells(large: DataFrame, near: DataFrame, distances: DataFrame, similar: int
     members = written_table(members.select("region", "row", "n", "r", "own", "native", own.alias("cell"), "others"))
     split = members.groupBy("region").agg((F.sum(F.size("others") + 1) <= MOST_REPLICAS * F.count("*")).alias("split"))
     members = members.join(split, "region")
-    whole = members.where("not split").select("region", "row", "n", "r", "own", "native", F.lit(None).cast("double").alias("far"))
-    at = F.explode(F.concat(F.array(F.struct(F.col("cell.far").alias("far"), F.col("cell.pivot").alias("pivot"), F.lit(True).alias("here"))), F.transform("others", lambda x: F.struct(x["far"].alias("far"), x["pivot"].alias("pivot"), F.lit(False).alias("here")))))
-    cells = members.where("split").select("region", "row", "n", "r", "own", "native", at.alias("at"))
+    here = F.struct(F.col("cell.far").alias("far"), F.col("cell.pivot").alias("pivot"), F.lit(True).alias("here"))
+    there = F.transform("others", lambda x: F.struct(x["far"].alias("far"), x["pivot"].alias("pivot"), F.lit(False).alias("here")))
+    cells = members.withColumn("at", F.explode(F.when(F.col("split"), F.concat(F.array(here), there)).otherwise(F.array(here))))
     # a replica of a ring stays one in every cell: it meets natives only
-    cells = cells.select(F.xxhash64("region", "at.pivot").alias("region"), "row", "n", "r", "own", (F.col("native") & F.col("at.here")).alias("native"), "at.far")
-    return whole.unionByName(cells)
+    return cells.select(
+        F.when(F.col("split"), F.xxhash64("region", "at.pivot")).otherwise(F.col("region")).alias("region"),
+        *("row", "n", "r", "own"),
+        (F.col("native") & F.col("at.here")).alias("native"),
+        F.when(F.col("split"), F.col("at.far")).alias("far"),
+    )
 
 
 def _private_left(large: DataFrame, sets: DataFrame) -> DataFrame:
