@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import jaccard, mixing, sharding, tiling, toxicity
 from corpusmill.session import written_table
 
 SHARDS = 8
+#: Names of the two columns that tell rows apart.
+KEY = ("__row_a", "__row_b")
 
 #: The stages draw on a learned lexicon and on a random permutation, which SQL cannot express.
 ORACLE_SQL = None
@@ -28,13 +31,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. A document with a null id stays."""
-    joined = jaccard.joined_documents(docs)
-    gone = written_table(joined.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    few = gone.count() <= jaccard.BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    unique_ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left if unique_ids else left.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near copies: the one with the least id (a null id comes last), then the least row key.
+
+    The row key is a hash of all columns, so rows of one id with different texts have fates of their own,
+    and of rows that are equal throughout one stays. A row without words is in no group and stays, as
+    often as it occurs.
+    """
+    simple = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keyed = docs.select("*", *[F.xxhash64(F.lit(seed), *simple).alias(name) for seed, name in enumerate(KEY)])
+    rows = written_table(jaccard.with_components(keyed.select("doc_id", "text", *KEY)).where("component is not null"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first"), F.count("*").alias("members")).where("members > 1")
+    stays = F.col(KEY[0]).eqNullSafe(F.col(f"first.{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"first.{KEY[1]}"))
+    grouped = written_table(rows.join(first, "component").select(*KEY, stays.alias("stays")))
+    gone = written_table(grouped.where("not stays").select(*KEY).distinct())
+    again = written_table(grouped.where("stays").groupBy(*KEY).count().where("count > 1").select(*KEY))
+    few = [F.broadcast(t) if t.count() * 64 <= jaccard.BROADCAST_BYTES else t for t in (gone, again)]
+    left = keyed.join(few[0], list(KEY), "left_anti")
+    if not again.isEmpty():
+        left = left.join(few[1], list(KEY), "left_anti").unionByName(left.join(few[1], list(KEY), "left_semi").dropDuplicates(list(KEY)))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
