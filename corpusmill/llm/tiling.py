@@ -8,7 +8,6 @@ tokens that tiles cover decides, so passages count in whatever order they were c
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shingles import _BASE, _INVERSE, _power, mixed
+from corpusmill.session import written_table
+
 #: Least length of a tile in tokens, and the coverage of an item from which a document counts as contaminated.
 LEAST_TILE, COVERAGE = 5, 0.5
 #: Benchmark tokens of one block; the benchmark is a query set that goes over all documents block by block.
 BLOCK_TOKENS = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Blocks that one pass over the documents takes; what it has found is written before the next pass, and their memory is freed.
+PASS_BLOCKS = 4
 _SPACED = bytes(32 if not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else c for c in range(256))
 
 
@@ -30,15 +33,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()
 
 
-def rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hash (modulo 2**64) of every run of ``k`` ids."""
-    n = len(ids) - k + 1
+def _sums(ids: np.ndarray) -> np.ndarray:
+    """Running sums from which the Karp-Rabin hash of any run follows."""
+    total = np.zeros(len(ids) + 1, dtype=np.uint64)
+    np.cumsum((ids + 1).astype(np.uint64) * _power(_BASE, len(ids)), out=total[1:])
+    return total
+
+
+def rolling(total: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hash (modulo 2**64) of every run of ``k`` ids, from their running sums."""
+    n = len(total) - k
     if n < 1:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        total = total * _BASE + ids[i : i + n].astype(np.uint64) + np.uint64(1)
-    return total
+    return mixed((total[k:] - total[:n]) * _power(_INVERSE, n))
 
 
 @dataclass(frozen=True)
@@ -57,7 +64,7 @@ def build(rows: list[tuple[int, list[bytes]]], k: int = LEAST_TILE) -> Block:
     found: dict[int, list[tuple[np.ndarray, int]]] = {}
     for index, (_, ids) in enumerate(items):
         size = min(k, len(ids))
-        found.setdefault(size, []).append((rolling(ids, size), index))
+        found.setdefault(size, []).append((rolling(_sums(ids), size), index))
     seeds = {}
     for size, lists in found.items():
         hashes = np.concatenate([h for h, _ in lists])
@@ -68,43 +75,50 @@ def build(rows: list[tuple[int, list[bytes]]], k: int = LEAST_TILE) -> Block:
     return Block(words, items, seeds)
 
 
-def tile(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, k: int) -> tuple[int, int]:
-    """Covered item tokens and number of tiles, from seed positions of ``k`` tokens.
+def tile(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[int, int]:
+    """Covered item tokens and number of tiles of at least ``k`` tokens.
 
-    Seeds on one diagonal that follow each other make one maximal match. The longest match is marked
-    first (ties: the one that starts first in the document, then in the item); what a match has left
-    outside of marked tokens goes back to the queue.
+    The longest common run of unmarked tokens is marked first (ties: the one that starts first in the
+    document, then in the item), then the longest among what is left. Its length is found by halving, for
+    a run of some length holds runs of any less; all runs of that length are marked in one walk over the
+    document. Memory is in proportion to the document and the item, however often runs repeat.
     """
-    true = np.ones(len(at_doc), dtype=bool)
-    for i in range(k):
-        true &= doc[at_doc + i] == item[at_item + i]
-    at_doc, at_item = at_doc[true], at_item[true]
-    order = np.lexsort((at_doc, at_doc - at_item))
-    at_doc, at_item = at_doc[order], at_item[order]
-    new = np.ones(len(at_doc), dtype=bool)
-    new[1:] = (np.diff(at_doc - at_item) != 0) | (np.diff(at_doc) != 1)
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(at_doc))) + k - 1
-    queue = [(-int(n), int(at_doc[s]), int(at_item[s])) for s, n in zip(starts, sizes)]
-    heapq.heapify(queue)
-    in_doc: set[int] = set()
-    in_item = np.zeros(len(item), dtype=bool)
-    tiles = 0
-    while queue and not in_item.all():
-        n, d, i = heapq.heappop(queue)
-        free = [x for x in range(-n) if not in_item[i + x] and d + x not in in_doc]
-        if len(free) == -n:
-            in_item[i : i - n] = True
-            in_doc.update(range(d, d - n))
-            tiles += 1
-            continue
+    sums = _sums(doc), _sums(item)
+    marked = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
+
+    def free(side: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of unmarked runs and where they start."""
+        used = np.concatenate([[0], np.cumsum(marked[side])])
+        at = np.flatnonzero(used[size:] == used[: len(used) - size]) if len(used) > size else np.empty(0, dtype=np.int64)
+        return rolling(sums[side], size)[at], at
+
+    tiles, most = 0, min(len(doc), len(item))
+    while most >= k:
+        low, high = k - 1, most
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(free(1, size)[0], free(0, size)[0]).any():
+                low = size
+            else:
+                high = size - 1
+        if low < k:
+            break
         begin = 0
-        for x in range(1, len(free) + 1):
-            if x == len(free) or free[x] != free[x - 1] + 1:
-                if x - begin >= k:
-                    heapq.heappush(queue, (begin - x, d + free[begin], i + free[begin]))
-                begin = x
-    return int(in_item.sum()), tiles
+        in_doc, at_doc = free(0, low)
+        while True:
+            in_item, at_item = free(1, low)
+            hits = np.flatnonzero((at_doc >= begin) & np.isin(in_doc, in_item))
+            if not len(hits):
+                break
+            d = int(at_doc[hits[0]])
+            i = next((int(i) for i in at_item[in_item == in_doc[hits[0]]] if np.array_equal(doc[d : d + low], item[i : i + low])), None)
+            begin = d + 1
+            if i is not None:
+                marked[0][d : d + low] = marked[1][i : i + low] = True
+                tiles += 1
+                begin = d + low
+        most = low - 1
+    return int(marked[1].sum()), tiles
 
 
 def best_match(block: Block, text: str | None) -> tuple[float, int | None, int]:
@@ -113,26 +127,29 @@ def best_match(block: Block, text: str | None) -> tuple[float, int | None, int]:
     ids = np.array([get(w, -1) for w in tokens(text)], dtype=np.int64)
     best: tuple[float, int | None, int] = (0.0, None, 0)
     for k, (hashes, owner, place) in block.seeds.items():
-        known = np.convolve(ids >= 0, np.ones(k, dtype=np.int64), "valid") == k if len(ids) >= k else np.empty(0, dtype=bool)
-        at = np.flatnonzero(known)
-        if not len(at):
+        if len(ids) < k:
             continue
-        found = np.zeros(len(at), dtype=np.uint64)
-        for i in range(k):
-            found = found * _BASE + ids[at + i].astype(np.uint64) + np.uint64(1)
+        known = np.convolve(ids >= 0, np.ones(k, dtype=np.int64), "valid") == k
+        found = np.unique(rolling(_sums(ids), k)[known])
         low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-        hit = high > low
-        if not hit.any():
+        n = high - low
+        if not n.sum():
             continue
-        at, low, n = at[hit], low[hit], (high - low)[hit]
+        # every seed of the block at most once, however often the document holds it
         seed = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        order = np.argsort(owner[seed], kind="stable")
-        at, seed = at[order], seed[order]
+        seed = seed[np.argsort(owner[seed], kind="stable")]
         cuts = np.flatnonzero(np.diff(owner[seed])) + 1
-        for d, s in zip(np.split(at, cuts), np.split(seed, cuts)):
-            item, body = block.items[owner[s[0]]]
-            covered, tiles = tile(ids, body, d, place[s], k)
+        bounds = []
+        for s in np.split(seed, cuts):
+            reached = np.zeros(len(block.items[owner[s[0]]][1]) + 1, dtype=np.int64)
+            np.add.at(reached, place[s], 1)
+            np.add.at(reached, place[s] + k, -1)
+            bounds.append((-float((np.cumsum(reached[:-1]) > 0).mean()), int(owner[s[0]])))
+        for bound, index in sorted(bounds):
+            if -bound < best[0]:
+                break
+            item, body = block.items[index]
+            covered, tiles = tile(ids, body, k)
             share = covered / len(body)
             if share > best[0] or (share == best[0] and share > 0 and item < best[1]):
                 best = (share, item, tiles)
@@ -173,14 +190,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = LEAST_TILE, co
 
     A null or empty text covers nothing (item null, coverage 0); so does any text when the benchmark is
     empty. Repeated rows give repeated rows; input columns of those names are replaced. No row is moved:
-    each block of the benchmark, of bounded size, goes to the tasks that read the documents.
+    blocks of the benchmark, of bounded size, go to the tasks that read the documents, some in each pass.
     """
     names = ("item_id", "coverage", "tiles", "contaminated")
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept = out.columns
     out = out.withColumn("__best", F.lit(None).cast(_BEST))
+    held = []
     for block in benchmark_blocks(benchmark, k, block_tokens):
-        matched = _matcher(docs.sparkSession.sparkContext.broadcast(block))
+        if len(held) == PASS_BLOCKS:
+            out = written_table(out)
+            while held:
+                held.pop().destroy()
+        held.append(docs.sparkSession.sparkContext.broadcast(block))
+        matched = _matcher(held[-1])
         now, before = F.col("__now"), F.col("__best")
         out = out.withColumn("__now", matched(F.col("text")))
         better = before.isNull() | (now["coverage"] > before["coverage"])

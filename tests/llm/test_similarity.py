@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -186,6 +187,21 @@ def test_tiling_equals_brute_force():
         share, found, tiles = tiling.best_match(block, " ".join(doc))
         want = brute_tiles(doc, item, min(3, len(item)))
         assert (round(share * len(item)), tiles) == want and found == (9 if want[0] else None)
+    for _ in range(60):
+        item, doc = ([rng.choice("ab") for _ in range(rng.randint(3, 20))] for _ in "xy")
+        block = tiling.build([(9, [w.encode() for w in item])], 3)
+        share, _, tiles = tiling.best_match(block, " ".join(doc))
+        assert (round(share * len(item)), tiles) == brute_tiles(doc, item, 3)
+
+
+def test_tiling_of_very_repetitive_texts_takes_little_memory():
+    item = [b"word"] * 10 + [b"y"] + [b"word"] * 989
+    block = tiling.build([(1, item)])
+    tracemalloc.start()
+    for text, want in (("word " * 200_000, (999 / 1000, 1, 2)), (("word " * 10 + "z ") * 20_000, (999 / 1000, 1, 100))):
+        assert tiling.best_match(block, text) == want
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
 
 
 def test_contamination_of_odd_tables(spark):
