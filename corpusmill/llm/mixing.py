@@ -1,13 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Token counts are summed by cell (source, language, topic); raking scales the cell weights to one target
-margin after the other; each document is then kept with its cell's calibrated probability, decided by a
-hash of its id, so a rerun keeps the same documents.
-
-``mix`` rakes with the caps inside: targets that a category's own tokens cannot meet are lowered to what it
-has, and every step of the raking solves for a margin with the cells at probability 1 held there.
-``mixed_documents`` is the plain form that its SQL writes out, in which the caps come after the raking and
-move the margins; ``margins`` tells wanted, feasible and achieved shares of either.
+Token counts are summed by cell (source, language, topic). Raking scales the cells' probabilities to one
+target margin after the other, with the caps inside: a target that a category's own tokens cannot meet is
+lowered to what it has, and every step solves for a margin with the cells at probability 1 held there.
+Each document is then kept with its cell's probability, decided by a hash of its id, so a rerun keeps the
+same documents. ``margins`` tells wanted, feasible and achieved shares.
 """
 
 from __future__ import annotations
@@ -20,22 +17,23 @@ from corpusmill.session import written_table
 
 DIMS = ("source", "lang", "topic")
 #: Target share of a category is its token share to this power, normalised: below 1 flattens, 0 levels.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.3}
 #: Share of all tokens that the mixture takes.
 BUDGET = 0.5
-SWEEPS, CAP_ROUNDS, SEED = 8, 8, "mix-1"
-#: Raking with caps ends where every margin is met to within this share of the budget, or after so many sweeps.
-CLOSE, MOST_SWEEPS = 1e-3, 40
-#: Cells and margins are broadcast up to so many rows, else shuffled.
-BROADCAST_CELLS = 1_000_000
-#: Length classes that stand for topics, as the tables have no topic column: least words of each.
-TOPICS = (("brief", 0), ("article", 120), ("chapter", 600), ("book", 4000))
-
-
-def length_topic(tokens: Column) -> Column:
-    topic = F.lit(TOPICS[0][0])
-    for name, least in TOPICS[1:]:
-        topic = F.when(tokens >= least, F.lit(name)).otherwise(topic)
+#: Raking ends after so many sweeps, or when every margin is met to within this share of the budget.
+SWEEPS, CLOSE, SEED = 20, 1e-9, "mix-1"
+#: Cells and margins are broadcast up to so many bytes (at 200 a row), else shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Topics by terms: a text has the topic whose pattern it matches most often (ties: the first), or else the last.
+TOPICS = (("legal", "(?i)licen[cs]e|copyright|warrant|liabilit|permission"), ("accounts", "(?i)passw|secret|token|api_?key|login"), ("contacts", "@[A-Za-z0-9-]+[.][a-z]|[0-9][0-9 -]{7,}[0-9]"), ("general", ""))
+
+
+def term_topic(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
+    counts = [F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) for _, pattern in topics[:-1]]
+    best = F.greatest(*counts, F.lit(0))
+    topic = F.lit(topics[-1][0])
+    for (name, _), n in reversed(list(zip(topics, counts))):
+        topic = F.when((n == best) & (n > 0), F.lit(name)).otherwise(topic)
     return topic
 
 
@@ -45,46 +43,6 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (``dims`` and ``tokens``) with ``weight``: tokens scaled until the margins meet their targets.
-
-    Cells with no tokens keep weight 0. Each step is an aggregation by one dimension and a join back.
-    """
-    powers = powers or POWERS
-    small = (n := cells.count()) <= BROADCAST_CELLS
-    held = F.broadcast if small else (lambda df: df)
-    cells = written_table(cells.coalesce(1 + n // 100_000)) if n else cells
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goals = {}
-    for d in dims:
-        share = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("s", F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(max(total, 1)), F.lit(powers[d]))).otherwise(0.0))
-        whole = share.agg(F.sum("s")).first()[0] or 1.0
-        goals[d] = written_table(share.select(d, (F.col("s") / F.lit(whole) * F.lit(float(total))).alias("goal")).coalesce(1 + n // 100_000))
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for d in dims:
-            now = cells.groupBy(d).agg(F.sum("weight").alias("now")).join(held(goals[d]), d)
-            scale = now.select(d, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("scale"))
-            cells = written_table(cells.join(held(scale), d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale"))
-    return cells
-
-
-def probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = CAP_ROUNDS) -> DataFrame:
-    """Raked cells with ``prob``: proportional to weight by token, at most 1, the tokens kept adding up to the budget.
-
-    Cells at the cap give what they would exceed it by to the others; each round needs two sums only.
-    """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate, factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0), float(budget)
-    for _ in range(rounds):
-        full = rate * F.lit(factor) >= 1
-        capped, free = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not free:
-            break
-        factor = max(factor, (budget * total - capped) / free)
-    return cells.withColumn("prob", F.least(F.lit(1.0), rate * F.lit(factor)))
-
-
 def _filling(tokens: Column, rate: Column, goal: Column, by: list[Column]) -> Column:
     """The factor f for which min(tokens, f * tokens * rate) adds up to ``goal`` in each group of rows.
 
@@ -97,12 +55,15 @@ def _filling(tokens: Column, rate: Column, goal: Column, by: list[Column]) -> Co
     return F.when(free > 0, (goal - capped) / free)
 
 
-def targets(cells: DataFrame, dim: str, power: float, budget: float = BUDGET) -> DataFrame:
-    """``dim, tokens, wanted, goal`` of a margin: tokens to keep by the power alone, and at most those there are.
+def targets(cells: DataFrame, dim: str, power: float | None = None, weights: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """``dim, tokens, wanted, goal`` of a margin: tokens to keep by the weights (or the power) alone, and at most those there are.
 
-    What a category has too little of goes to the others in proportion to their own targets.
+    With ``weights``, categories that they do not name have weight 0. What a category has too little of
+    goes to the others in proportion to their own targets.
     """
-    share = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("s", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(power))).otherwise(0.0))
+    share = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens"))
+    aim = F.pow("tokens", F.lit(power)) if weights is None else F.coalesce(*[F.when(F.col(dim) == c, F.lit(float(w))) for c, w in weights.items()], F.lit(0.0))
+    share = share.withColumn("s", F.when(F.col("tokens") > 0, aim).otherwise(0.0))
     total, whole = share.agg(F.sum("tokens"), F.sum("s")).first()
     kept, one = budget * (total or 0.0), [F.lit(1)]
     rate = F.when(F.col("tokens") > 0, F.col("s") / F.col("tokens")).otherwise(0.0)
@@ -111,92 +72,108 @@ def targets(cells: DataFrame, dim: str, power: float, budget: float = BUDGET) ->
     return solved.select(dim, "tokens", (F.col("s") * (kept / (whole or 1.0))).alias("wanted"), F.least("tokens", F.col("s") * factor).alias("goal"))
 
 
-def capped_rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, budget: float = BUDGET, sweeps: int = MOST_SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """Cells (``dims`` and ``tokens``) with ``prob``, at most 1, whose kept tokens meet the feasible target of each margin.
 
     Cells with no tokens have probability 0. Margins that are feasible each but not together are met as
-    nearly as the sweeps get; the budget is met in any case.
+    nearly as the sweeps get; the budget is met in any case. The cells are written once a sweep.
     """
-    powers = powers or POWERS
+    powers, weights = powers or POWERS, weights or {}
     n = cells.count()
     cells = written_table(cells.coalesce(1 + n // 100_000)) if n else cells
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     kept = F.col("tokens") * F.least(F.lit(1.0), F.col("rate"))
-    held = F.broadcast if n <= BROADCAST_CELLS else (lambda df: df)
-    goals = {d: written_table(targets(cells, d, powers[d], budget).select(d, F.col("goal").alias(f"goal_{d}")).coalesce(1 + n // 100_000)) for d in dims}
+    held = F.broadcast if n * 200 <= BROADCAST_BYTES else (lambda df: df)
     cells = cells.withColumn("rate", F.when(F.col("tokens") > 0, F.lit(float(budget))).otherwise(0.0))
     for d in dims:
-        cells = cells.join(held(goals[d]), d)
+        cells = cells.join(held(targets(cells, d, powers.get(d), weights.get(d), budget).select(d, F.col("goal").alias(f"goal_{d}"))), d)
+    cells = written_table(cells)
     for _ in range(sweeps if total else 0):
         for d in dims:
             solved = cells.withColumn("f", _filling(F.col("tokens"), F.col("rate"), F.col(f"goal_{d}"), [F.col(d)]))
             factor = F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1.0))
-            cells = written_table(solved.withColumn("rate", F.col("rate") * factor).drop("f"))
-        gaps = [cells.groupBy(d).agg(F.abs(F.sum(kept) - F.first(f"goal_{d}")).alias("gap")).agg(F.max("gap")).first()[0] for d in dims]
-        if max(gaps) <= CLOSE * budget * total:
+            cells = solved.withColumn("rate", F.col("rate") * factor).drop("f")
+        cells = written_table(cells)
+        gaps = [F.abs(F.sum(kept).over(Window.partitionBy(d)) - F.col(f"goal_{d}")) for d in dims]
+        if cells.select(F.greatest(*gaps, F.lit(0.0)).alias("gap")).agg(F.max("gap")).first()[0] <= CLOSE * budget * total:
             break
     return cells.select(*dims, "tokens", F.least(F.lit(1.0), F.col("rate")).alias("prob"))
 
 
-def margins(raked: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+def margins(raked: DataFrame, dims: tuple[str, ...] = DIMS, powers: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
     """``dim, category, wanted, feasible, achieved``: shares of the kept tokens, over cells with ``tokens, prob``."""
-    powers = powers or POWERS
+    powers, weights = powers or POWERS, weights or {}
     out = None
     for d in dims:
-        now = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("prob")).alias("now")).join(targets(raked, d, powers[d], budget), d)
+        now = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("prob")).alias("now")).join(targets(raked, d, powers.get(d), weights.get(d), budget), d)
         whole = F.greatest(F.sum("goal").over(Window.partitionBy(F.lit(1))), F.lit(1e-300))
         rows = now.select(F.lit(d).alias("dim"), F.col(d).alias("category"), *[(F.col(c) / whole).alias(a) for c, a in (("wanted", "wanted"), ("goal", "feasible"), ("now", "achieved"))])
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def mix(docs: DataFrame, topic: Column | None = None, budget: float = BUDGET, caps_inside: bool = True) -> DataFrame:
-    """``docs`` with ``topic, tokens, prob, kept``: tokens are words, ``topic`` a column (length classes if none is given).
+def measured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """``docs`` with its tokens and cell in columns of their own; tokens are words, ``topic`` a column (by terms if none is given)."""
+    labels = (F.col("source"), F.col("lang"), topic if topic is not None else term_topic(F.col("text")))
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"__tokens": tokens} | {f"__{d}": F.coalesce(label.cast("string"), F.lit("(null)")) for d, label in zip(DIMS, labels)})
+
+
+def drawn(rows: DataFrame, powers: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """Rows that are ``measured``, with the probability of their cell and whether they are kept."""
+    dims = [f"__{d}" for d in DIMS]
+    cells = rows.groupBy(*dims).agg(F.sum("__tokens").alias("tokens"))
+    raked = rake(cells, tuple(dims), {f"__{d}": p for d, p in (powers or POWERS).items()}, {f"__{d}": w for d, w in (weights or {}).items()}, budget)
+    rates = raked.select(*dims, F.col("prob").alias("__prob"))
+    rates = F.broadcast(rates) if raked.count() * 200 <= BROADCAST_BYTES else rates
+    return rows.join(rates, dims).withColumn("__kept", (uniform(F.col("doc_id")) < F.col("__prob")).cast("int"))
+
+
+_ADDED = ("topic", "tokens", "prob", "kept")
+
+
+def mix(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """``docs`` with ``topic, tokens, prob, kept``, for targets by ``powers`` or by given ``weights`` of a dimension's categories.
 
     A null source, language or topic is a category of its own, ``(null)``; a document without words has
     no tokens and the probability of its cell; repeated rows are kept or dropped together; an empty table
     gives an empty result; columns of those four names are replaced.
     """
-    dims = [f"__{d}" for d in DIMS]
-    rows = docs.withColumn("__tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    labels = (F.col("source"), F.col("lang"), topic if topic is not None else length_topic(F.col("__tokens")))
-    rows = rows.withColumns({d: F.coalesce(label.cast("string"), F.lit("(null)")) for d, label in zip(dims, labels)})
-    cells = rows.groupBy(*dims).agg(F.sum("__tokens").alias("tokens"))
-    powers = {d: POWERS[n] for d, n in zip(dims, DIMS)}
-    raked = capped_rake(cells, tuple(dims), powers, budget) if caps_inside else probabilities(rake(cells, tuple(dims), powers), budget)
-    rates = raked.select(*dims, F.col("prob").alias("__prob"))
-    rates = F.broadcast(rates) if raked.count() <= BROADCAST_CELLS else rates
-    kept = [c for c in docs.columns if c not in ("topic", "tokens", "prob", "kept")]
-    out = rows.join(rates, dims).withColumn("__kept", (uniform(F.col("doc_id")) < F.col("__prob")).cast("int"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__prob").alias("prob"), F.col("__kept").alias("kept"))
+    kept = [c for c in docs.columns if c not in _ADDED]
+    out = drawn(measured(docs, topic), powers, weights, budget)
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in _ADDED])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """For every document its cell, tokens, probability and whether it is in the mixture, in the form of ``oracle``."""
-    slim = docs.select("doc_id", "text", "source", "lang")
-    return mix(slim, caps_inside=False).select("doc_id", "source", "lang", "topic", "tokens", F.round("prob", 6).alias("prob"), "kept")
+    """For every document its cell, tokens, probability and whether it is in the mixture. Texts are read once."""
+    rows = written_table(measured(docs.select("doc_id", "text", "source", "lang")).drop("text"))
+    return drawn(rows).select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__prob", 6).alias("prob"), F.col("__kept").alias("kept"))
+
+
+def oracle(documents: str = "documents", budget: float = BUDGET) -> str:
+    """The same in DuckDB SQL, all sweeps written out."""
+    counts = [f"coalesce(len(regexp_extract_all(text, '{pattern}')), 0) AS n{i}" for i, (_, pattern) in enumerate(TOPICS[:-1])]
+    best = f"greatest({', '.join(f'n{i}' for i in range(len(counts)))}, 0)"
+    topic = "CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = {best} THEN '{name}'" for i, (name, _) in enumerate(TOPICS[:-1])) + f" ELSE '{TOPICS[-1][0]}' END"
 
+    def factor(by: str, goal: str) -> str:
+        order = f"OVER ({by} ORDER BY rate DESC ROWS BETWEEN"
+        return f"CASE WHEN sum(tokens * rate) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 THEN ({goal} - coalesce(sum(tokens) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(tokens * rate) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) END"
 
-def oracle(documents: str = "documents", budget: float = BUDGET, whole_rows: bool = False) -> str:
-    """The same in DuckDB SQL, sweeps and rounds written out."""
-    topic = "CASE " + " ".join(f"WHEN tokens >= {least} THEN '{name}'" for name, least in reversed(TOPICS)) + " END"
     steps = [
-        rf"docs AS (SELECT *, coalesce(source, '(null)') AS c_source, coalesce(lang, '(null)') AS c_lang, {topic} AS c_topic FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS tokens FROM {documents}))",
-        "w0 AS (SELECT c_source, c_lang, c_topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight FROM docs GROUP BY ALL)",
-        "whole AS (SELECT sum(tokens) AS total FROM w0)",
+        rf"docs AS (SELECT *, coalesce(source, '(null)') AS c_source, coalesce(lang, '(null)') AS c_lang, {topic} AS c_topic FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS tokens, {', '.join(counts)} FROM {documents}))",
+        "cells AS MATERIALIZED (SELECT c_source, c_lang, c_topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
+        f"whole AS (SELECT sum(tokens) AS total, {budget} * sum(tokens) AS kept FROM cells)",
     ]
     for d in DIMS:
-        steps.append(f"g_{d} AS (SELECT c_{d}, s / sum(s) OVER () * total AS goal FROM (SELECT c_{d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens) / greatest(any_value(total), 1), {POWERS[d]}) ELSE 0 END AS s, any_value(total) AS total FROM w0, whole GROUP BY c_{d}))")
+        steps.append(f"s_{d} AS (SELECT c_{d}, tokens, s, CASE WHEN tokens > 0 THEN s / tokens ELSE 0 END AS rate FROM (SELECT c_{d}, sum(tokens) AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {POWERS[d]}) ELSE 0 END AS s FROM cells GROUP BY c_{d}))")
+        steps.append(f"g_{d} AS MATERIALIZED (SELECT c_{d}, least(tokens, s * coalesce(max(f) OVER (), 0)) AS goal_{d} FROM (SELECT *, {factor('', 'kept')} AS f FROM s_{d}, whole))")
+    steps.append(f"w0 AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN {budget}::DOUBLE ELSE 0 END AS rate FROM cells {' '.join(f'JOIN g_{d} USING (c_{d})' for d in DIMS)})")
     n = 0
     for _ in range(SWEEPS):
         for d in DIMS:
-            steps.append(f"w{n + 1} AS (SELECT w.* EXCLUDE (weight, now), CASE WHEN now > 0 THEN weight * (goal / now) ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY c_{d}) AS now FROM w{n}) w JOIN g_{d} g USING (c_{d}))")
+            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (f) REPLACE (rate * coalesce(max(f) OVER (PARTITION BY c_{d}), 1.0) AS rate) FROM (SELECT *, {factor(f'PARTITION BY c_{d}', f'goal_{d}')} AS f FROM w{n}))")
             n += 1
-    steps.append(f"raked AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM w{n})")
-    steps.append(f"f0 AS (SELECT {budget}::DOUBLE AS factor)")
-    for r in range(CAP_ROUNDS):
-        steps.append(f"f{r + 1} AS (SELECT CASE WHEN free > 0 THEN greatest(factor, ({budget} * total - capped) / free) ELSE factor END AS factor FROM (SELECT any_value(factor) AS factor, any_value(total) AS total, sum(CASE WHEN rate * factor >= 1 THEN tokens ELSE 0 END) AS capped, sum(CASE WHEN rate * factor >= 1 THEN 0 ELSE weight END) AS free FROM raked, f{r}, whole))")
-    steps.append(f"rates AS (SELECT c_source, c_lang, c_topic, least(1.0, rate * factor) AS p FROM raked, f{CAP_ROUNDS})")
+    steps.append(f"rates AS (SELECT c_source, c_lang, c_topic, least(1.0, rate) AS p FROM w{n})")
     steps.append(f"drawn AS (SELECT d.*, p, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 8))::UBIGINT / 4294967296.0 < p)::INT AS kept FROM docs d JOIN rates USING (c_source, c_lang, c_topic))")
-    last = "SELECT doc_id, text, lang, source, n_chars FROM drawn WHERE kept = 1" if whole_rows else "SELECT doc_id, source, lang, c_topic AS topic, tokens, round(p, 6) AS prob, kept FROM drawn"
-    return "WITH " + ",\n".join(steps) + "\n" + last
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, c_topic AS topic, tokens, round(p, 6) AS prob, kept FROM drawn"
