@@ -8,8 +8,9 @@ ones are split: first by rings of set size (the distance to the pivot decides it
 of the next ring are replicated to the ring below; then by documents as pivots: every member goes to the
 Voronoi cell of its nearest pivot, and to the cell of another pivot if the triangle inequality leaves
 partners there. Members within the threshold of a pivot are linked to it as a star, and a cell whose
-members are known to be in one component is closed. Cells recurse with more pivots until they are small;
-pivots, compared with all members, leave. ``join_links`` is the complete form: it skips no pair for
+members are known to be in one component is closed; the few members outside of its main component are
+compared with all others. Cells recurse with more pivots until they are small; pivots, compared with all
+members, leave. ``join_links`` is the complete form: it skips no pair for
 being in one component already and returns every link.
 """
 
@@ -93,6 +94,10 @@ def _scatter(row: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+#: Members in this order: those that share most of what they have, then by chance; the first is a region's first pivot.
+_PLACE = ("own", "h", "row")
+
+
 def _possible(a: str, b: str, similar: int) -> Column:
     """Whether bounds on what two sets share (``r_a, r_b``: shingles from the region's on) and their sizes allow a link."""
     return (100 + similar) * F.least(f"r_{a}", f"r_{b}") >= similar * (F.col(f"n_{a}") + F.col(f"n_{b}"))
@@ -155,7 +160,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def _pairs_within(small: DataFrame, similar: int) -> DataFrame:
     """``a, b, star`` for the possible pairs of regions of bounded size; ``star``: one of them is its region's pivot."""
-    member = F.struct("own", _scatter(F.col("row"), 0).alias("h"), "row", "n", "r", "native", "far")
+    member = F.struct(*_PLACE, "n", "r", "native", "far")
     groups = small.groupBy("region").agg(F.array_sort(F.collect_list(member)).alias("m"))
     one = groups.select(F.posexplode("m").alias("i", "x"), "m")
     two = one.where(F.size("m") > F.col("i") + 1).select("i", "x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
@@ -169,6 +174,11 @@ def _reach(similar: int) -> float:
     return 1 - similar / 100 + 1e-9
 
 
+def _placed(regions: DataFrame) -> DataFrame:
+    """Regions as they are first: every member is native, no distance is known."""
+    return regions.withColumn("h", _scatter(F.col("row"), 0)).withColumn("native", F.lit(True)).withColumn("far", F.lit(None).cast("double"))
+
+
 def _alive(open_regions: DataFrame, similar: int) -> DataFrame:
     """Members that some other one may be linked with: by the least size in the region, and two members at least."""
     least = open_regions.groupBy("region").agg(F.min("n").alias("least"))
@@ -181,16 +191,32 @@ def _rings(large: DataFrame, similar: int) -> DataFrame:
     """Large regions by rings of size; a member is native in its ring and a replica in the ring below."""
     ring = F.floor(F.log("n") / F.lit(math.log(100 / similar) + 1e-9))
     both = large.withColumn("ring", ring).withColumn("lower", F.explode(F.array(F.lit(0), F.lit(1))))
-    return both.select(F.xxhash64("region", F.col("ring") - F.col("lower")).alias("region"), "row", "n", "r", "own", (F.col("lower") == 0).alias("native"), F.lit(None).cast("double").alias("far"))
+    return both.select(F.xxhash64("region", F.col("ring") - F.col("lower")).alias("region"), "row", "n", "r", "own", "h", (F.col("lower") == 0).alias("native"), F.lit(None).cast("double").alias("far"))
+
 
+def _rooted(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of regions that are in several components, with ``root``, ``main`` (the first pivot's) and ``others`` (members outside of ``main``)."""
+    rooted = large.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    main = rooted.groupBy("region").agg(F.min(F.struct(*_PLACE, "root"))["root"].alias("main"))
+    rooted = rooted.join(main, "region")
+    others = rooted.where("root <> main").groupBy("region").agg(F.count("*").alias("others"))
+    return written_table(rooted.join(others, "region"))
 
-def _closed(open_regions: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Without regions whose members are in one component."""
-    if roots is None:
-        return open_regions
-    rooted = open_regions.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = rooted.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
-    return open_regions.join(several, "region", "left_semi")
+
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs ``a, b`` that are not known to be in one component."""
+    for side in "ab" if roots is not None else "":
+        pairs = pairs.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return (pairs if roots is None else pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))).select("a", "b")
+
+
+def _pairs_outside(rooted: DataFrame, similar: int) -> DataFrame:
+    """``a, b`` for the possible pairs of regions in which a bounded number of members is outside the main component."""
+    columns = ("row", "n", "r", "native", "root")
+    one = rooted.where("root <> main").select("region", *[F.col(c).alias(f"{c}_x") for c in columns])
+    two = rooted.select("region", *[F.col(c).alias(f"{c}_y") for c in columns])
+    possible = _possible("x", "y", similar) & (F.col("native_x") | F.col("native_y")) & (F.col("root_x") != F.col("root_y"))
+    return one.join(two, "region").where(possible).select(*_ordered("row_x", "row_y")).distinct()
 
 
 def _with_pivots(large: DataFrame, pivots: int, turn: int) -> DataFrame:
@@ -198,8 +224,7 @@ def _with_pivots(large: DataFrame, pivots: int, turn: int) -> DataFrame:
 
     Pivots are the member that shares most of what it has, and a random few; the same rows in any region they are members of.
     """
-    place = F.struct("own", _scatter(F.col("row"), 0).alias("h"), "row")
-    first = large.groupBy("region").agg(F.min(place)["row"].alias("first"))
+    first = large.groupBy("region").agg(F.min(F.struct(*_PLACE))["row"].alias("first"))
     chosen = large.join(first, "region").where((F.col("row") == F.col("first")) | (_scatter(F.col("row"), turn) * F.col("members") < pivots))
     chosen = written_table(chosen.select("region", F.col("row").alias("pivot")))
     return large.select("region", "row").join(chosen, "region")
@@ -210,12 +235,12 @@ def _cells(large: DataFrame, near: DataFrame, distances: DataFrame, similar: int
     both = distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far").unionByName(distances.select(F.col("b").alias("row"), F.col("a").alias("pivot"), "far"))
     known = near.where("row <> pivot").join(both, ["row", "pivot"]).groupBy("region", "row").agg(F.array_sort(F.collect_list(F.struct("far", "pivot"))).alias("p"))
     done = near.where("row = pivot").select("region", "row")
-    members = large.join(done, ["region", "row"], "left_anti").join(known, ["region", "row"])
+    members = large.drop("root", "main", "others").join(done, ["region", "row"], "left_anti").join(known, ["region", "row"])
     own = F.element_at("p", 1)
     # a partner in the cell of another pivot is at most twice the threshold nearer to it; of two cells one takes the replica
     others = F.filter("p", lambda x: (x["pivot"] < own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))
     members = members.withColumn("others", F.when(F.col("native"), others).otherwise(F.filter("p", lambda x: (x["pivot"] != own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))))
-    members = written_table(members.select("region", "row", "n", "r", "own", "native", own.alias("cell"), "others"))
+    members = written_table(members.select("region", "row", "n", "r", "own", "h", "native", own.alias("cell"), "others"))
     split = members.groupBy("region").agg((F.sum(F.size("others") + 1) <= MOST_REPLICAS * F.count("*")).alias("split"))
     members = members.join(split, "region")
     here = F.struct(F.col("cell.far").alias("far"), F.col("cell.pivot").alias("pivot"), F.lit(True).alias("here"))
@@ -224,34 +249,29 @@ def _cells(large: DataFrame, near: DataFrame, distances: DataFrame, similar: int
     # a replica of a ring stays one in every cell: it meets natives only
     return cells.select(
         F.when(F.col("split"), F.xxhash64("region", "at.pivot")).otherwise(F.col("region")).alias("region"),
-        *("row", "n", "r", "own"),
+        *("row", "n", "r", "own", "h"),
         (F.col("native") & F.col("at.here")).alias("native"),
         F.when(F.col("split"), F.col("at.far")).alias("far"),
     )
 
 
-def _private_left(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Large regions with ``r`` cut to the shingles that a member shares with any other member of a large region."""
-    rows = written_table(large.select("row").distinct())
-    tokens = sets.join(_few(rows), "row", "left_semi").select("row", F.explode("shingles").alias("token"))
-    alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("row").alias("row")).where("df = 1").groupBy("row").agg(F.count("*").alias("alone"))
-    return large.join(alone, "row", "left").withColumn("r", F.least("r", F.col("n") - F.coalesce("alone", F.lit(0)))).drop("alone")
-
-
-def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) -> DataFrame | None:
+def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) -> DataFrame:
     """Linked pairs ``a, b, far``: all of them (``complete``), or so many that they connect whatever links connect."""
-    entered = regions.withColumn("native", F.lit(True)).withColumn("far", F.lit(None).cast("double"))
+    entered = _placed(regions)
     waiting = written_table(_pairs_within(entered.where(F.col("members") <= SMALL_REGION), similar))
-    pairs = waiting.where("star").select("a", "b")
     large = entered.where(F.col("members") > SMALL_REGION)
     if not large.isEmpty():
-        large = _alive(_rings(_private_left(large.drop("native", "far"), sets), similar), similar)
-        few = large.where(F.col("members") <= SMALL_REGION)
-        waiting = written_table(waiting.unionByName(_pairs_within(few, similar)).groupBy("a", "b").agg(F.max("star").alias("star")))
-        pairs = waiting.where("star").select("a", "b")
+        # members of large regions enter anew, with all their shingles counted among themselves
+        rows = written_table(large.select("row").distinct())
+        heads = sets.join(_few(rows), "row", "left_semi").withColumn("n", F.size("shingles").cast("long"))
+        again = _placed(_regions(heads.select("row", "n", F.col("n").alias("counted"), F.col("shingles").alias("tokens")), similar))
+        large = _alive(_rings(again.where(F.col("members") > SMALL_REGION), similar), similar)
+        for small in (again.where(F.col("members") <= SMALL_REGION), large.where(F.col("members") <= SMALL_REGION)):
+            waiting = waiting.unionByName(_pairs_within(small, similar))
+        waiting = written_table(waiting.groupBy("a", "b").agg(F.max("star").alias("star")))
         large = large.where(F.col("members") > SMALL_REGION)
-    waiting = waiting.where("not star").select("a", "b")
-    found, roots, pivots, turn = None, None, PIVOTS, 1
+    pairs, waiting = waiting.where("star").select("a", "b"), waiting.where("not star").select("a", "b")
+    found, pivots, turn = None, PIVOTS, 1
     while True:
         some = not large.isEmpty()
         if some:
@@ -260,22 +280,27 @@ def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) ->
         distances = written_table(_compared(pairs, sets, similar))
         linked = distances.where("linked").select("a", "b", "far")
         found = linked if found is None else written_table(found.unionByName(linked))
-        roots = None if complete or found.isEmpty() else written_table(components(found).withColumnRenamed("node", "row"))
         # what is left of this round is compared in the next one, unless it is known to be in one component
         pairs = waiting
+        if complete or found.isEmpty():
+            roots = None
+        else:
+            roots = written_table(components(found).withColumnRenamed("node", "row"))
+        pairs = written_table(_apart(pairs, roots))
+        if some and roots is not None:
+            large = _rooted(large, roots)
+            outside = written_table(_pairs_outside(large.where(F.col("others") <= SMALL_REGION), similar))
+            large, pairs = large.where(F.col("others") > SMALL_REGION), pairs.unionByName(outside)
         if some:
-            large = _alive(_closed(_cells(large, near, distances, similar), roots), similar)
-            pairs = pairs.unionByName(_pairs_within(large.where(F.col("members") <= SMALL_REGION), similar).select("a", "b"))
-            large = large.where(F.col("members") > SMALL_REGION)
-        if roots is not None:
-            for side in "ab":
-                pairs = pairs.join(roots.select(F.col("row").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-            pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        pairs = written_table(pairs.select("a", "b").distinct())
+            large = _alive(_cells(large, near, distances, similar), similar)
+            within = written_table(_apart(_pairs_within(large.where(F.col("members") <= SMALL_REGION), similar), roots))
+            large, pairs = large.where(F.col("members") > SMALL_REGION), pairs.unionByName(within)
+            if roots is not None:  # closed cells need no pivots
+                large = _rooted(large, roots).drop("root", "main", "others")
         waiting = pairs.limit(0)
         if pairs.isEmpty() and large.isEmpty():
             break
-        pivots, turn = 4 * pivots, turn + 1
+        pairs, pivots, turn = pairs.distinct(), 4 * pivots, turn + 1
     return found.groupBy("a", "b").agg(F.min("far").alias("far"))
 
 

@@ -30,8 +30,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of some lower-cased bytes."""
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and last two bytes of each word of some lower-cased bytes."""
     b = np.frombuffer(data, dtype=np.uint8)
     word = ~_space[b]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
@@ -39,7 +39,8 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=total[1:])
     value = (total[stop] - total[start]) * _power(_INVERSE, len(b))[start]
-    return mixed(value + (stop - start).astype(np.uint64)), start
+    tail = b[np.maximum(stop - 2, start)].astype(np.int32) * 256 + b[stop - 1]
+    return mixed(value + (stop - start).astype(np.uint64)), start, tail
 
 
 def _pieces(body: bytes) -> list[bytes]:
@@ -58,33 +59,46 @@ def _pieces(body: bytes) -> list[bytes]:
     return out
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """Word hashes of each text, lower-cased from A to Z, in order."""
-    out: list[np.ndarray] = []
+def word_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and last two bytes of the words of all texts, lower-cased from A to Z, in order, and the number of words of each text."""
+    hashes: list[np.ndarray] = []
+    tails: list[np.ndarray] = []
+    sizes: list[int] = []
     group: list[bytes] = []
-    size = 0
+    held = 0
 
     def flush() -> None:
-        nonlocal size
+        nonlocal held
         if group:
-            hashes, start = _word_hashes(b" ".join(group))
-            ends = np.cumsum([len(g) + 1 for g in group])
-            out.extend(np.split(hashes, np.searchsorted(start, ends[:-1])))
+            found, start, tail = _word_hashes(b" ".join(group))
+            ends = np.searchsorted(start, np.cumsum([len(g) + 1 for g in group]))
+            sizes.extend(np.diff(ends, prepend=0).tolist())
+            hashes.append(found)
+            tails.append(tail)
             group.clear()
-            size = 0
+            held = 0
 
     for text in texts:
         body = (text or "").encode("utf-8", "replace").lower()
-        if len(body) > STEP:
+        if held + len(body) > STEP:
             flush()
-            out.append(np.concatenate([_word_hashes(p)[0] for p in _pieces(body)]))
+        if len(body) > STEP:
+            parts = [_word_hashes(p) for p in _pieces(body)]
+            hashes.extend(p[0] for p in parts)
+            tails.extend(p[2] for p in parts)
+            sizes.append(sum(len(p[0]) for p in parts))
             continue
-        if size + len(body) > STEP:
-            flush()
         group.append(body)
-        size += len(body) + 1
+        held += len(body) + 1
     flush()
-    return out
+    none = np.empty(0, dtype=np.uint64)
+    return np.concatenate([none, *hashes]), np.concatenate([none.astype(np.int32), *tails]), np.array(sizes, dtype=np.int64)
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Word hashes of each text, lower-cased from A to Z, in order."""
+    hashes, _, sizes = word_parts(texts)
+    return np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
