@@ -1,7 +1,8 @@
 """Language identification with a bit-sliced Bloom filter over character n-grams.
 
-One filter serves all languages: each slot holds a bitmask with one bit for each language, so a lookup
-ANDs the masks of an n-gram's slots and returns every language that contains it at once. A text's
+One filter serves all languages, however many: each slot holds a bitmask with one bit for each language,
+in as many words as that takes, so a lookup ANDs the masks of an n-gram's slots and returns every language
+that contains it at once. The number of slots follows the number of n-grams. A text's
 languages are counted by bit over all its n-grams, counts are corrected for the filter's false-positive
 rate of each language, and the largest corrected count decides.
 """
@@ -16,18 +17,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.batches import blocks, bounded_sample
+from corpusmill.llm.batches import blocks
 from corpusmill.llm.columns import remainder
+from corpusmill.session import written_table
 
-#: Documents that the classifier is fitted on at most (chosen by a hash of the id).
-TRAIN_DOCS = 20_000
+#: Documents of each language that the classifier is fitted on at most (chosen by a hash of the id).
+LANG_DOCS = 5_000
 ORDER = 3
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate.
 SHARE = 0.35
+#: Least uses of an n-gram in a language; less in a language of under 10,000 times as many n-grams.
 LEAST_COUNT = 3
-#: N-grams kept at most, most frequent first: bounds what the driver gathers and the filter's load.
-MOST_GRAMS = 200_000
-SLOTS, PROBES = 1 << 20, 3
+#: Slots for each n-gram, rounded up to a power of two, and slots that an n-gram sets.
+SLOTS_A_GRAM, PROBES = 8, 3
 UNDETERMINED = "und"
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -64,33 +66,43 @@ def _grams(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     return key[same], owner[:n][same]
 
 
-def _slots(keys: np.ndarray) -> list[np.ndarray]:
-    return [((keys ^ (keys >> np.uint64(29))) * m >> np.uint64(40)).astype(np.int64) % SLOTS for m in _MIX[:PROBES]]
+def _slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    return [((keys ^ (keys >> np.uint64(29))) * m >> np.uint64(24)).astype(np.int64) % size for m in _MIX[:PROBES]]
 
 
 @dataclass(frozen=True)
 class Model:
+    """``masks``: a row of words for each slot; ``false_positive``: how often each language is found for an n-gram of none."""
+
     langs: list[str]
     masks: np.ndarray
     false_positive: np.ndarray
 
 
-def build(langs: list[str], keys: np.ndarray, masks: np.ndarray) -> Model:
-    """The filter: every n-gram sets its languages' bits in each of its slots."""
-    table = np.zeros(SLOTS, dtype=np.uint64)
-    for slot in _slots(keys):
-        np.bitwise_or.at(table, slot, masks)
-    fill = np.array([np.count_nonzero(table >> np.uint64(i) & np.uint64(1)) / SLOTS for i in range(len(langs))])
+def build(langs: list[str], keys: np.ndarray, of: np.ndarray) -> Model:
+    """The filter: every n-gram (``keys``) sets the bit of its language (``of``, a place in ``langs``) in each of its slots."""
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, SLOTS_A_GRAM * len(np.unique(keys)))))))
+    table = np.zeros((size, -(-len(langs) // 64) or 1), dtype=np.uint64)
+    for slot in _slots(keys, size):
+        np.bitwise_or.at(table, (slot, of // 64), np.uint64(1) << (of % 64).astype(np.uint64))
+    fill = np.array([np.count_nonzero(table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / size for i in range(len(langs))])
     return Model(langs, table, fill**PROBES)
 
 
-def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Fit on documents outside the held-out fold with text and language; n-grams are counted in Spark.
+def contained(model: Model, keys: np.ndarray) -> np.ndarray:
+    """The language mask, in words, of each n-gram."""
+    found = np.full((len(keys), model.masks.shape[1]), ~np.uint64(0))
+    for slot in _slots(keys, len(model.masks)):
+        found &= model.masks[slot]
+    return found
 
-    At most 64 languages, the most frequent ones, get a bit.
-    """
+
+def fit(docs: DataFrame, most: int = LANG_DOCS) -> Model:
+    """Fit on documents outside the held-out fold with text and language; n-grams are counted and chosen in Spark."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
-    sample = bounded_sample(known, "doc_id", most, "langid").select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("docs"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) / F.lit(1e6)
+    sample = known.join(sizes, "lang").where(chance * F.col("docs") < most).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,17 +111,14 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
                     keys, n = np.unique(_grams(group)[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
 
-    counts = sample.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    best = counts.orderBy(F.col("n").desc(), "lang", "gram").limit(MOST_GRAMS).toPandas()
-    langs = best.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable").index[:64].tolist()
-    best = best[best["lang"].isin(langs)]
-    if not langs:
-        return Model([], np.zeros(SLOTS, dtype=np.uint64), np.zeros(0))
-    rate = best["n"] / best.groupby("lang")["n"].transform("sum")
-    top = rate.groupby(best["gram"]).transform("max")
-    chosen = best[rate >= SHARE * top]
-    bits = np.uint64(1) << chosen["lang"].map({c: i for i, c in enumerate(langs)}).to_numpy().astype(np.uint64)
-    return build(langs, chosen["gram"].to_numpy().view(np.uint64), bits)
+    counts = written_table(sample.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = written_table(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    rated = counts.join(totals, "lang").where(F.col("n") >= F.least(F.lit(LEAST_COUNT), 1 + F.col("total") / 10_000)).select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
+    chosen = rated.join(top, "gram").where(F.col("rate") >= SHARE * F.col("top")).select("lang", "gram").toArrow()
+    langs = [r["lang"] for r in totals.orderBy(F.col("total").desc(), "lang").collect()]
+    place = {lang: i for i, lang in enumerate(langs)}
+    return build(langs, chosen["gram"].to_numpy().view(np.uint64), np.array([place[x] for x in chosen["lang"].to_pylist()], dtype=np.int64))
 
 
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -121,12 +130,10 @@ def decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
         keys, owner = _grams(group)
         if not len(keys):
             continue
-        found = np.full(len(keys), ~np.uint64(0))
-        for slot in _slots(keys):
-            found &= model.masks[slot]
+        found = contained(model, keys)
         total += np.bincount(owner, minlength=n)
         for i in range(len(model.langs)):
-            hits[:, i] += np.bincount(owner[(found >> np.uint64(i) & np.uint64(1)).astype(bool)], minlength=n)
+            hits[:, i] += np.bincount(owner[(found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=n)
     lettered = [any(map(str.isalpha, t)) for t in bodies]
     if not model.langs:
         return [UNDETERMINED] * n, [0.0] * n
