@@ -4,8 +4,9 @@ Folding undoes case, accents, look-alike letters and digits in place of letters,
 letters into single spaces. Lexicon entries start at a word start; of the entries that start at one
 word the longest counts, so a longer phrase of weight 0 is an exception. The weights of all matches,
 divided by the text's length in words, go through a logistic curve. Lexicon, exceptions and curve are
-learned from labelled documents outside the held-out fold: first the entries, then, in a second count of
-what surrounds their hits, the words and short phrases that are exceptions.
+learned from labelled documents outside the held-out fold: words, word starts and short phrases that toxic
+documents share are counted in all of them and the strong ones become entries; then, in a count of what
+surrounds their hits, the words and short phrases that are exceptions.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ TRAIN_DOCS = 10_000
 THRESHOLD = 0.3
 #: Letters of a word start that may become an entry, and of a whole word.
 STARTS = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_WEIGHT, MOST_ENTRIES, CANDIDATES = 5, 1.8, 400, 20_000
-#: Words of an exception phrase at most.
+LEAST_DOCS, LEAST_WEIGHT, MARGIN = 5, 1.8, 0.7
+#: Words of a phrase, entry or exception, at most.
 PHRASE_WORDS = 3
 #: A word counts at most so often in one document while learning, so that one junk text decides nothing.
 MOST_IN_DOC = 3
@@ -120,14 +121,18 @@ def density(model: Model, text: str | None) -> float:
 
 
 def _candidates(folded: str) -> Counter:
-    words = Counter(folded.split())
+    """Uses of words, word starts and phrases of up to ``PHRASE_WORDS`` words."""
+    words = folded.split()
     found: Counter = Counter()
-    for word, n in words.items():
+    for word, n in Counter(words).items():
         n = min(n, MOST_IN_DOC)
         found[f" {word} "] += n
         for k in STARTS:
             if len(word) >= k:
                 found[f" {word[:k]}"] += n
+    for k in range(2, PHRASE_WORDS + 1):
+        for phrase, n in Counter(zip(*(words[i:] for i in range(k)))).items():
+            found[f" {' '.join(phrase)} "] = min(n, MOST_IN_DOC)
     return found
 
 
@@ -149,18 +154,23 @@ def _weight(toxic_uses: int, clean_uses: int, toxic_words: int, clean_words: int
 
 
 def learn_entries(rows: list[tuple[str, int, int, int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
-    """Entries from candidate counts: phrase, toxic documents, toxic uses, clean documents, clean uses."""
+    """Entries from candidate counts: phrase, toxic documents, toxic uses, clean documents, clean uses.
+
+    The strongest by documents times weight come first. One that an entry is the start of, or a word of,
+    must outweigh it by ``MARGIN``; one that is the start of a heavier entry is left out.
+    """
     weight = {p: _weight(tu, cu, toxic_words, clean_words) for p, td, tu, cd, cu in rows}
     strong = sorted((r for r in rows if r[1] >= LEAST_DOCS and weight[r[0]] >= LEAST_WEIGHT), key=lambda r: (-r[1] * weight[r[0]], len(r[0]), r[0]))
     entries: dict[str, float] = {}
+    begun: dict[str, float] = {}  # the heaviest entry that each start begins
     for phrase, *_ in strong:
-        shorter = [e for e in entries if phrase.startswith(e)]
-        longer = [e for e in entries if e.startswith(phrase)]
-        if any(weight[phrase] < entries[e] + 0.7 for e in shorter) or any(weight[phrase] < entries[e] for e in longer):
+        starts = [phrase[:k] for k in range(2, len(phrase))]
+        inner = [p for word in phrase.split() for p in (f" {word} ", *(f" {word[:k]}" for k in STARTS)) if phrase.count(" ") > 2]
+        if weight[phrase] < max((entries[e] for e in (*starts, *inner) if e in entries), default=-math.inf) + MARGIN or weight[phrase] < begun.get(phrase, -math.inf):
             continue
         entries[phrase] = weight[phrase]
-        if len(entries) == MOST_ENTRIES:
-            break
+        for start in starts:
+            begun[start] = max(begun.get(start, -math.inf), weight[phrase])
     return entries
 
 
@@ -199,36 +209,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     marks = bounded_sample(marks.where(remainder(F.col("doc_id"), 4) != 2), "doc_id", most, "toxicity")
     known = docs.select("doc_id", "text").join(marks, "doc_id").select("toxic", "text")
 
-    def counts(phrases: Callable[[str], Counter]) -> DataFrame:
+    def counts(rows: DataFrame, phrases: Callable[[str], Counter]) -> DataFrame:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for toxic, rows in batch.groupby("toxic"):
+                for toxic, part in batch.groupby("toxic"):
                     uses: Counter = Counter()
                     inside: Counter = Counter()
-                    for text in rows["text"]:
+                    for text in part["text"]:
                         found = phrases(fold(text))
                         uses.update(found)
                         inside.update(found.keys())
                     if uses:
                         yield pd.DataFrame({"phrase": list(uses), "toxic": int(toxic), "docs": [inside[p] for p in uses], "uses": list(uses.values())})
 
-        counted = known.mapInPandas(count, "phrase string, toxic int, docs bigint, uses bigint")
+        counted = rows.mapInPandas(count, "phrase string, toxic int, docs bigint, uses bigint")
         sums = {f"{s}{v}": F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{s}{v}") for s, t in (("t", 1), ("c", 0)) for v, c in (("d", "docs"), ("u", "uses"))}
         return counted.groupBy("phrase").agg(*[sums[k] for k in ("td", "tu", "cd", "cu")])
 
+    # what an entry may be is decided by the toxic documents alone; the clean ones are counted for that only
+    shared = {r["phrase"] for r in counts(known.where("toxic = 1"), _candidates).where(F.col("td") >= LEAST_DOCS).select("phrase").collect()}
+
     def candidates(folded: str) -> Counter:
-        found = _candidates(folded)
+        found = Counter({p: n for p, n in _candidates(folded).items() if p in shared})
         found[""] = folded.count(" ") - 1
         return found
 
-    table = counts(candidates)
-    table = table.where((F.col("td") >= LEAST_DOCS) | (F.col("phrase") == "")).orderBy((F.col("phrase") == "").desc(), (F.col("td") / (F.col("cd") + 1)).desc(), "phrase").limit(CANDIDATES)
-    rows = [tuple(r) for r in table.collect()]
+    rows = [tuple(r) for r in counts(known, candidates).collect()]
     whole = next((r for r in rows if r[0] == ""), ("", 0, 0, 0, 0))
-    entries = learn_entries([r for r in rows if r[0] and r[1] + r[3] > 0], whole[2], whole[4])
+    entries = learn_entries([r for r in rows if r[0]], whole[2], whole[4])
     if entries:
         found = dict(entries)
-        around = counts(lambda folded: _surroundings(folded, found)).where(F.col("cd") >= LEAST_DOCS)
+        around = counts(known, lambda folded: _surroundings(folded, found)).where(F.col("cd") >= LEAST_DOCS)
         entries |= learn_exceptions([tuple(r) for r in around.collect()], found, whole[2], whole[4])
     raw = Model(entries)
 

@@ -35,6 +35,29 @@ def test_language_of_held_out_texts(talk):
     assert langid.identified_documents(talk.limit(0)).count() == 0
 
 
+def test_a_hundred_languages_and_the_filter_against_exact_sets(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    letters = [chr(0x61 + i) for i in range(26)] + [chr(0x430 + i) for i in range(32)]
+    tongue = {f"l{i}": ["".join(rng.choices(letters, k=3)) for _ in range(6)] for i in range(100)}
+    rows = [(i, " ".join("".join(rng.choices(tongue[lang], k=2)) for _ in range(30)), lang) for i, lang in enumerate(x for x in tongue for _ in range(12))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(table)
+    assert sorted(model.langs) == sorted(tongue)
+    out = {r["doc_id"]: r for r in langid.identified_documents(table).collect()}
+    held = [(i, lang) for i, _, lang in rows if out[i]["held_out"]]
+    assert sum(out[i]["lang_pred"] == lang for i, lang in held) / len(held) > 0.95
+    keys = np.array([int(k) for k in np.random.default_rng(1).integers(0, 1 << 62, 5000)], dtype=np.uint64)
+    of = np.arange(5000) % 100
+    small = langid.build([str(i) for i in range(100)], keys, of)
+    found = langid.contained(small, keys)
+    assert all(found[j, c // 64] >> np.uint64(c % 64) & np.uint64(1) for j, c in enumerate(of))
+    wrong = langid.contained(small, keys + np.uint64(1))
+    rate = np.mean([[(w[c // 64] >> np.uint64(c % 64) & np.uint64(1)) for c in range(100)] for w in wrong], axis=0)
+    assert abs(rate.mean() - small.false_positive.mean()) < 1e-3
+
+
 def test_long_texts_go_through_in_blocks(talk, monkeypatch):
     from corpusmill.llm import batches
 
@@ -102,13 +125,14 @@ def test_exceptions_are_learned_from_clean_documents(spark):
     assert toxicity.density(model, "such clowns") > 0 and toxicity.density(model, "such a jester") > 0
 
 
-def test_class_model_counts_and_base_score(spark):
+@pytest.mark.parametrize("held", (50, 1 << 19))
+def test_class_model_counts_and_base_score(spark, monkeypatch, held):
     rng = random.Random(6)
     texts = [speech(rng, list(SYLLABLES)[i % 3], rng.randint(0, 40)) for i in range(80)] + [None, "", "Unseen WORDS Ünseen ünseen"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    classlm.HELD_WORDS, keep = 50, classlm.HELD_WORDS
+    monkeypatch.setattr(classlm, "HELD_WORDS", held)
+    monkeypatch.setattr(classlm, "UNIT_WORDS", 20)
     out = {r["doc_id"]: r for r in classlm.scored_documents(table).collect()}
-    classlm.HELD_WORDS = keep
     tokens = {i: [*classlm.words(t), None] for i, t in enumerate(texts)}
     counts = Counter(w for i, ws in tokens.items() if not out[i]["held_out"] for w in ws)
     n, v = sum(counts.values()), len(counts)
@@ -120,6 +144,34 @@ def test_class_model_counts_and_base_score(spark):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
+def test_classes_of_all_words_and_scores_add_up(spark):
+    rng = random.Random(5)
+    # words of even and odd number follow each other, in 300 words of which the core holds 40
+    texts = [" ".join(f"w{2 * int(rng.paretovariate(0.7)) % 300 + j % 2}" for j in range(40)) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    vocabulary = classlm.count_words(table).cache()
+    keep, classlm.UNIT_WORDS = classlm.UNIT_WORDS, 40
+    model = classlm.fit(table, vocabulary)
+    classlm.UNIT_WORDS = keep
+    numbers = {h: i for i, h in ((i, int(classlm.word_parts([f"w{i}"])[0][0])) for i in range(300))}
+    sides: dict = {}
+    for h, n, c in zip(model.held.tolist(), model.held_n.tolist(), model.held_class.tolist()):
+        sides.setdefault(c, Counter())[numbers[h] % 2] += n
+    assert sum(max(s.values()) for s in sides.values()) > 0.97 * sum(sum(s.values()) for s in sides.values())
+    # the probabilities of the classes, and of the words of a class with the unseen one, add up to 1
+    assert (10.0**model.transition).sum(axis=1) == pytest.approx(1)
+    for c in set(model.held_class.tolist()):
+        of = model.held_class == c
+        assert ((model.held_n[of] + 1).sum() + 1) * 10.0 ** model.emission_base[c] == pytest.approx(1)
+    # the score is the plain sum of transitions and emissions
+    row = classlm.score(table.limit(1), model, vocabulary).collect()[0]
+    body = texts[row["doc_id"]].split()
+    at = {h: i for i, h in enumerate(model.held.tolist())}
+    path = [classlm.CLASSES, *(int(model.held_class[at[int(classlm.word_parts([w])[0][0])]]) for w in body), classlm.CLASSES]
+    logs = [math.log10(model.held_n[at[int(classlm.word_parts([w])[0][0])]] + 1) for w in body] + [math.log10(model.ends + 1)]
+    assert row["score"] == pytest.approx(sum(logs) + sum(model.transition[a, b] + model.emission_base[b] for a, b in zip(path, path[1:])))
+
+
 def test_exchange_ends_where_no_single_move_raises_the_likelihood():
     import numpy as np
 
