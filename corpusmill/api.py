@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schema
-from corpusmill.models import Embedder, embedded
+from corpusmill.models import Embedder, Enricher, Extractor, embedded, enrichments, extractions
+from corpusmill.functions.text import document_text
 from corpusmill.operators import enrichment, listing, retrieval, status, sync
+from corpusmill.session import written_table
 from corpusmill.sources import vault
 from corpusmill.sources.store import Store
 
@@ -85,11 +87,12 @@ class Corpus:
     def remove_set(self, name: str) -> int:
         """Removes a set and its memberships; returns how many memberships went with it."""
         sets, memberships = self.sets(), self.memberships()
+        if sets.where(F.col("name") == name).isEmpty():
+            raise KeyError(name)
         kept = sets.where(F.col("name") != name)
         left = sync.cascaded(memberships, kept, "set_id")
         gone = memberships.count() - left.count()
-        self.store.write("sets", kept)
-        self.store.write("set_memberships", left)
+        self.store.commit({"sets": kept, "set_memberships": left})
         return gone
 
     def delete(self, document_ids: DataFrame) -> None:
@@ -116,22 +119,54 @@ class Corpus:
             F.col("__content_hash").alias("content_hash"), F.col("__frontmatter").alias("frontmatter_json"), F.lit("ok").alias("status"), now.alias("created_at"), now.alias("updated_at"),
         )
         report = status.report(actions).collect()  # one row for each kind of action
-        self.store.write("documents", updated.unionByName(inserts, allowMissingColumns=True))
-        self.store.write("chunks", sync.cascaded(self.chunks(), self.documents()))
+        after = written_table(updated.unionByName(inserts, allowMissingColumns=True))
+        rows = {"chunks": self.chunks(), "set_memberships": self.memberships(), "ingest_log": self.store.read("ingest_log", schema.INGEST_LOG)}
+        self.store.commit({"documents": after} | {table: sync.cascaded(part, after) for table, part in rows.items()})
         return self.spark.createDataFrame(report, "outcome string, n bigint")
 
+    def update_set(self, name: str, description: str, set_schema: dict) -> None:
+        """A new description and schema of a set; its memberships stay."""
+        schema.check_set(name, description, set_schema)
+        sets = self.sets()
+        here = F.col("name") == name
+        if sets.where(here).isEmpty():
+            raise KeyError(name)
+        new = {"description": F.lit(description), "schema_json": F.lit(json.dumps(set_schema)), "updated_at": F.current_timestamp()}
+        self.store.write("sets", sets.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()}))
+
     def index(self, embedder: Embedder) -> DataFrame:
-        """Chunks and embeds what changed, stamps its digest; returns the report."""
+        """Chunks and embeds what changed, stamps its digest; returns how many documents were processed, skipped, failed.
+
+        What a run has computed is written once, so no chunk is sent to the model twice.
+        """
         docs = self.documents()
-        plan = enrichment.change_plan(docs, self.config.embed_model)
-        new = enrichment.replaced_chunks(self.chunks(), plan, self.config.target_chars, self.config.overlap_chars)
-        fresh = embedded(new.where(F.col("embedding").isNull()).drop("embedding"), embedder)
-        failed = fresh.where("error is not null").select("document_id").distinct()
-        good = fresh.join(failed, "document_id", "left_anti").drop("error")
-        report = status.report(plan).collect()  # one row for each kind of action
-        done = plan.where("action = 'process'").join(failed.withColumnRenamed("document_id", "id"), "id", "left_anti").select("id", "digest")
-        stamped = docs.join(done, "id", "left").withColumn("chunks_hash", F.coalesce("digest", "chunks_hash")).select(*docs.columns)
-        chunks = new.where(F.col("embedding").isNotNull()).unionByName(good)
-        self.store.write("chunks", chunks.withColumn("id", F.xxhash64("document_id", "ordinal")).select(*schema.CHUNKS.fieldNames()))
-        self.store.write("documents", stamped)
-        return self.spark.createDataFrame(report, "outcome string, n bigint")
+        plan = written_table(enrichment.change_plan(docs, self.config.embed_model))
+        fresh = written_table(embedded(enrichment.new_chunks(plan, self.config.target_chars, self.config.overlap_chars), embedder))
+        done = written_table(enrichment.outcomes(plan, fresh))
+        chunks = enrichment.replaced_chunks(self.chunks(), fresh, done).withColumn("id", F.xxhash64("document_id", "ordinal"))
+        self.store.commit({"chunks": chunks.select(*schema.CHUNKS.fieldNames()), "documents": enrichment.stamped(docs, done, "chunks_hash")})
+        return status.report(done)
+
+    def enrich(self, enricher: Enricher) -> DataFrame:
+        """Summaries, keywords and memberships of what changed; a failed document keeps what it had. Returns the report."""
+        docs, sets, memberships = self.documents(), self.sets(), self.memberships()
+        plan = written_table(enrichment.change_plan(docs, self.config.enrich_model, "enriched_hash"))
+        # the sets are part of every prompt
+        prompts = [(r["name"], r["description"]) for r in sets.orderBy("name").select("name", "description").collect()]
+        replies = written_table(enrichments(plan.where("action = 'process'"), enricher, prompts))
+        done = written_table(enrichment.outcomes(plan, replies, "id"))
+        good = replies.where("error is null")
+        changes = written_table(enrichment.reconciled(memberships, enrichment.matches(good, sets), good.select(F.col("id").alias("document_id"))))
+        self.store.commit({"documents": enrichment.enriched(docs, done, good), "set_memberships": enrichment.applied(memberships, changes)})
+        return status.report(done).unionByName(status.report(changes.where("action <> 'keep'")))
+
+    def extract(self, extractor: Extractor, set_name: str | None = None) -> DataFrame:
+        """Records of open memberships (pending or failed), of one set or all; returns how many ended in which status."""
+        docs, sets, memberships = self.documents(), self.sets(), self.memberships()
+        bodies = docs.select(F.col("id").alias("document_id"), document_text(F.col("message_text"), F.col("content")).alias("body"))
+        known = F.broadcast(sets.select(F.col("id").alias("set_id"), "schema_json"))
+        work = enrichment.open_memberships(memberships, docs, sets, set_name).join(bodies, "document_id").join(known, "set_id")
+        replies = written_table(extractions(work, extractor))
+        records = written_table(enrichment.extracted(replies.join(known, "set_id"), *enrichment.declared(F.col("schema_json"))))
+        self.store.write("set_memberships", enrichment.recorded(memberships, records, F.current_timestamp()))
+        return status.report(records, "status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -55,27 +56,63 @@ class FirstWords:
 
 
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """``chunks`` with ``embedding`` and ``error``: calls of 16 texts inside Arrow batches; a failed call fails its texts only."""
+    """``chunks`` with ``embedding`` and ``error``: calls of 16 texts inside Arrow batches.
+
+    When a call fails its texts are sent one by one, so that only those fail that the model refuses.
+    """
     kept = [f for f in chunks.schema.fields if f.name not in ("embedding", "error")]
 
+    def vectors_of(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in embedder.embed(texts)]
+        except Exception as failure:
+            return [x for t in texts for x in vectors_of([t])] if len(texts) > 1 else [(None, str(failure))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors, errors = [], []
             texts = batch["text"].tolist()
-            for at in range(0, len(texts), BATCH):
-                part = texts[at : at + BATCH]
-                try:
-                    vectors += embedder.embed(part)
-                    errors += [None] * len(part)
-                except Exception as failure:
-                    vectors += [None] * len(part)
-                    errors += [str(failure)] * len(part)
-            yield batch[[f.name for f in kept]].assign(embedding=vectors, error=errors)
+            found = [x for at in range(0, len(texts), BATCH) for x in vectors_of(texts[at : at + BATCH])]
+            yield batch[[f.name for f in kept]].assign(embedding=[v for v, _ in found], error=[e for _, e in found])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return chunks.select(*[f.name for f in kept]).mapInPandas(run, f"{fields}, embedding array<float>, error string")
 
 
+def enrichments(work: DataFrame, enricher: Enricher, sets: list[tuple[str, str]]) -> DataFrame:
+    """``id, summary, keywords, sets, error`` for rows ``id, body``: one call for each document, whose failure is its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, body in zip(batch["id"], batch["body"]):
+                try:
+                    reply = enricher.enrich(body, sets)
+                    out.append((key, reply["summary"], list(reply["keywords"]), list(reply["sets"]), None))
+                except Exception as failure:
+                    out.append((key, None, None, None, str(failure)))
+            yield pd.DataFrame(out, columns=["id", "summary", "keywords", "sets", "error"])
+
+    return work.select("id", model_text(F.col("body")).alias("body")).mapInPandas(run, "id bigint, summary string, keywords array<string>, sets array<string>, error string")
+
+
+def extractions(work: DataFrame, extractor: Extractor) -> DataFrame:
+    """``document_id, set_id, reply, error`` for rows with ``body`` and ``schema_json``; the reply keeps declared keys only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for document, of, body, schema in zip(batch["document_id"], batch["set_id"], batch["body"], batch["schema_json"]):
+                try:
+                    declared = json.loads(schema)
+                    reply = extractor.extract(body, declared)
+                    out.append((document, of, json.dumps({k: v for k, v in reply.items() if k in declared["properties"]}, ensure_ascii=False), None))
+                except Exception as failure:
+                    out.append((document, of, None, str(failure)))
+            yield pd.DataFrame(out, columns=["document_id", "set_id", "reply", "error"])
+
+    return work.select("document_id", "set_id", model_text(F.col("body")).alias("body"), "schema_json").mapInPandas(run, "document_id bigint, set_id bigint, reply string, error string")
+
+
 def model_text(text):
     """What a chat model is shown of a text."""
     return F.substring(text, 1, MOST_CHARS)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.records import as_map, cleaned, missing_fields, record_status
-from corpusmill.functions.text import chunked, digest, document_text, token_estimate
+from corpusmill.functions.text import chunked, digest, document_text, keyword_text, split_keywords, token_estimate
 from corpusmill.schema import searchable
 
 
@@ -20,12 +20,56 @@ def change_plan(docs: DataFrame, model: str, stored: str = "chunks_hash") -> Dat
     return rows.withColumn("action", F.when(F.col(stored).eqNullSafe(F.col("digest")), "skip").otherwise("process"))
 
 
-def replaced_chunks(chunks: DataFrame, plan: DataFrame, target: int = 4000, overlap: int = 400) -> DataFrame:
-    """The chunk table after indexing: chunks of unchanged documents, and new ones of processed documents (without vectors)."""
+def new_chunks(plan: DataFrame, target: int = 4000, overlap: int = 400) -> DataFrame:
+    """Chunks, without vectors, of the documents to process."""
     work = plan.where("action = 'process'").select(F.col("id").alias("document_id"), "body")
-    new = chunked(work, "body", target, overlap).withColumn("token_count", token_estimate(F.col("text")))
-    kept = chunks.join(work.select("document_id"), "document_id", "left_anti")
-    return kept.select("document_id", "ordinal", "text", "embedding").withColumn("token_count", token_estimate(F.col("text"))).unionByName(new.withColumn("embedding", F.lit(None).cast("array<float>")))
+    return chunked(work, "body", target, overlap).withColumn("token_count", token_estimate(F.col("text")))
+
+
+def outcomes(plan: DataFrame, tried: DataFrame, key: str = "document_id") -> DataFrame:
+    """``plan`` with ``action`` skip, process, or failed where any row of ``tried`` has an ``error``."""
+    failed = tried.where("error is not null").select(F.col(key).alias("id"), F.lit(True).alias("failed")).distinct()
+    return plan.join(failed, "id", "left").withColumn("action", F.when(F.col("failed") & (F.col("action") == "process"), "failed").otherwise(F.col("action"))).drop("failed")
+
+
+def replaced_chunks(chunks: DataFrame, fresh: DataFrame, done: DataFrame) -> DataFrame:
+    """The chunk table after a run: ``fresh`` chunks of the processed documents in ``done``, all others as they were.
+
+    So a document whose embedding failed keeps its chunks and vectors.
+    """
+    work = done.where("action = 'process'").select(F.col("id").alias("document_id"))
+    names = ("document_id", "ordinal", "text", "token_count", "embedding")
+    old = chunks.join(work, "document_id", "left_anti").withColumn("token_count", token_estimate(F.col("text")))
+    return old.select(*names).unionByName(fresh.join(work, "document_id", "left_semi").select(*names))
+
+
+def stamped(docs: DataFrame, done: DataFrame, column: str) -> DataFrame:
+    """``docs`` with the digest of what was processed in ``column``."""
+    new = done.where("action = 'process'").select("id", F.col("digest").alias("__digest"))
+    return docs.join(new, "id", "left").withColumn(column, F.coalesce("__digest", F.col(column))).select(*docs.columns)
+
+
+def enriched(docs: DataFrame, done: DataFrame, replies: DataFrame) -> DataFrame:
+    """``docs`` with summary, keywords and digest from the replies to processed documents; all others as they were."""
+    new = replies.select("id", F.col("summary").alias("__summary"), keyword_text(split_keywords(F.col("keywords"))).alias("__keywords"))
+    new = done.where("action = 'process'").select("id").join(new, "id")
+    hit = F.col("__keywords").isNotNull()
+    joined = stamped(docs, done, "enriched_hash").join(new, "id", "left")
+    return joined.withColumns({c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("summary", "keywords")}).select(*docs.columns)
+
+
+def matches(replies: DataFrame, sets: DataFrame) -> DataFrame:
+    """``document_id, set_id`` of the sets that replies name; names that are no set are left out."""
+    named = replies.select(F.col("id").alias("document_id"), F.explode("sets").alias("name"))
+    return named.join(F.broadcast(sets.select(F.col("id").alias("set_id"), "name")), "name").select("document_id", "set_id").distinct()
+
+
+def applied(memberships: DataFrame, changes: DataFrame) -> DataFrame:
+    """The membership table after ``reconciled`` changes: deleted ones go, new ones are pending, others stay."""
+    key = ["document_id", "set_id"]
+    kept = memberships.join(changes.where("action = 'delete'").select(*key), key, "left_anti")
+    new = changes.where("action = 'insert'").select(*key, F.lit("pending").alias("status"))
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def reconciled(memberships: DataFrame, matched: DataFrame, judged: DataFrame) -> DataFrame:
@@ -48,12 +92,34 @@ def open_memberships(memberships: DataFrame, docs: DataFrame, sets: DataFrame, s
     return named.join(docs.where(searchable()).select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
+def declared(schema_json: Column) -> tuple[Column, Column]:
+    """Names of the properties of a set's schema, and of the required ones."""
+    required = F.from_json(F.get_json_object(schema_json, "$.required"), "array<string>")
+    return F.json_object_keys(F.get_json_object(schema_json, "$.properties")), required
+
+
 def extracted(replies: DataFrame, properties: Column, required: Column) -> DataFrame:
     """Records from replies (``reply`` JSON, ``error``): undeclared keys dropped, missing fields listed, status set."""
     rows = replies.withColumn("record", cleaned(F.col("reply"), properties)).withColumn("missing_fields", missing_fields(F.col("record"), required))
     return rows.withColumn("status", record_status(F.col("missing_fields"), F.col("error")))
 
 
+def recorded(memberships: DataFrame, records: DataFrame, at: Column) -> DataFrame:
+    """The membership table after an extraction: a failed one keeps the record it had, the others have the new one."""
+    key = ["document_id", "set_id"]
+    new = records.select(*key, *[F.col(c).alias(f"__{c}") for c in ("reply", "missing_fields", "status", "error")])
+    rows = memberships.join(new, key, "left")
+    hit, good = F.col("__status").isNotNull(), F.col("__status") != "failed"
+    columns = {
+        "extracted_json": F.when(hit & good, F.col("__reply")).otherwise(F.col("extracted_json")),
+        "missing_fields": F.when(hit & good, F.col("__missing_fields")).otherwise(F.col("missing_fields")),
+        "error": F.when(hit, F.col("__error")).otherwise(F.col("error")),
+        "extracted_at": F.when(hit, at).otherwise(F.col("extracted_at")),
+        "status": F.coalesce("__status", "status"),
+    }
+    return rows.withColumns(columns).select(*memberships.columns)
+
+
 def patch(records: DataFrame, record: Column, fields: Column, properties: Column, required: Column) -> DataFrame:
     """Records merged with ``fields``; a row with undeclared keys keeps its record and lists them in ``error``."""
     from corpusmill.functions.records import patched, unknown_keys

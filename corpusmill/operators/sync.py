@@ -138,8 +138,9 @@ def purged(current: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def cascaded(children: DataFrame, survivors: DataFrame, key: str = "document_id", id_: str = "id") -> DataFrame:
-    """Child rows (chunks, memberships, log entries) whose parent survived."""
-    return children.join(survivors.select(F.col(id_).alias(key)), key, "left_semi")
+    """Child rows (chunks, memberships, log entries) whose parent survived, and those without one."""
+    kept = children.join(survivors.select(F.col(id_).alias(key)), key, "left_semi")
+    return kept.unionByName(children.where(F.col(key).isNull()))
 
 
 def parsed_messages(raw: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill import models
 from corpusmill.functions import html, records, text, urls, vectors
 from corpusmill.operators import enrichment, fulltext, listing, retrieval, status, sync
 from corpusmill.plans.tables import EMBED_MODEL, SETS, Tables, with_tables
 from corpusmill.schema import live, searchable, struct_of
+from corpusmill.session import written_table
 from corpusmill.sources import fetching, vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,7 @@ def query(sql: str | None = None, more: str = "", recursive: bool = False):
 
 WORDS, OTHER_WORDS = "the and", "der que"
 ANCHOR = 3
+ENRICH_MODEL = "qwen3:8b"
 
 
 def _query_vector(t: Tables) -> list[float]:
@@ -208,12 +211,79 @@ def change_detection(t: Tables) -> DataFrame:
     return enrichment.change_plan(docs, EMBED_MODEL).select("id", "action")
 
 
-@query("SELECT document_id, count(*) AS n, max(ordinal)::INT AS last_ordinal FROM (SELECT document_id, ordinal FROM chunks WHERE document_id NOT IN (SELECT id FROM visible)) GROUP BY 1")
-def chunks_of_unchanged(t: Tables) -> DataFrame:
-    plan = enrichment.change_plan(t.documents(), EMBED_MODEL)
-    after = enrichment.replaced_chunks(t.chunks(), plan)
-    old = after.where(F.col("embedding").isNotNull())
-    return old.groupBy("document_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("last_ordinal"))
+class RefusesQ:
+    """Stands in for the models: refuses texts with a q, and says of others what SQL can say as well."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any("q" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    def enrich(self, body: str, sets: list[tuple[str, str]]) -> dict:
+        self.embed([body])
+        return {"summary": body[:20], "keywords": ["Keywords: long, text" if len(body) > 500 else "short, text"], "sets": [name for name, letter in (("quality", "z"), ("toxic", "k"), ("invented", "e")) if letter in body]}
+
+    def extract(self, body: str, declared: dict) -> dict:
+        self.embed([body])
+        return {"lang_code": "x", "rating": None if "k" in body else len(body), "zzz": 1}
+
+
+def _changed(t: Tables, column: str, model: str) -> DataFrame:
+    """Documents of which every second one has a current digest, and some of the others a stale one."""
+    body = text.document_text(F.col("message_text"), F.col("content"))
+    return t.documents().withColumn(column, F.when(F.col("id") % 2 == 0, text.digest(model, body)).when(F.col("id") % 3 == 0, F.lit("stale")))
+
+
+_TRIED = f"tried AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'skip' WHEN contains(body, 'q') THEN 'failed' ELSE 'process' END AS action FROM (SELECT *, {_BODY} AS body FROM visible)), shown AS (SELECT * EXCLUDE (action), CASE WHEN id % 2 = 0 THEN 'skip' WHEN contains(body, 'q') THEN 'failed' ELSE 'process' END AS action FROM (SELECT * REPLACE (substr(body, 1, 6000) AS body) FROM tried))"
+
+
+@query("SELECT id, action, CASE action WHEN 'process' THEN 0 ELSE (SELECT count(*) FROM chunks WHERE document_id = id) END AS old, action = 'process' AS fresh, action = 'process' OR id % 2 = 0 AS current FROM tried", _TRIED)
+def index_with_failures(t: Tables) -> DataFrame:
+    docs, chunks = _changed(t, "chunks_hash", EMBED_MODEL), t.chunks()
+    plan = enrichment.change_plan(docs, EMBED_MODEL)
+    fresh = written_table(models.embedded(enrichment.new_chunks(plan), RefusesQ()))
+    done = enrichment.outcomes(plan, fresh)
+    after = enrichment.replaced_chunks(chunks, fresh, done).groupBy("document_id").agg(F.sum((F.size("embedding") > 1).cast("long")).alias("old"), F.max(F.size("embedding") == 1).alias("fresh"))
+    state = enrichment.stamped(docs, done, "chunks_hash").select("id", F.col("chunks_hash").alias("stamp"))
+    rows = done.join(after.withColumnRenamed("document_id", "id"), "id", "left").join(state, "id")
+    return rows.select("id", "action", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("fresh", F.lit(False)).alias("fresh"), F.col("stamp").eqNullSafe(F.col("digest")).alias("current"))
+
+
+@query(
+    """SELECT id, CASE action WHEN 'process' THEN substr(body, 1, 20) END AS summary,
+    CASE WHEN action <> 'process' THEN keywords WHEN length(body) > 500 THEN 'long, text' ELSE 'short, text' END AS keywords,
+    CASE action WHEN 'process' THEN concat_ws(',', CASE WHEN contains(body, 'z') THEN '1' END, CASE WHEN contains(body, 'k') THEN '2' END)
+    ELSE (SELECT coalesce(string_agg(set_id, ',' ORDER BY set_id), '') FROM memberships WHERE document_id = id) END AS sets FROM shown""",
+    _TRIED,
+)
+def enrichment_run(t: Tables) -> DataFrame:
+    docs, sets, memberships, model = _changed(t, "enriched_hash", ENRICH_MODEL), t.sets(), t.memberships(), ENRICH_MODEL
+    plan = enrichment.change_plan(docs, model, "enriched_hash")
+    replies = written_table(models.enrichments(plan.where("action = 'process'"), RefusesQ(), []))
+    done, good = enrichment.outcomes(plan, replies, "id"), replies.where("error is null")
+    changes = enrichment.reconciled(memberships, enrichment.matches(good, sets), good.select(F.col("id").alias("document_id")))
+    after = enrichment.applied(memberships, changes).groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("set_id").cast("string"))), ",").alias("sets"))
+    rows = enrichment.enriched(docs, done, good).join(plan.select("id"), "id", "left_semi").join(after, "id", "left")
+    return rows.select("id", "summary", "keywords", F.coalesce("sets", F.lit("")).alias("sets"))
+
+
+@query(
+    """SELECT document_id, set_id, CASE WHEN bad THEN 'failed' WHEN tried AND contains(body, 'k') THEN 'partial' WHEN tried THEN 'ok' ELSE status END AS status,
+    CASE WHEN bad THEN 'refused' WHEN NOT tried THEN error END AS error,
+    CASE WHEN tried AND NOT bad THEN '{"lang_code": "x", "rating": ' || CASE WHEN contains(body, 'k') THEN 'null' ELSE length(body)::VARCHAR END || '}' ELSE extracted_json END AS record,
+    CASE WHEN tried AND NOT bad AND contains(body, 'k') THEN 'rating' WHEN (NOT tried OR bad) AND status = 'partial' THEN 'rating' ELSE '' END AS missing
+    FROM (SELECT m.*, v.body, v.id IS NOT NULL AND m.status IN ('pending', 'failed') AS tried, tried AND contains(v.body, 'q') AS bad FROM memberships m LEFT JOIN shown v ON v.id = m.document_id)""",
+    _TRIED,
+)
+def extraction_run(t: Tables) -> DataFrame:
+    docs, sets, memberships = t.documents(), t.sets(), t.memberships().withColumn("extracted_at", F.lit(None).cast("timestamp"))
+    bodies = docs.select(F.col("id").alias("document_id"), text.document_text(F.col("message_text"), F.col("content")).alias("body"))
+    known = sets.select(F.col("id").alias("set_id"), "schema_json")
+    work = enrichment.open_memberships(memberships, docs, sets).join(bodies, "document_id").join(known, "set_id")
+    replies = written_table(models.extractions(work, RefusesQ()))
+    records = enrichment.extracted(replies.join(known, "set_id"), *enrichment.declared(F.col("schema_json")))
+    after = enrichment.recorded(memberships, records, F.lit("2024-07-01").cast("timestamp"))
+    return after.select("document_id", "set_id", "status", "error", F.col("extracted_json").alias("record"), F.coalesce(F.array_join("missing_fields", ","), F.lit("")).alias("missing"))
 
 
 @query("SELECT id, CASE WHEN length(title) > 22 THEN substr(title, 1, 21) || '…' ELSE title END AS short_title, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created FROM docs")

@@ -83,7 +83,7 @@ class Tables:
         at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("conv_id") * 60 + F.col("turn"))
         return rows.select(
             F.when(F.col("conv_id") % 23 != 0, key).alias("id"),
-            F.when(F.col("conv_id") % 31 == 0, F.lit("")).when(F.col("turn") % 2 == 0, F.concat(F.substring("text", 1, 80), F.lit(" ("), F.coalesce("url", F.lit("")), F.lit(").  see "), F.coalesce("url", F.lit("")))).otherwise(F.substring("text", 1, 80)).alias("text"),
+            F.when(F.col("conv_id") % 31 == 0, F.lit("")).when(F.col("turn") % 2 == 0, F.concat(F.col("text"), F.lit(" ("), F.coalesce("url", F.lit("")), F.lit(").  see "), F.coalesce("url", F.lit("")))).otherwise(F.col("text")).alias("text"),
             F.when(F.col("conv_id") % 37 == 0, F.lit("never")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
             F.col("role").alias("senderName"),
         )
@@ -115,7 +115,7 @@ memberships AS (
     FROM (SELECT doc_id, 1 AS set_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE toxic = 1)),
 raw_messages AS (
     SELECT CASE WHEN conv_id % 23 <> 0 THEN conv_id || '-' || turn END AS id,
-           CASE WHEN conv_id % 31 = 0 THEN '' WHEN turn % 2 = 0 THEN substr(text, 1, 80) || ' (' || coalesce(url, '') || ').  see ' || coalesce(url, '') ELSE substr(text, 1, 80) END AS text,
+           CASE WHEN conv_id % 31 = 0 THEN '' WHEN turn % 2 = 0 THEN text || ' (' || coalesce(url, '') || ').  see ' || coalesce(url, '') ELSE text END AS text,
            CASE WHEN conv_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) END AS ts, role AS sender
     FROM conversations LEFT JOIN (SELECT page_id, min(url) AS url FROM pages GROUP BY page_id) p ON p.page_id = (conv_id + turn) % (SELECT max(page_id) + 1 FROM pages)),
 messages AS (SELECT id AS message_id, text, ts, sender FROM raw_messages WHERE id IS NOT NULL AND text <> '' AND ts IS NOT NULL)

@@ -1,52 +1,55 @@
-"""Snapshot store: each table is a folder of Parquet snapshots, and a manifest names the current one."""
+"""Snapshot store: each table is a folder of Parquet snapshots, and one manifest names the current ones."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 class Store:
     """Tables under ``root``. Readers keep the snapshot they opened; one writer at a time flips the manifest.
 
-    The manifest is written through Spark's file system, so ``root`` may be any path that Spark can write.
+    A change of several tables is one file of the manifest, so it is there as a whole or not at all. The
+    manifest is written through Spark's file system, so ``root`` may be any path that Spark can write.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifest(self, table: str) -> str | None:
-        """Newest entry: manifests are append-only, and the highest version counts."""
+    def _current(self) -> dict[str, tuple[int, str]]:
+        """Version and snapshot of each table: entries are only added, and the highest version counts."""
         try:
-            rows = self.spark.read.schema("version bigint, snapshot string").json(f"{self.root}/{table}/manifest")
-            top = rows.where("snapshot is not null").orderBy("version", ascending=False).first()
+            rows = self.spark.read.schema("table string, version bigint, snapshot string").json(f"{self.root}/manifest")
+            newest = rows.where("snapshot is not null").groupBy("table").agg(F.max(F.struct("version", "snapshot")).alias("n"))
+            return {r["table"]: tuple(r["n"]) for r in newest.collect()}
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return None
-        return json.dumps([top["version"], top["snapshot"]]) if top else None
+            return {}
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The current snapshot; columns that an older one lacks are null, an absent table is empty."""
-        from pyspark.sql import functions as F
-
-        entry = self._manifest(table)
+        entry = self._current().get(table)
         if entry is None:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.parquet(f"{self.root}/{table}/{json.loads(entry)[1]}")
+        rows = self.spark.read.parquet(f"{self.root}/{table}/{entry[1]}")
         return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
-    def write(self, table: str, rows: DataFrame) -> str:
-        """A new snapshot; the manifest is flipped only after all its files are written."""
-        entry = self._manifest(table)
-        version = 1 + (json.loads(entry)[0] if entry else 0)
-        snapshot = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.root}/{table}/{snapshot}")
-        self.spark.createDataFrame([(version, snapshot)], "version bigint, snapshot string").coalesce(1).write.mode("append").json(f"{self.root}/{table}/manifest")
-        return snapshot
-
-    def append(self, table: str, rows: DataFrame, schema: T.StructType) -> str:
-        return self.write(table, self.read(table, schema).unionByName(rows, allowMissingColumns=True))
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """New snapshots of tables; the manifest is flipped once, after all files of all of them are written."""
+        now = self._current()
+        entries = []
+        for table, rows in tables.items():
+            version = 1 + now.get(table, (0, ""))[0]
+            entries.append((table, version, f"v{version:08d}-{uuid.uuid4().hex[:8]}"))
+            rows.write.parquet(f"{self.root}/{table}/{entries[-1][2]}")
+        self.spark.createDataFrame(entries, "table string, version bigint, snapshot string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        self.commit({table: rows})
+
+    def append(self, table: str, rows: DataFrame, schema: T.StructType) -> None:
+        self.write(table, self.read(table, schema).unionByName(rows, allowMissingColumns=True))

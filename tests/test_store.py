@@ -1,8 +1,10 @@
 """The store object, notes, retrieval, incremental runs and the stream, on small cases."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusmill import schema
@@ -103,6 +105,107 @@ def test_corpus_from_notes_to_search(spark, tmp_path):
     assert corpus.remove_set("kind") == 0
 
 
+# the stand-ins below go to the workers by value, as tests are not on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Refusing(HashEmbedder):
+    """An embedder that refuses texts with a word, and writes down every call."""
+
+    def __init__(self, word, log):
+        super().__init__()
+        self.word, self.log = word, log
+
+    def embed(self, texts):
+        with open(self.log, "a") as out:
+            out.write(f"{len(texts)}\n")
+        if any(self.word in t for t in texts):
+            raise RuntimeError(f"no {self.word}")
+        return super().embed(texts)
+
+
+def test_a_failed_embedding_keeps_the_chunks_and_is_counted(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "a.md").write_text("# A\napples")
+    (notes / "b.md").write_text("# B\nbirds")
+    corpus = Corpus(spark, str(tmp_path / "store"))
+    corpus.sync_vault(str(notes))
+    corpus.index(HashEmbedder())
+    before = {r["document_id"]: r["text"] for r in corpus.chunks().collect()}
+    (notes / "a.md").write_text("# A\npoison apples")
+    (notes / "b.md").write_text("# B\nbirds fly")
+    corpus.sync_vault(str(notes))
+    log = tmp_path / "calls"
+    assert {r["outcome"]: r["n"] for r in corpus.index(Refusing("poison", str(log))).collect()} == {"process": 1, "failed": 1}
+    after = {r["document_id"]: r["text"] for r in corpus.chunks().collect()}
+    bad = next(i for i, t in before.items() if "apples" in t)
+    assert after[bad] == before[bad] and "fly" in after[next(i for i in before if i != bad)]
+    assert len(log.read_text().split()) <= 3  # one call of both, or one of each, and at most one again of each
+    assert {r["outcome"]: r["n"] for r in corpus.index(HashEmbedder()).collect()} == {"process": 1, "skip": 1}
+    assert "poison" in {r["document_id"]: r["text"] for r in corpus.chunks().collect()}[bad]
+
+
+class Sorting:
+    """Enricher and extractor that know one set, invent another, and refuse a word."""
+
+    def enrich(self, body, sets):
+        if "poison" in body:
+            raise RuntimeError("refused")
+        return {"summary": body[:5], "keywords": ["Keywords: a, b"], "sets": [n for n, _ in sets if "recipe" in body] + ["invented"]}
+
+    def extract(self, body, declared):
+        if "burnt" in body:
+            raise RuntimeError("burnt")
+        return {"minutes": 5 if "5" in body else None, "other": 1}
+
+
+def test_enrich_and_extract_from_notes_to_records(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    for name, body in (("a", "recipe of 5 minutes"), ("b", "recipe without time"), ("c", "recipe burnt"), ("d", "letter"), ("e", "poison recipe")):
+        (notes / f"{name}.md").write_text(body)
+    corpus = Corpus(spark, str(tmp_path / "store"))
+    corpus.sync_vault(str(notes))
+    corpus.add_set("recipe", "food", {"type": "object", "properties": {"minutes": {"type": "integer"}}, "required": ["minutes"]})
+    assert {r["outcome"]: r["n"] for r in corpus.enrich(Sorting()).collect()} == {"process": 4, "failed": 1, "insert": 3}
+    docs = {r["source_ref"]: r for r in corpus.documents().collect()}
+    assert (docs["a.md"]["summary"], docs["a.md"]["keywords"]) == ("recip", "a, b") and docs["e.md"]["enriched_hash"] is None
+    assert {r["outcome"]: r["n"] for r in corpus.enrich(Sorting()).collect()} == {"skip": 4, "failed": 1}
+    assert {r["outcome"]: r["n"] for r in corpus.extract(Sorting(), "recipe").collect()} == {"ok": 1, "partial": 1, "failed": 1}
+    state = {r["document_id"]: r for r in corpus.memberships().collect()}
+    row = state[docs["a.md"]["id"]]
+    assert (json.loads(row["extracted_json"]), row["missing_fields"], row["error"]) == ({"minutes": 5}, [], None)
+    assert state[docs["b.md"]["id"]]["missing_fields"] == ["minutes"] and state[docs["c.md"]["id"]]["error"] == "burnt"
+    assert {r["outcome"]: r["n"] for r in corpus.extract(Sorting()).collect()} == {"failed": 1}
+    # a changed note that leaves the set loses its record, one that stays keeps it
+    (notes / "a.md").write_text("recipe of 5 minutes, again")
+    (notes / "b.md").write_text("no longer one")
+    corpus.sync_vault(str(notes))
+    assert {r["outcome"]: r["n"] for r in corpus.enrich(Sorting()).collect()} == {"process": 2, "failed": 1, "skip": 2, "delete": 1}
+    state = {r["document_id"]: r for r in corpus.memberships().collect()}
+    assert docs["b.md"]["id"] not in state and json.loads(state[docs["a.md"]["id"]]["extracted_json"]) == {"minutes": 5}
+    corpus.update_set("recipe", "cooking", {"type": "object", "properties": {"n": {"type": "integer"}}})
+    assert corpus.sets().first()["description"] == "cooking" and len(state) == corpus.memberships().count()
+    (notes / "a.md").unlink()
+    corpus.sync_vault(str(notes))
+    assert docs["a.md"]["id"] not in {r["document_id"] for r in corpus.memberships().collect()}
+    for change in (lambda: corpus.remove_set("none"), lambda: corpus.update_set("none", "x", {"type": "object", "properties": {"n": {}}})):
+        with pytest.raises(KeyError):
+            change()
+    assert corpus.remove_set("recipe") == 1
+
+
+def test_a_change_of_several_tables_is_one_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a",)], "message_id string")
+    store.commit({"t": rows, "u": rows})
+    bad = rows.withColumn("message_id", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        store.commit({"t": rows.unionByName(rows), "u": bad})
+    assert [store.read(t, schema.REACTIONS).count() for t in "tu"] == [1, 1]
+
+
 def test_store_adds_missing_columns(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.read("t", schema.REACTIONS).count() == 0
