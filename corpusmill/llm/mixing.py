@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.columns import WORD
+from corpusmill.llm.columns import WORD, let
 from corpusmill.session import written_table
 
 DIMS = ("source", "lang", "topic")
@@ -24,17 +24,21 @@ BUDGET = 0.5
 SWEEPS, CLOSE, SEED = 20, 1e-9, "mix-1"
 #: Cells and margins are broadcast up to so many bytes (at 200 a row), else shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Topics by terms: a text has the topic whose pattern it matches most often (ties: the first), or else the last.
-TOPICS = (("legal", "(?i)licen[cs]e|copyright|warrant|liabilit|permission"), ("accounts", "(?i)passw|secret|token|api_?key|login"), ("contacts", "@[A-Za-z0-9-]+[.][a-z]|[0-9][0-9 -]{7,}[0-9]"), ("general", ""))
+#: Topics by terms: a text has the topic whose terms it holds most often (ties: the first), or else the last. Terms are lower-case ASCII.
+TOPICS = (("legal", ("licens", "licenc", "copyright", "warrant", "liabilit", "permission")), ("accounts", ("passw", "secret", "token", "api_key", "login")), ("contacts", ("@", "http", "www.", "phone")), ("general", ()))
 
 
-def term_topic(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
-    counts = [F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) for _, pattern in topics[:-1]]
-    best = F.greatest(*counts, F.lit(0))
-    topic = F.lit(topics[-1][0])
-    for (name, _), n in reversed(list(zip(topics, counts))):
-        topic = F.when((n == best) & (n > 0), F.lit(name)).otherwise(topic)
-    return topic
+def term_topic(text: Column, topics: tuple[tuple[str, tuple[str, ...]], ...] = TOPICS) -> Column:
+    def uses(body: Column, terms: tuple[str, ...]) -> Column:
+        return sum(((F.octet_length(body) - F.octet_length(F.replace(body, F.lit(t), F.lit("")))) / F.lit(len(t)) for t in terms), F.lit(0.0))
+
+    def decided(n: Column) -> Column:
+        topic = F.lit(topics[-1][0])
+        for i, (name, _) in reversed(list(enumerate(topics[:-1]))):
+            topic = F.when((n[i] > 0) & (n[i] == F.array_max(n)), F.lit(name)).otherwise(topic)
+        return topic
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda b: let(F.array(*[uses(b, terms) for _, terms in topics[:-1]]), decided))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -152,7 +156,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def oracle(documents: str = "documents", budget: float = BUDGET) -> str:
     """The same in DuckDB SQL, all sweeps written out."""
-    counts = [f"coalesce(len(regexp_extract_all(text, '{pattern}')), 0) AS n{i}" for i, (_, pattern) in enumerate(TOPICS[:-1])]
+    counts = [" + ".join(f"(strlen(b) - strlen(replace(b, '{t}', ''))) / {len(t)}" for t in terms) + f" AS n{i}" for i, (_, terms) in enumerate(TOPICS[:-1])]
     best = f"greatest({', '.join(f'n{i}' for i in range(len(counts)))}, 0)"
     topic = "CASE " + " ".join(f"WHEN n{i} > 0 AND n{i} = {best} THEN '{name}'" for i, (name, _) in enumerate(TOPICS[:-1])) + f" ELSE '{TOPICS[-1][0]}' END"
 
@@ -161,7 +165,7 @@ def oracle(documents: str = "documents", budget: float = BUDGET) -> str:
         return f"CASE WHEN sum(tokens * rate) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 THEN ({goal} - coalesce(sum(tokens) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(tokens * rate) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) END"
 
     steps = [
-        rf"docs AS (SELECT *, coalesce(source, '(null)') AS c_source, coalesce(lang, '(null)') AS c_lang, {topic} AS c_topic FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS tokens, {', '.join(counts)} FROM {documents}))",
+        rf"docs AS (SELECT *, coalesce(source, '(null)') AS c_source, coalesce(lang, '(null)') AS c_lang, {topic} AS c_topic FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS tokens, {', '.join(counts)} FROM (SELECT *, lower(coalesce(text, '')) AS b FROM {documents})))",
         "cells AS MATERIALIZED (SELECT c_source, c_lang, c_topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
         f"whole AS (SELECT sum(tokens) AS total, {budget} * sum(tokens) AS kept FROM cells)",
     ]
