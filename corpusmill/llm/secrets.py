@@ -1,8 +1,8 @@
 """Secret scan over an incremental ledger of content-addressed blobs, in SQL functions only.
 
-Every version of a text is a blob, named by its SHA-256. The ledger records which blob was scanned under
-which rule version, and what was found. A run scans only the pairs of blob and rule version that the
-ledger lacks, each once however many paths hold the blob, and joins the findings back to all paths.
+Every version of a text is a blob, named by its SHA-256. The ledger has a row for each blob and rule
+version that were scanned together: ``blob, kind, rule_version, spans``. A run scans only the pairs that
+the ledger lacks, each once however many paths hold the blob, and joins the findings back to all paths.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import written_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -24,6 +26,11 @@ class Rule:
     pattern: str
     measured: int
     least: int
+    version: str = "1"
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}@{self.version}"
 
 
 # The patterns and least lengths of the three base kinds.
@@ -32,8 +39,6 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
-#: Stands for RULES in the ledger; a change of any rule needs another value.
-RULE_VERSION = "base-1"
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
@@ -76,31 +81,40 @@ def blob_name(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """New ledger rows ``blob, rule_version`` and one span array for each kind, for blobs that ``ledger`` lacks.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """New ledger rows ``blob, kind, rule_version, spans`` for the pairs of blob and rule version that ``ledger`` lacks.
 
-    A null text is the empty blob. With an empty table, or one whose blobs are all in the ledger, no row
-    results. The text of a blob is scanned once, whatever its number of copies.
+    A null text is the empty blob. With an empty table, or one whose pairs are all in the ledger, no row
+    results. The text of a blob is scanned once by each rule, whatever its number of copies.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    blobs = docs.select(F.sha2(body, 256).alias("blob"), F.lit(version).alias("rule_version"), body.alias("body"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
-    blobs = blobs.dropDuplicates(["blob"])
-    return blobs.select("blob", "rule_version", *[spans(F.col("body"), r).alias(r.kind) for r in rules])
-
-
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
+    blobs = docs.select(F.sha2(body, 256).alias("blob"), body.alias("body")).dropDuplicates(["blob"])
+    if ledger is None:
+        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
+    else:
+        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat("kind", F.lit("@"), "rule_version")).alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    rows = []
+    for rule in rules:
+        unseen = ~F.array_contains("seen", rule.name)
+        rows.append(F.when(unseen, F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("rule_version"), spans(F.col("body"), rule).alias("spans"))))
+    return blobs.select("blob", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("blob", "r.*")
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with a span array for each kind, from the ledger: findings go back to every path of a blob.
 
-    Only ledger rows with findings are joined. Columns of ``docs`` named like a kind are replaced.
+    Only ledger rows of the given rule versions that have findings are joined. A pair that is in the ledger
+    twice, as two runs at a time may append it, counts once. Columns of ``docs`` named like a kind are replaced.
     """
     kinds = [r.kind for r in rules]
-    some = ledger.where((F.col("rule_version") == version) & (sum((F.size(F.col(k)) for k in kinds), F.lit(0)) > 0))
-    found = some.select(F.col("blob").alias("__blob"), *[F.col(k).alias(f"__{k}") for k in kinds])
+    now = F.concat("kind", F.lit("@"), "rule_version").isin([r.name for r in rules])
+    some = ledger.where(now & (F.size("spans") > 0)).groupBy(F.col("blob").alias("__blob"))
+    found = some.agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), ignorenulls=True).alias(f"__{k}") for k in kinds])
     kept = [c for c in docs.columns if c not in kinds]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], blob_name(F.col(text)).alias("__blob"))
-    joined = rows.join(found, "__blob", "left")
+    # written, so that a blob of very many paths can be split in the join
+    joined = rows.join(written_table(found), "__blob", "left")
     return joined.select(*[F.col(f"`{c}`") for c in kept], *[F.coalesce(F.col(f"__{k}"), F.array().cast(SPANS)).alias(k) for k in kinds])
 
 
@@ -128,10 +142,21 @@ def listed(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def secret_documents(docs: DataFrame) -> DataFrame:
-    """Digest of a first scan (empty ledger): counts by kind, all spans, and their checksum, for every document."""
+    """Digest of an incremental scan: counts by kind, all spans, and their checksum, for every document.
+
+    An earlier run has seen the texts whose blob name starts with 0 to 7, under the present rules but for
+    an old version of ``hex``; this run scans what is left. ``scanned`` is how many rules it ran over the
+    document's blob.
+    """
     slim = docs.select("doc_id", "text")
-    found = findings(slim, scan(slim)).select("doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in RULES], listed().alias("spans"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    first = F.substring(blob_name(F.col("text")), 1, 1) < "8"
+    earlier = tuple(Rule(r.kind, r.pattern, r.measured, r.least, "0") if r.kind == "hex" else r for r in RULES)
+    ledger = written_table(scan(slim.where(first), rules=earlier))
+    new = written_table(scan(slim, ledger))
+    scanned = written_table(new.groupBy("blob").agg(F.count("*").cast("int").alias("scanned")))
+    found = findings(slim.withColumn("blob", blob_name(F.col("text"))), ledger.unionByName(new)).join(scanned, "blob", "left")
+    digest = found.select("doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in RULES], listed().alias("spans"), F.coalesce("scanned", F.lit(0)).alias("scanned"))
+    return digest.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans", "scanned")
 
 
 def oracle() -> str:
@@ -156,5 +181,5 @@ by_blob AS (
            count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
     FROM found GROUP BY blob)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, CASE WHEN blob < '8' THEN 1 ELSE 3 END::INT AS scanned
 FROM docs LEFT JOIN by_blob USING (blob)"""
