@@ -12,37 +12,37 @@ from pyspark.sql import types as T
 SKIPPED = frozenset({"script", "style", "nav", "header", "footer", "aside"})
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.in_title = 0, False
-        self.title: list[str] = []
-        self.body: list[str] = []
+class _Events(HTMLParser):
+    """A page as a list of steps: a tag with +1 where it opens and -1 where it closes, or a text with 0."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__()
+        self.steps: list[tuple[str, int]] = []
+        self.feed(page)
+        self.close()
 
     def handle_starttag(self, tag, attrs) -> None:
-        self.depth += tag in SKIPPED
-        self.in_title |= tag == "title"
+        self.steps.append((tag, 1))
 
     def handle_endtag(self, tag) -> None:
-        self.depth = max(0, self.depth - (tag in SKIPPED))
-        self.in_title &= tag != "title"
+        self.steps.append((tag, -1))
 
     def handle_data(self, data) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.depth:
-            self.body.append(data)
+        self.steps.append((data, 0))
 
 
 def html_text(html: str | None) -> tuple[str | None, str | None]:
-    """Title and content with white space collapsed; null if empty."""
-    if not html:
-        return None, None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    title, body = " ".join("".join(parser.title).split()), " ".join(" ".join(parser.body).split())
-    return title or None, body or None
+    """Title and content outside of skipped elements, pieces joined by one space, white space collapsed; null if empty."""
+    words: dict[bool, list[str]] = {True: [], False: []}
+    hidden, titled = 0, False
+    for value, change in _Events(html or "").steps:
+        if not change:
+            words[titled] += [] if hidden else value.split()
+        elif value in SKIPPED:
+            hidden = max(0, hidden + change)
+        elif value == "title":
+            titled = change > 0
+    return " ".join(words[True]) or None, " ".join(words[False]) or None
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType())]))

@@ -60,3 +60,17 @@ def test_zero_vectors_rank_last(spark):
     assert [r["id"] for r in df.orderBy(vectors.for_ranking(sim).desc()).collect()] == [2, 3, 1]
     fast = df.select("id", vectors.cosine_to([1.0, 0.0])("v").alias("s")).collect()
     assert [r["s"] for r in fast][1:] == [1.0, -1.0] and fast[0]["s"] is None
+
+
+def test_html_pages():
+    messy = "<html><head><title>My\n Title</title><script>var x</script><style>p{}</style></head><body><nav>menu</nav><header>top</header><p>Hello&nbsp;<b>wor</b>ld</p><footer>end</footer></body></html>"
+    cases = {
+        None: (None, None),
+        "": (None, None),
+        messy: ("My Title", "Hello wor ld"),
+        # a title inside a skipped element is skipped; pieces of a title are joined by a space
+        "<header><title>no</title></header><title>a</title>x<title>b</title>": ("a b", "x"),
+        "<nav><footer>a</nav>b</footer>c</aside>d": (None, "c d"),
+        "5 &lt; 6 <br> un<p>closed": (None, "5 < 6 un closed"),
+    }
+    assert {page: html.html_text(page) for page in cases} == cases
