@@ -6,13 +6,15 @@ every document, also those that a search must not return, so visibility is appli
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.functions.text import QUERY_TERM, fold_text, folded, index_terms
+from corpusmill.operators.ranking import numbered
+from corpusmill.session import written_table
 
 # Ranking parameters, and the weight of a term that most documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -49,48 +51,51 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _phrase_hits(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """``phrase`` (number), ``id``, ``tf``. One pass over the documents; only query terms leave it."""
-    wanted = sorted({t for p in phrases for t in p})
+def _phrase_counts(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """``id, len, tfs``: number of terms of every document, and of places where it has each phrase. Texts are read once."""
     fields = F.array(*[index_terms(folded(F.col(c))) for c in COLUMNS])
-    rows = docs.select("id", F.explode(fields).alias("terms"))
-    rows = rows.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in wanted])))
 
-    def count(parts: list[str]) -> Column:
+    def count(terms: Column, parts: list[str]) -> Column:
         if len(parts) == 1:
-            return F.size(F.filter("terms", lambda t: t == parts[0]))
-        places = F.sequence(F.lit(1), F.greatest(F.size("terms") - (len(parts) - 1), F.lit(1)))
+            return F.size(F.filter(terms, lambda t: t == parts[0]))
+        places = F.sequence(F.lit(1), F.greatest(F.size(terms) - (len(parts) - 1), F.lit(1)))
 
         def here(i: Column) -> Column:
             same = F.lit(True)
             for k, part in enumerate(parts):
-                same = same & F.coalesce(F.try_element_at("terms", i + k) == part, F.lit(False))
+                same = same & F.coalesce(F.try_element_at(terms, i + k) == part, F.lit(False))
             return same
 
         return F.size(F.filter(places, here))
 
-    counts = F.array(*[F.struct(F.lit(i).alias("phrase"), count(p).cast("long").alias("tf")) for i, p in enumerate(phrases)])
-    return rows.select("id", F.explode(counts).alias("h")).select("id", "h.phrase", "h.tf").groupBy("phrase", "id").agg(F.sum("tf").alias("tf")).where("tf > 0")
+    rows = docs.select("id", fields.alias("fields"))
+    length = F.aggregate("fields", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.greatest(F.size(t), F.lit(0)), F.lit(0)))
+
+    def uses(parts: list[str]) -> Column:
+        return F.aggregate("fields", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(count(t, parts), F.lit(0)))
+
+    tfs = [uses(p) for p in phrases]
+    return rows.select("id", length.alias("len"), F.array(*tfs).alias("tfs"))
 
 
 def bm25(docs: DataFrame, query: str) -> DataFrame:
     """``id, score, matched``: documents with any phrase of the query, scored over all ``docs``.
 
     A repeated term is a phrase of its own and counts again. The result is empty for a query without terms.
+    What a document has of the query, a few numbers, is written once; statistics and scores come from that.
     """
     phrases = query_phrases(query)
     if not phrases:
         return docs.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
-    hits = _phrase_hits(docs, phrases)
-    sized = lengths(docs)
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("len").alias("average"))
-    frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    weights = frequency.crossJoin(F.broadcast(corpus))  # one row of totals to one row for each phrase
-    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("phrase", "average", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
-    scored = hits.join(F.broadcast(weights), "phrase").join(sized, "id")
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("average")))
-    return scored.groupBy("id").agg(F.sum(gain).alias("score"), F.count("*").cast("int").alias("matched"))
+    counted = written_table(_phrase_counts(docs, phrases))
+    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("average"), *[F.count_if(F.col("tfs")[i] > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
+    gains = []
+    for i in range(len(phrases)):
+        raw = math.log((totals["n"] - totals[f"df{i}"] + 0.5) / (totals[f"df{i}"] + 0.5))
+        tf = F.col("tfs")[i]
+        gains.append(F.lit(raw if raw > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(totals["average"] or 1.0))))
+    hits = counted.where(F.exists("tfs", lambda t: t > 0))
+    return hits.select("id", sum(gains, F.lit(0.0)).alias("score"), F.size(F.filter("tfs", lambda t: t > 0)).alias("matched"))
 
 
 def search(docs: DataFrame, query: str, visible: Column) -> DataFrame:
@@ -106,8 +111,8 @@ def search(docs: DataFrame, query: str, visible: Column) -> DataFrame:
 
 
 def ranked(found: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:
-    """Hits with their 1-based rank; ties by id. The hits of a query, not the corpus, meet in one task."""
-    return found.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), "id")))
+    """Hits with their 1-based rank; ties by id."""
+    return numbered(found, F.col(score), "id", rank)
 
 
 def snippet(text: Column, terms: list[str], most: int = 12) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from corpusmill.functions.text import chunk_snippet
 from corpusmill.functions.vectors import cosine, cosine_to, for_ranking
 from corpusmill.operators import fulltext
+from corpusmill.operators.ranking import numbered
+from corpusmill.session import written_table
 
 #: Constant of reciprocal-rank fusion.
 RRF = 60
@@ -18,7 +20,7 @@ HOP_ONE, HOP_TWO = 10, 5
 def best_chunks(chunks: DataFrame, similarity: Column) -> DataFrame:
     """``document_id, sim, ordinal, text`` of each document's most similar chunk; ties by ordinal.
 
-    An aggregate with map-side partial sums, not a window: a document's chunks are never sorted.
+    An aggregate with map-side partial results, not a window: only the best chunk of a document in each task is shuffled.
     """
     scored = chunks.where(F.col("embedding").isNotNull()).select("document_id", "ordinal", "text", similarity.alias("sim"))
     order = F.struct(for_ranking(F.col("sim")), -F.col("ordinal"))
@@ -30,7 +32,7 @@ def vector_search(docs: DataFrame, chunks: DataFrame, query: list[float], visibl
     """Every visible document with a vector, its best chunk and its rank; ties by id, undefined similarity last."""
     seen = chunks.join(docs.where(visible).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     best = best_chunks(seen, cosine_to(query)(F.col("embedding")))
-    return best.withColumn("vector_rank", F.row_number().over(Window.orderBy(for_ranking(F.col("sim")).desc(), "document_id")))
+    return numbered(best, F.col("sim"), "document_id", "vector_rank")
 
 
 def fused(lexical: DataFrame, vector: DataFrame) -> DataFrame:
@@ -89,7 +91,8 @@ def two_hops(docs: DataFrame, chunks: DataFrame, anchor: int, visible: Column) -
     A node keeps its shortest distance; of the two directions of an edge the first one found stays.
     """
     start = docs.sparkSession.range(anchor, anchor + 1).select(F.col("id").alias("document_id"))
-    one = related(docs, chunks, start, visible, HOP_ONE).select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), F.col("rank"), F.lit(0).alias("turn"), F.lit(1).alias("hop"))
+    # at most HOP_ONE rows, written so that the branches below do not find them again
+    one = written_table(related(docs, chunks, start, visible, HOP_ONE).coalesce(1)).select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), F.col("rank"), F.lit(0).alias("turn"), F.lit(1).alias("hop"))
     first = one.select(F.col("target").alias("document_id"), F.col("rank").alias("of"))
     two = related(docs, chunks, first.select("document_id"), visible, HOP_TWO)
     two = two.join(F.broadcast(first.withColumnRenamed("document_id", "anchor")), "anchor").select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), "rank", F.col("of").alias("turn"), F.lit(2).alias("hop"))
