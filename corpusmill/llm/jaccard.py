@@ -365,3 +365,17 @@ def join_links(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> t
 
 def joined_documents(docs: DataFrame) -> DataFrame:
     return join_classes(docs)
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, from shingles as text and all pairs that share one; for small tables."""
+    return r"""
+WITH RECURSIVE cut AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+'), []) AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM cut),
+held AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b USING (x) WHERE a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN steps ON r = a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY d) USING (doc_id)"""

@@ -38,6 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_jaccard_join": jaccard.oracle(),
         "op4_secret_ledger": secrets.oracle(),
+        "op5_suffix_dedup": suffixes.oracle(),
         "op8_source_mixing": mixing.oracle(),
     }

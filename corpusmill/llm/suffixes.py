@@ -358,3 +358,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     return without_repeats(docs.select("doc_id", "text")).drop("kept")
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, by grouping every window of every text; for small tables."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, {2 * LENGTH})) AS m FROM (SELECT doc_id, h, unnest(range(1, n - {LENGTH - 2})) AS i FROM d WHERE n >= {LENGTH})),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM windows) WHERE c > 1),
+begun AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{2 * LENGTH}) + {LENGTH})::INT AS begins FROM repeated),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM begun) GROUP BY doc_id, g),
+parts AS (
+    SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS s, a - 1 AS e FROM runs
+    UNION ALL SELECT doc_id, max(z) + 1, any_value(n) FROM runs JOIN d USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * s - 1, 2 * (e - s + 1)), '' ORDER BY s) AS k FROM parts JOIN d USING (doc_id) WHERE e >= s GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
