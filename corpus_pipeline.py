@@ -41,6 +41,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keyed = docs.select("*", *[F.xxhash64(F.lit(seed), *simple).alias(name) for seed, name in enumerate(KEY)])
     rows = written_table(jaccard.with_components(keyed.select("doc_id", "text", *KEY)).where("component is not null"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first"), F.count("*").alias("members")).where("members > 1")
+    first = written_table(first)  # so that a group of very many rows can be split in the join
     stays = F.col(KEY[0]).eqNullSafe(F.col(f"first.{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"first.{KEY[1]}"))
     grouped = written_table(rows.join(first, "component").select(*KEY, stays.alias("stays")))
     gone = written_table(grouped.where("not stays").select(*KEY).distinct())
