@@ -341,7 +341,8 @@ def join_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     be linked; a null id is never the least. An empty table gives an empty result.
     """
     rows = written_table(with_components(docs.select("doc_id", "text"), width, similar))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # written, so that a component of very many rows can be split in the join
+    least = written_table(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
