@@ -234,3 +234,15 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     near = corpus_pipeline.without_near_copies(spark, docs, base)
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "2", "None"]
     assert corpus_pipeline.sharded(spark, docs, base).count() == 4
+
+
+def test_near_copies_keep_one_row_of_each_group_whatever_ids_repeat(spark):
+    a, c = " ".join(f"a{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a, "x"), (2, a, "x"), (2, c, "x"), (3, f"{c} more", "x"), (None, "n " * 9, "x"), (None, "n " * 9, "x"), (None, "n " * 9, "y"), (4, None, "x"), (4, None, "x"), (5, "", "x"), (5, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"], r["lang"]) for r in left.collect())
+    of_n = [k for k in got if k[1] == "n " * 9]
+    assert len(of_n) == 1 and got.pop(of_n[0]) == 1
+    assert got == Counter({(1, a, "x"): 1, (2, c, "x"): 1, (4, None, "x"): 2, (5, "", "x"): 1, (5, "", "z"): 1})
