@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import classlm, jaccard, langid, mixing, secrets, sharding, suffixes, tiling, toxicity, winnowing
+from corpusmill.llm import audit, classlm, codes, jaccard, langid, mixing, secrets, sharding, suffixes, tiling, topk, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": _over_documents(mixing.mixed_documents),
         "op9_string_tiling": lambda spark, sf_dir: tiling.contaminated_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")),
         "op10_winnowing": _over_documents(winnowing.fingerprints),
+        "op11_bounded_search": lambda spark, sf_dir: topk.nearest_vectors(_table(spark, sf_dir, "embeddings")),
+        "op12_filter_audit": lambda spark, sf_dir: audit.filter_audit(_documents(spark, sf_dir), _table(spark, sf_dir, "labels")),
+        "op13_pivot_codes": lambda spark, sf_dir: codes.compressed(_table(spark, sf_dir, "embeddings")),
     }
 
 
@@ -42,4 +45,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_ledger": secrets.oracle(),
         "op5_suffix_dedup": suffixes.oracle(),
         "op8_source_mixing": mixing.oracle(),
+        "op11_bounded_search": topk.oracle(),
+        "op12_filter_audit": audit.oracle(),
+        "op13_pivot_codes": codes.oracle(),
     }
