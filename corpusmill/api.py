@@ -11,6 +11,7 @@ from corpusmill import schema
 from corpusmill.models import Embedder, Enricher, Extractor, embedded, enrichments, extractions
 from corpusmill.functions.text import document_text
 from corpusmill.operators import enrichment, listing, retrieval, status, sync
+from corpusmill.operators.text_index import TextIndex
 from corpusmill.session import written_table
 from corpusmill.sources import vault
 from corpusmill.sources.store import Store
@@ -34,13 +35,23 @@ class Corpus:
     def memberships(self) -> DataFrame:
         return self.store.read("set_memberships", schema.MEMBERSHIPS)
 
+    def text_index(self) -> TextIndex:
+        return TextIndex(self.store)
+
+    def _commit(self, tables: dict[str, DataFrame]) -> None:
+        """New snapshots of tables in one commit; with new documents, the full-text index goes along."""
+        staged = [self.store.stage(table, rows) for table, rows in tables.items()]
+        for part in [p for p in staged if p.table == "documents"]:
+            staged += self.text_index().changed(self.store.read_parts("documents", [part.folder], schema.DOCUMENTS))
+        self.store.publish(staged)
+
     # --- reading ---
 
     def search(self, query: str, embedder: Embedder | None = None, limit: int = 20) -> DataFrame:
         """Hybrid search; the query is embedded on the driver, and only if there are vectors to compare it with."""
         chunks = self.chunks().where(F.col("embedding").isNotNull())
         vector = embedder.embed([query])[0] if embedder is not None and query.strip() and not chunks.isEmpty() else None
-        return retrieval.hybrid_search(self.documents(), chunks, query, vector, schema.searchable(), limit)
+        return retrieval.hybrid_search(self.documents(), chunks, query, vector, schema.searchable(), limit, self.text_index())
 
     def related(self, document_id: int, k: int = 10) -> DataFrame:
         anchor = self.spark.range(document_id, document_id + 1).select(F.col("id").alias("document_id"))
@@ -97,7 +108,7 @@ class Corpus:
 
     def delete(self, document_ids: DataFrame) -> None:
         """Tombstones: the documents stay away from listings and searches, and are not synced again."""
-        self.store.write("documents", sync.tombstoned(self.documents(), document_ids, F.current_timestamp()))
+        self._commit({"documents": sync.tombstoned(self.documents(), document_ids, F.current_timestamp())})
 
     def sync_vault(self, folder: str) -> DataFrame:
         """Brings the notes of a folder into the store; returns the report of what happened."""
@@ -121,7 +132,7 @@ class Corpus:
         report = status.report(actions).collect()  # one row for each kind of action
         after = written_table(updated.unionByName(inserts, allowMissingColumns=True))
         rows = {"chunks": self.chunks(), "set_memberships": self.memberships(), "ingest_log": self.store.read("ingest_log", schema.INGEST_LOG)}
-        self.store.commit({"documents": after} | {table: sync.cascaded(part, after) for table, part in rows.items()})
+        self._commit({"documents": after} | {table: sync.cascaded(part, after) for table, part in rows.items()})
         return self.spark.createDataFrame(report, "outcome string, n bigint")
 
     def update_set(self, name: str, description: str, set_schema: dict) -> None:
@@ -144,7 +155,7 @@ class Corpus:
         fresh = written_table(embedded(enrichment.new_chunks(plan, self.config.target_chars, self.config.overlap_chars), embedder))
         done = written_table(enrichment.outcomes(plan, fresh))
         chunks = enrichment.replaced_chunks(self.chunks(), fresh, done).withColumn("id", F.xxhash64("document_id", "ordinal"))
-        self.store.commit({"chunks": chunks.select(*schema.CHUNKS.fieldNames()), "documents": enrichment.stamped(docs, done, "chunks_hash")})
+        self._commit({"chunks": chunks.select(*schema.CHUNKS.fieldNames()), "documents": enrichment.stamped(docs, done, "chunks_hash")})
         return status.report(done)
 
     def enrich(self, enricher: Enricher) -> DataFrame:
@@ -157,7 +168,7 @@ class Corpus:
         done = written_table(enrichment.outcomes(plan, replies, "id"))
         good = replies.where("error is null")
         changes = written_table(enrichment.reconciled(memberships, enrichment.matches(good, sets), good.select(F.col("id").alias("document_id"))))
-        self.store.commit({"documents": enrichment.enriched(docs, done, good), "set_memberships": enrichment.applied(memberships, changes)})
+        self._commit({"documents": enrichment.enriched(docs, done, good), "set_memberships": enrichment.applied(memberships, changes)})
         return status.report(done).unionByName(status.report(changes.where("action <> 'keep'")))
 
     def extract(self, extractor: Extractor, set_name: str | None = None) -> DataFrame:

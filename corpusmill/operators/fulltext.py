@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import QUERY_TERM, fold_text, folded, index_terms
+from corpusmill.functions.text import INDEX_TERM, QUERY_TERM, fold_text, folded, index_terms
 from corpusmill.operators.ranking import numbered
 from corpusmill.session import written_table
 
@@ -20,6 +22,10 @@ from corpusmill.session import written_table
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "content", "summary", "keywords")
 
+#: Terms of a snippet.
+SNIPPET_TERMS = 12
+
+_token = regex.compile(INDEX_TERM.removesuffix("+") + r"[\p{L}\p{N}\p{Co}\p{Mn}]*")
 _QUERY_TERM = re.compile(r"\w+")
 _PART = re.compile(r"[^\W_]+")
 
@@ -98,31 +104,57 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     return hits.select("id", sum(gains, F.lit(0.0)).alias("score"), F.size(F.filter("tfs", lambda t: t > 0)).alias("matched"))
 
 
-def search(docs: DataFrame, query: str, visible: Column) -> DataFrame:
-    """``id, score``: visible documents with all phrases; if there is none, those with any.
+def best_matches(found: DataFrame, visible: DataFrame, whole: int) -> DataFrame:
+    """``id, score`` of hits (``id, score, matched``) on visible documents with all phrases; if there is none, those with any.
 
     Which of both applies is part of the plan: the largest number of matched phrases decides.
     """
-    found = bm25(docs, query).join(docs.where(visible).select("id"), "id", "left_semi")
-    whole = len(query_phrases(query))
-    best = found.agg(F.max("matched").alias("most"))
-    kept = found.crossJoin(F.broadcast(best))  # one row
+    seen = found.join(visible.select("id"), "id", "left_semi")
+    kept = seen.crossJoin(F.broadcast(seen.agg(F.max("matched").alias("most"))))  # one row
     return kept.where((F.col("matched") == whole) | (F.coalesce(F.col("most"), F.lit(0)) < whole)).select("id", "score")
 
 
+def search(docs: DataFrame, query: str, visible: Column) -> DataFrame:
+    """``id, score`` as :func:`best_matches`, from the texts themselves; ``text_index`` has the same from a stored index."""
+    return best_matches(bm25(docs, query), docs.where(visible), len(query_phrases(query)))
+
+
 def ranked(found: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:
     """Hits with their 1-based rank; ties by id."""
     return numbered(found, F.col(score), "id", rank)
 
 
-def snippet(text: Column, terms: list[str], most: int = 12) -> Column:
-    """A window of ``most`` words around the first query term of a text."""
-    words = F.split(F.trim(text), r"(?U)\s+")
-    keys = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    first = F.coalesce(F.array_min(F.array_compact(F.array(*[F.nullif(F.array_position(keys, t), F.lit(0)) for t in terms]))), F.lit(1))
-    start = F.greatest(F.lit(1), first - most // 2).cast("int")
-    body = F.array_join(F.slice(words, start, most), " ")
-    return F.concat(F.when(start > 1, F.lit("…")).otherwise(""), body, F.when(F.size(words) >= start + most, F.lit("…")).otherwise(""))
+def best_window(texts: list[str | None], phrases: list[list[str]], most: int = SNIPPET_TERMS) -> str:
+    """The window of ``most`` terms with the most different phrases, then the most places of phrases; the first of equal ones.
+
+    Windows lie within one text; texts go in order. Cut ends are marked with an ellipsis.
+    """
+    best, shown = (-1, -1), ""
+    for text in texts:
+        found = list(_token.finditer(text or ""))
+        terms = [fold_text(m.group()) for m in found]
+        hits = [[i for i in range(len(terms) - len(p) + 1) if terms[i : i + len(p)] == p] for p in phrases]
+        # a window that is the first of equal ones starts the text or ends with a place it needs
+        ends = {i + len(p) for p, places in zip(phrases, hits, strict=True) for i in places}
+        for start in sorted({0} | {max(0, e - most) for e in ends}):
+            inside = [sum(start <= i and i + len(p) <= start + most for i in places) for p, places in zip(phrases, hits, strict=True)]
+            rank = (len({tuple(p) for p, n in zip(phrases, inside, strict=True) if n}), sum(inside))
+            if rank > best and found:
+                last = min(start + most, len(found)) - 1
+                best = rank
+                shown = ("…" if start else "") + text[found[start].start() : found[last].end()] + ("…" if last + 1 < len(found) else "")
+    return shown
+
+
+def window_snippet(query: str):
+    """:func:`best_window` of a query over an array of texts, for the few rows of a result."""
+    phrases = [list(p) for p in dict.fromkeys(map(tuple, query_phrases(query)))]
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: best_window(list(t), phrases))
+
+    return cut
 
 
 def query_terms(query: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions.text import chunk_snippet
 from corpusmill.functions.vectors import cosine, cosine_to, for_ranking
 from corpusmill.operators import fulltext
-from corpusmill.operators.ranking import numbered
+from corpusmill.operators.ranking import head, numbered, places, sortable
 from corpusmill.session import written_table
 
 #: Constant of reciprocal-rank fusion.
@@ -22,16 +22,20 @@ def best_chunks(chunks: DataFrame, similarity: Column) -> DataFrame:
 
     An aggregate with map-side partial results, not a window: only the best chunk of a document in each task is shuffled.
     """
-    scored = chunks.where(F.col("embedding").isNotNull()).select("document_id", "ordinal", "text", similarity.alias("sim"))
+    kept = ["sim", "ordinal", *(["text"] if "text" in chunks.columns else [])]
+    scored = chunks.where(F.col("embedding").isNotNull()).withColumn("sim", similarity).select("document_id", *kept)
     order = F.struct(for_ranking(F.col("sim")), -F.col("ordinal"))
-    best = scored.groupBy("document_id").agg(F.max_by(F.struct("sim", "ordinal", "text"), order).alias("b"))
+    best = scored.groupBy("document_id").agg(F.max_by(F.struct(*kept), order).alias("b"))
     return best.select("document_id", "b.*")
 
 
+def _on_visible(docs: DataFrame, chunks: DataFrame, visible: Column) -> DataFrame:
+    return chunks.join(docs.where(visible).select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
 def vector_search(docs: DataFrame, chunks: DataFrame, query: list[float], visible: Column) -> DataFrame:
     """Every visible document with a vector, its best chunk and its rank; ties by id, undefined similarity last."""
-    seen = chunks.join(docs.where(visible).select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    best = best_chunks(seen, cosine_to(query)(F.col("embedding")))
+    best = best_chunks(_on_visible(docs, chunks, visible), cosine_to(query)(F.col("embedding")))
     return numbered(best, F.col("sim"), "document_id", "vector_rank")
 
 
@@ -42,23 +46,51 @@ def fused(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return joined.withColumn("score", part[0] + part[1])
 
 
-def hybrid_search(docs: DataFrame, chunks: DataFrame, query: str, vector: list[float] | None, visible: Column, limit: int = 20) -> DataFrame:
-    """BM25 and vector ranks fused; the snippet is that of the best chunk where there is one.
+def fused_top(lexical: DataFrame, vector: DataFrame, limit: int) -> list[tuple[int, float, int | None, int | None]]:
+    """``document_id, score, fts_rank, vector_rank`` of the first ``limit`` rows of the fusion, from the heads of both lists.
 
-    A query without a term has no result, whatever the vectors say. ``limit`` 0 is empty, below 0 an error.
+    ``lexical`` has ``document_id, score``, ``vector`` ``document_id, sim``; both are read several times. A
+    list with ``limit`` rows or more gives each of its first ``limit`` at least 1 / (60 + limit). A document
+    beyond place d of both lists gets at most 2 / (61 + d), which is less for d = 60 + 2 * limit. So the
+    heads of that depth hold every document of the result; their places in the other list are counted.
+    """
+    depth = RRF + 2 * limit
+    lists = ((lexical, "score"), (vector, "sim"))
+    heads = [head(rows, score, "document_id", depth) for rows, score in lists]
+    ranks = [{i: n for n, (_, i) in enumerate(h, start=1)} for h in heads]
+    for n, (rows, score) in enumerate(lists):
+        elsewhere = [i for i in ranks[1 - n] if i not in ranks[n]]
+        if len(heads[n]) == depth and elsewhere:  # a shorter list was seen as a whole
+            keys = rows.where(F.col("document_id").isin(elsewhere)).select(sortable(F.col(score)).alias("s"), "document_id").collect()
+            ranks[n] |= places(rows, score, "document_id", [(r["s"], r["document_id"]) for r in keys])
+    found = [(i, sum(1.0 / (RRF + r[i]) for r in ranks if i in r), ranks[0].get(i), ranks[1].get(i)) for i in {*ranks[0], *ranks[1]}]
+    return sorted(found, key=lambda f: (-f[1], f[0]))[:limit]
+
+
+def hybrid_search(docs: DataFrame, chunks: DataFrame, query: str, vector: list[float] | None, visible: Column, limit: int = 20, index=None) -> DataFrame:
+    """BM25 and vector ranks fused; the snippet is that of the best chunk where there is one, else the best window of the text.
+
+    ``index`` is a stored index of ``docs`` (``text_index.TextIndex``); without one the texts are read. A
+    query without a term has no result, whatever the vectors say. ``limit`` 0 is empty, below 0 an error.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    phrases = fulltext.query_phrases(query)
-    hits = fulltext.search(docs, query, visible)
-    lexical = fulltext.ranked(hits, rank="fts_rank").select(F.col("id").alias("document_id"), "fts_rank")
-    empty = chunks.select("document_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("vector_rank")).limit(0)
-    ranked = vector_search(docs, chunks, vector, visible).select("document_id", "text", "vector_rank") if vector is not None and phrases else empty
-    top = fused(lexical, ranked).orderBy(F.col("score").desc(), "document_id").limit(limit)
-    about = docs.select(F.col("id").alias("document_id"), "title", "url", "source", "content")
-    found = about.join(F.broadcast(top), "document_id")  # at most ``limit`` rows
-    lexical_snippet = fulltext.snippet(F.col("content"), [t for p in phrases for t in p] or [""])
-    return found.select("document_id", "title", "url", "source", F.coalesce(chunk_snippet(F.col("text")), lexical_snippet).alias("snippet"), "score", "fts_rank", "vector_rank").orderBy(F.col("score").desc(), "document_id")
+    hits = index.search(docs, query, visible) if index is not None else fulltext.search(docs, query, visible)
+    lexical = written_table(hits.select(F.col("id").alias("document_id"), "score"))
+    if vector is not None and fulltext.query_phrases(query):
+        best = best_chunks(_on_visible(docs, chunks, visible).drop("text"), cosine_to(vector)(F.col("embedding")))
+        nearest = written_table(best.select("document_id", "sim", "ordinal"))
+    else:
+        nearest = chunks.select("document_id", F.lit(0.0).alias("sim"), "ordinal").limit(0)
+    top = fused_top(lexical, nearest, limit)
+    rows = docs.sparkSession.createDataFrame(top, "document_id bigint, score double, fts_rank int, vector_rank int").coalesce(1)
+    ids = [t[0] for t in top]
+    here = F.col("document_id").isin(ids)
+    texts = chunks.where(here).select("document_id", "ordinal", "text").join(F.broadcast(nearest.where(here).select("document_id", "ordinal")), ["document_id", "ordinal"])
+    about = docs.where(F.col("id").isin(ids)).select(F.col("id").alias("document_id"), "title", "url", "source", *[F.col(c).alias(f"__{c}") for c in fulltext.COLUMNS])
+    found = about.join(F.broadcast(rows), "document_id").join(F.broadcast(texts), "document_id", "left")  # at most ``limit`` rows
+    window = fulltext.window_snippet(query)(F.array(*[F.col(f"__{c}") for c in fulltext.COLUMNS]))
+    return found.select("document_id", "title", "url", "source", F.coalesce(chunk_snippet(F.col("text")), window).alias("snippet"), "score", "fts_rank", "vector_rank").orderBy(F.col("score").desc(), "document_id")
 
 
 def centroids(chunks: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -68,38 +68,67 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id OR
 ranked AS (SELECT *, row_number() OVER (ORDER BY sim DESC, document_id) AS vector_rank FROM best)"""
 
 
+_SNIPPET = "CASE WHEN length(trim(text)) <= 300 THEN trim(text) ELSE regexp_replace(substr(trim(text), 1, 300), ' [^ ]*$', '') || '…' END"
+
+_WANTED = ", ".join(f"'{w}'" for w in WORDS.split())
+_FUSED = f"""
+fused AS (SELECT document_id, coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) AS score, fts_rank, vector_rank, text FROM lexical FULL JOIN ranked USING (document_id)),
+top AS (SELECT * FROM fused ORDER BY score DESC, document_id LIMIT 20),
+pieces AS (SELECT document_id, i AS field, regexp_extract_all([docs.title, docs.content, docs.keywords][i], '[\\pL\\pN]+[^\\pL\\pN]*') AS parts FROM top JOIN docs ON docs.id = document_id, range(1, 4) r(i)),
+folds AS (SELECT *, list_transform(parts, lambda x: lower(strip_accents(regexp_extract(x, '[\\pL\\pN]+')))) AS terms FROM pieces),
+windows AS (SELECT document_id, field, k, parts, list_filter(list_slice(terms, k, k + 11), lambda x: x IN ({_WANTED})) AS hits FROM folds, unnest(range(1, len(terms) + 1)) u(k)),
+shown AS (SELECT document_id, CASE WHEN k > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(list_slice(parts, k, k + 11), ''), '[^\\pL\\pN]+$', '') || CASE WHEN len(parts) > k + 11 THEN '…' ELSE '' END AS found
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY len(list_distinct(hits)) DESC, len(hits) DESC, field, k) AS n FROM windows) WHERE n = 1),
+clean AS (SELECT document_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM top)"""
+
+
 @query(
-    "SELECT document_id, round(coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0), 6) AS score, fts_rank::INT AS fts_rank, vector_rank::INT AS vector_rank, substr(docs.title, 1, 60) AS title FROM lexical FULL JOIN ranked USING (document_id) JOIN docs ON docs.id = document_id ORDER BY coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) DESC, document_id LIMIT 20",
-    f"{_bm25(WORDS)}, {_VECTOR}",
+    f"SELECT document_id, round(score, 6) AS score, fts_rank::INT AS fts_rank, vector_rank::INT AS vector_rank, docs.title, docs.url, coalesce({_SNIPPET.replace('text', 'clean.text')}, found) AS snippet FROM top JOIN docs ON docs.id = document_id JOIN clean USING (document_id) LEFT JOIN shown USING (document_id)",
+    f"{_bm25(WORDS)}, {_VECTOR}, {_FUSED}",
 )
 def hybrid_search(t: Tables) -> DataFrame:
-    found = retrieval.hybrid_search(t.documents(), t.chunks(), WORDS, _query_vector(t), searchable(), 20)
-    return found.select("document_id", F.round("score", 6).alias("score"), "fts_rank", "vector_rank", "title")
+    found = retrieval.hybrid_search(t.documents(), t.chunks(), WORDS, _query_vector(t), searchable(), 20, t.text_index())
+    return found.select("document_id", F.round("score", 6).alias("score"), "fts_rank", "vector_rank", "title", "url", "snippet")
+
+
+def _lexical(t: Tables, words: str) -> DataFrame:
+    return t.text_index().search(t.documents(), words, searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT id AS document_id, round(score, 6) AS score FROM found", _bm25(WORDS))
 def fts_bm25(t: Tables) -> DataFrame:
-    return fulltext.search(t.documents(), WORDS, searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _lexical(t, WORDS)
 
 
 @query("SELECT id AS document_id, round(score, 6) AS score FROM found", _bm25("idiot naechste zzzz"))
 def fts_any_term(t: Tables) -> DataFrame:
-    return fulltext.search(t.documents(), "idiot naechste zzzz", searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _lexical(t, "idiot naechste zzzz")
 
 
 @query("SELECT id AS document_id, round(score, 6) AS score FROM found", _bm25("the the moron"))
 def fts_repeated_term(t: Tables) -> DataFrame:
-    return fulltext.search(t.documents(), "the the moron", searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _lexical(t, "the the moron")
+
+
+@query("SELECT document_id, fts_rank::INT AS fts_rank FROM lexical", _bm25(WORDS))
+def fts_ranks(t: Tables) -> DataFrame:
+    hits = t.text_index().search(t.documents(), WORDS, searchable())
+    return fulltext.ranked(hits, rank="fts_rank").select(F.col("id").alias("document_id"), "fts_rank")
+
+
+@query("SELECT id AS document_id, round(score, 6) AS score FROM found", _bm25("the and der"))
+def fts_without_index(t: Tables) -> DataFrame:
+    return fulltext.search(t.documents(), "the and der", searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT term, count(DISTINCT id)::BIGINT AS df, count(*)::BIGINT AS cf FROM tokens GROUP BY term", _bm25(WORDS))
 def fts_term_statistics(t: Tables) -> DataFrame:
-    return fulltext.term_statistics(fulltext.postings(t.documents()))
+    return fulltext.term_statistics(t.text_index().postings())
 
 
 @query("SELECT n::BIGINT AS n, round(average, 6) AS average FROM corpus", _bm25(WORDS))
 def fts_corpus_statistics(t: Tables) -> DataFrame:
-    return fulltext.lengths(t.documents()).agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("average"))
+    return t.text_index().entries().agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("average"))
 
 
 @query("SELECT item_id, array_to_string(regexp_extract_all(text, '[\\pL\\pN_]+'), '|') AS terms FROM benchmark")
@@ -113,9 +142,6 @@ def vector_best_chunk(t: Tables) -> DataFrame:
     return found.select("document_id", F.round("sim", 6).alias("sim"), "ordinal", "vector_rank")
 
 
-_SNIPPET = "CASE WHEN length(trim(text)) <= 300 THEN trim(text) ELSE regexp_replace(substr(trim(text), 1, 300), ' [^ ]*$', '') || '…' END"
-
-
 @query(f"SELECT document_id, ordinal, {_SNIPPET} AS snippet FROM (SELECT document_id, ordinal, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM chunks)")
 def chunk_snippets(t: Tables) -> DataFrame:
     return t.chunks().select("document_id", "ordinal", text.chunk_snippet(F.col("text")).alias("snippet"))

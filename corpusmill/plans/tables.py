@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.text_index import TextIndex, index_of
+
 EMBED_MODEL = "bge-m3"
 
 #: Schemas of the two sets, by id.
@@ -46,6 +48,10 @@ class Tables:
             F.when(n % 29 == 0, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
         )
 
+    def text_index(self) -> TextIndex:
+        """The stored full-text index of :meth:`documents`: made at the first search over the folder, read by the others."""
+        return index_of(self.documents(), self.raw("documents"), self.sf_dir)
+
     def chunks(self) -> DataFrame:
         rows = self.raw("embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("document_id"), (F.col("vec_id") % 2).cast("int").alias("ordinal"), "embedding")
         texts = self.raw("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole"))

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A written part of a table that no reader sees before it is published."""
+
+    table: str
+    folder: str
+    added: bool  # to the current parts, instead of in their place
+
+
 class Store:
     """Tables under ``root``. Readers keep the snapshot they opened; one writer at a time flips the manifest.
 
-    A change of several tables is one file of the manifest, so it is there as a whole or not at all. The
-    manifest is written through Spark's file system, so ``root`` may be any path that Spark can write.
+    A snapshot is one folder or, for tables that grow by segments, several. A change of several tables is
+    one file of the manifest, so it is there as a whole or not at all. The manifest is written through
+    Spark's file system, so ``root`` may be any path that Spark can write.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _current(self) -> dict[str, tuple[int, str]]:
-        """Version and snapshot of each table: entries are only added, and the highest version counts."""
+        """Version and folders of each table: entries are only added, and the highest version counts."""
         try:
             rows = self.spark.read.schema("table string, version bigint, snapshot string").json(f"{self.root}/manifest")
             newest = rows.where("snapshot is not null").groupBy("table").agg(F.max(F.struct("version", "snapshot")).alias("n"))
@@ -30,23 +41,44 @@ class Store:
                 raise
             return {}
 
-    def read(self, table: str, schema: T.StructType) -> DataFrame:
-        """The current snapshot; columns that an older one lacks are null, an absent table is empty."""
-        entry = self._current().get(table)
-        if entry is None:
+    def parts(self, table: str) -> list[str]:
+        """Folders of the current snapshot."""
+        return [p for p in self._current().get(table, (0, ""))[1].split(",") if p]
+
+    def opened(self) -> dict[str, list[str]]:
+        """Folders of all tables at one moment: what a reader that keeps to one snapshot reads."""
+        return {table: [p for p in folders.split(",") if p] for table, (_, folders) in self._current().items()}
+
+    def read_parts(self, table: str, folders: list[str], schema: T.StructType) -> DataFrame:
+        """Some folders of a table; columns that one lacks are null, no folders are an empty table."""
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.parquet(f"{self.root}/{table}/{entry[1]}")
-        return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+
+    def read(self, table: str, schema: T.StructType) -> DataFrame:
+        """The current snapshot; an absent table is empty."""
+        return self.read_parts(table, self.parts(table), schema)
+
+    def stage(self, table: str, rows: DataFrame, segment: bool = False, by: tuple[str, ...] = (), **options: str) -> Staged:
+        """Write a part of a table; a ``segment`` joins the current ones and has its name as a column when it is read."""
+        name = uuid.uuid4().hex[:12]
+        staged = Staged(table, f"segment={name}" if segment else f"v-{name}", segment)
+        writer: DataFrameWriter = rows.write.options(**options)
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}/{staged.folder}")
+        return staged
+
+    def publish(self, staged: list[Staged]) -> None:
+        """All staged parts become current at once."""
+        now, folders = self._current(), {}
+        for part in staged:
+            before = folders.get(part.table, now.get(part.table, (0, ""))[1] if part.added else "")
+            folders[part.table] = ",".join(x for x in (before, part.folder) if x)
+        entries = [(t, 1 + now.get(t, (0, ""))[0], f) for t, f in folders.items()]
+        self.spark.createDataFrame(entries, "table string, version bigint, snapshot string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         """New snapshots of tables; the manifest is flipped once, after all files of all of them are written."""
-        now = self._current()
-        entries = []
-        for table, rows in tables.items():
-            version = 1 + now.get(table, (0, ""))[0]
-            entries.append((table, version, f"v{version:08d}-{uuid.uuid4().hex[:8]}"))
-            rows.write.parquet(f"{self.root}/{table}/{entries[-1][2]}")
-        self.spark.createDataFrame(entries, "table string, version bigint, snapshot string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        self.publish([self.stage(table, rows) for table, rows in tables.items()])
 
     def write(self, table: str, rows: DataFrame) -> None:
         self.commit({table: rows})
