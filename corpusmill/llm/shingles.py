@@ -36,11 +36,16 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = ~_space[b]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=total[1:])
-    value = (total[stop] - total[start]) * _power(_INVERSE, len(b))[start]
+    if not len(start):
+        return np.empty(0, dtype=np.uint64), start, np.empty(0, dtype=np.int32)
+    # each pair of a byte and its place in the word has a scrambled value of its own, and a word the sum of
+    # these: unlike a polynomial modulo 2**64 this has no strings that are alike whatever the base
+    length = stop - start
+    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
+    value = mixed((place.astype(np.uint64) << np.uint64(8) | b[word]) * np.uint64(_BASE) + np.uint64(1))
+    total = np.add.reduceat(value, np.cumsum(length) - length)
     tail = b[np.maximum(stop - 2, start)].astype(np.int32) * 256 + b[stop - 1]
-    return mixed(value + (stop - start).astype(np.uint64)), start, tail
+    return mixed(total + length.astype(np.uint64)), start, tail
 
 
 def _pieces(body: bytes) -> list[bytes]:

@@ -144,6 +144,18 @@ def test_class_model_counts_and_base_score(spark, monkeypatch, held):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
+def test_words_that_polynomial_hashes_confuse_are_told_apart(spark):
+    import zlib
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "some plain words here" if i % 2 else f"some {one}") for i in range(50)]
+    rows[held] = (held, other)
+    out = {r["doc_id"]: r for r in classlm.scored_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (out[held]["n_tokens"], out[held]["n_known"]) == (2, 1)
+
+
 def test_classes_of_all_words_and_scores_add_up(spark):
     rng = random.Random(5)
     # words of even and odd number follow each other, in 300 words of which the core holds 40

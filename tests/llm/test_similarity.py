@@ -94,6 +94,19 @@ def test_join_of_odd_tables(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in out) == [("3", 2, 3), ("7", 2, 3), ("7", 2, 3), ("None", 0, None), ("None", 2, 3)]
 
 
+def alternating(n, a, b):
+    """The word whose i-th letter is told by the parity of the bits of i: such pairs meet under any polynomial hash modulo 2**64."""
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    pairs = [(alternating(1 << k, "a", "b"), alternating(1 << k, "b", "a")) for k in (10, 11, 12)]
+    rows = [(2 * i + j, word) for i, pair in enumerate(pairs) for j, word in enumerate(pair)] + [(6, pairs[0][0]), (7, pairs[0][1] + " x")]
+    out = jaccard.joined_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows)
+    assert len({int(h[0]) for h in word_hashes([w for pair in pairs for w in pair])}) == 6
+
+
 def test_shingles_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     from corpusmill.llm import shingles as module
 
