@@ -113,6 +113,22 @@ def extractions(work: DataFrame, extractor: Extractor) -> DataFrame:
     return work.select("document_id", "set_id", model_text(F.col("body")).alias("body"), "schema_json").mapInPandas(run, "document_id bigint, set_id bigint, reply string, error string")
 
 
+def reactions(due: DataFrame, react) -> DataFrame:
+    """``message_id, done`` for messages to react to; what ``react`` raises is a reaction that was not made."""
+
+    def made(message: str) -> bool:
+        try:
+            return bool(react(message))
+        except Exception:
+            return False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(done=[made(m) for m in batch["message_id"]])
+
+    return due.select("message_id").mapInPandas(run, "message_id string, done boolean")
+
+
 def model_text(text):
     """What a chat model is shown of a text."""
     return F.substring(text, 1, MOST_CHARS)

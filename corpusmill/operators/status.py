@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusmill.schema import live, searchable
+from corpusmill.session import written_table
 
 STAGES = ("fetch", "embed", "enrich", "extract")
 
@@ -53,3 +54,10 @@ def extract_queue(docs: DataFrame, memberships: DataFrame, sets: DataFrame, limi
 def report(actions: DataFrame, outcome: str = "action") -> DataFrame:
     """``outcome, n``: how many rows a run treated in which way."""
     return actions.groupBy(F.col(outcome).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def observed(rows: DataFrame, outcome: str, outcomes: tuple[str, ...]) -> tuple[DataFrame, dict[str, int]]:
+    """``rows``, written, and how many have which outcome: counted while they are written, not by reading them again."""
+    seen = Observation()
+    kept = written_table(rows.observe(seen, *[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes]))
+    return kept, {o: n or 0 for o, n in seen.get.items()}

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions.urls import adapter, commentary, found_urls
 
 KEY = ["source", "source_ref"]
+NOTE_ACTIONS = ("insert", "update", "noop", "purge", "respect_tombstone", "stay_deleted")
 
 
 def note_actions(current: DataFrame, notes: DataFrame, source: str = "obsidian") -> DataFrame:
@@ -92,9 +93,10 @@ def upserted(current: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
     """The snapshot after extraction results (``source, source_ref, url, parent_document_id, title, author, content, status, error``).
 
     By natural key; an update overwrites title, author, content, status and error also with nulls (a
-    failed refetch loses old content), and leaves everything else, also a deletion, as it is.
+    failed refetch loses old content), and so it does with ``extra`` and ``message_text`` if the results
+    have them; it leaves everything else, also a deletion, as it is.
     """
-    fresh = ("title", "author", "content", "status", "error")
+    fresh = ("title", "author", "content", "status", "error", *[c for c in ("extra", "message_text") if c in incoming.columns])
     new = incoming.select(*KEY, *[F.col(c).alias(f"__{c}") for c in ("url", "parent_document_id", *fresh)], F.lit(True).alias("__hit"))
     old = current.withColumn("__old", F.lit(True))
     joined = old.join(new, KEY, "full_outer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import models
+from corpusmill.api import Corpus
 from corpusmill.functions import html, records, text, urls, vectors
 from corpusmill.operators import enrichment, fulltext, listing, retrieval, status, sync
 from corpusmill.plans.tables import EMBED_MODEL, SETS, Tables, with_tables
-from corpusmill.schema import live, searchable, struct_of
-from corpusmill.session import written_table
+from corpusmill.operators.ranking import numbered
+from corpusmill.schema import Config, live, searchable, struct_of
+from corpusmill.session import shared_folder, written_table
 from corpusmill.sources import fetching, vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +94,22 @@ def hybrid_search(t: Tables) -> DataFrame:
     return found.select("document_id", F.round("score", 6).alias("score"), "fts_rank", "vector_rank", "title", "url", "snippet")
 
 
+def _corpus(t: Tables, cap: int, **tables: DataFrame) -> Corpus:
+    """A store of its own for a job, with some tables in it."""
+    corpus = Corpus(t.spark, f"{shared_folder(t.spark)}/jobs/{uuid.uuid4().hex}", Config(max_fetches_per_run=cap, full_text=False))
+    corpus.store.commit(tables)
+    return corpus
+
+
+class Answers:
+    """Stands in for the network: refuses one URL in three by its length, and answers what SQL can say as well."""
+
+    def __call__(self, url: str) -> tuple:
+        if len(url) % 3 == 0:
+            raise OSError("HTTP 500")
+        return url, "ok", f"<html><head><title>at {url}</title></head><body><nav>menu</nav><p>text of {len(url)}</p></body></html>", "text/html", None
+
+
 def _lexical(t: Tables, words: str) -> DataFrame:
     return t.text_index().search(t.documents(), words, searchable()).select(F.col("id").alias("document_id"), F.round("score", 6).alias("score"))
 
@@ -633,6 +652,95 @@ def url_decisions(t: Tables) -> DataFrame:
     return sync.url_decisions(links, t.documents(), 25).select("position", "decision", "new_placeholder")
 
 
+_FETCHED = "CASE WHEN length(url) % 3 = 0 THEN 'failed' ELSE 'ok' END"
+# the links of messages, newest first, under a budget that counts every URL once
+_CHAT = f"""{_LINKS},
+asked AS (SELECT *, row_number() OVER (ORDER BY epoch(ts) DESC, message_id, place) AS position FROM (SELECT message_id, url, message_id || '#' || url AS source_ref, any_value(ts) AS ts, any_value(text) AS text, min(place) AS place FROM links GROUP BY message_id, url)),
+stored AS (SELECT source_ref, CASE WHEN (position * 7) % 5 = 0 THEN 'ok' WHEN (position * 7) % 5 = 1 THEN 'gone' ELSE 'failed' END AS kind FROM asked WHERE position % 3 = 0),
+needed AS (SELECT a.*, s.kind, coalesce(s.kind, 'new') NOT IN ('ok', 'gone') AS need FROM asked a LEFT JOIN stored s USING (source_ref)),
+costed AS (SELECT *, need AND position = min(CASE WHEN need THEN position END) OVER (PARTITION BY url) AS pays FROM needed),
+spent AS (SELECT *, coalesce(sum(pays::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM costed),
+settled AS (SELECT *, CASE WHEN kind = 'gone' THEN 'tombstoned' WHEN kind = 'ok' THEN 'cached' WHEN before >= 60 THEN 'skipped' WHEN {_FETCHED} = 'ok' THEN 'fetched' ELSE 'failed' END AS outcome FROM spent),
+bare AS (SELECT source_ref, nullif(trim(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g')), '') AS said FROM asked)"""
+
+
+def _chat_store(t: Tables) -> Corpus:
+    """A store that has every third link already: some ok, some deleted, some failed."""
+    found = sync.message_links(sync.parsed_messages(t.messages())).dropDuplicates(["source_ref"])
+    placed = numbered(found.withColumn("o", F.concat("message_id", F.lit("\0"), F.lpad(F.col("place").cast("string"), 9, "0"))), F.unix_timestamp("ts").cast("double"), "o", "position")
+    n = F.col("position") * 7 % 5
+    old = placed.where("position % 3 = 0").select(
+        F.col("position").cast("long").alias("id"), F.lit("signal").alias("source"), "source_ref", "url", F.when(n == 0, "ok").when(n == 1, "ok").otherwise("failed").alias("status"),
+        F.when(n == 0, "kept").alias("content"), F.when(n == 1, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
+    )
+    return _corpus(t, 60, documents=old)
+
+
+@query(
+    """SELECT source_ref, CASE outcome WHEN 'skipped' THEN CASE WHEN kind IS NULL THEN 'pending' ELSE 'failed' END WHEN 'failed' THEN 'failed' ELSE 'ok' END AS status,
+    CASE outcome WHEN 'fetched' THEN 'at ' || url END AS title, CASE outcome WHEN 'fetched' THEN 'text of ' || length(url) WHEN 'cached' THEN 'kept' END AS content,
+    CASE outcome WHEN 'failed' THEN 'HTTP 500' END AS error, outcome = 'tombstoned' AS gone, CASE WHEN outcome IN ('fetched', 'failed') OR (outcome = 'skipped' AND kind IS NULL) THEN said END AS message_text
+    FROM settled JOIN bare USING (source_ref)""",
+    _CHAT,
+)
+def chat_sync_run(t: Tables) -> DataFrame:
+    corpus = _chat_store(t)
+    raw = written_table(t.messages())
+    corpus.sync_chat(raw, Answers(), stream="chat", batch=4)
+    corpus.sync_chat(raw, Answers(), stream="chat", batch=4)  # a replayed batch
+    return corpus.documents().select("source_ref", "status", "title", "content", "error", F.col("deleted_at").isNotNull().alias("gone"), "message_text")
+
+
+@query("SELECT outcome, count(*)::BIGINT AS n FROM settled GROUP BY outcome UNION ALL SELECT 'reacted', count(DISTINCT message_id) FROM settled WHERE outcome IN ('fetched', 'cached') AND length(message_id) % 2 = 0 UNION ALL SELECT 'reaction_failed', count(DISTINCT message_id) FROM settled WHERE outcome IN ('fetched', 'cached') AND length(message_id) % 2 = 1", _CHAT)
+def chat_sync_report(t: Tables) -> DataFrame:
+    return _chat_store(t).sync_chat(t.messages(), Answers(), lambda message: len(message) % 2 == 0)
+
+
+_VAULT = f"""vault AS (
+    SELECT source_ref AS path, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'h' || doc_id END AS hash, doc_id,
+        list_concat(CASE WHEN doc_id % 3 = 0 THEN [p.url] ELSE [] END, ['https://both.example/' || (doc_id % 7)]) AS urls, deleted_at IS NOT NULL AS gone
+    FROM (SELECT d.id AS doc_id, d.source_ref, d.deleted_at FROM docs d WHERE d.id % 11 <> 0) LEFT JOIN (SELECT page_id, min(url) AS url FROM pages GROUP BY page_id) p ON p.page_id = doc_id % (SELECT max(page_id) + 1 FROM pages)),
+wanted AS (SELECT path, doc_id, list_distinct(list_filter(urls, lambda u: u IS NOT NULL)) AS urls, list_filter(urls, lambda u: u IS NOT NULL) AS ordered FROM vault WHERE NOT gone),
+linked AS (SELECT path, doc_id, u.url, list_position(ordered, u.url) AS place FROM wanted, unnest(urls) u(url)),
+old AS (SELECT id, source_ref || '#' || 'https://both.example/' || (id % 14) AS source_ref, 'https://both.example/' || (id % 14) AS url, id AS parent, CASE WHEN id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, id % 10 = 4 AS gone FROM docs),
+asked AS (SELECT path || '#' || url AS source_ref, *, row_number() OVER (ORDER BY path, place) AS position FROM linked),
+state AS (SELECT a.*, o.status AS was, coalesce(o.gone, false) AS dead FROM asked a LEFT JOIN old o USING (source_ref)),
+costed AS (SELECT *, NOT dead AND coalesce(was, '') <> 'ok' AS need FROM state),
+paying AS (SELECT *, need AND position = min(CASE WHEN need THEN position END) OVER (PARTITION BY url) AS pays FROM costed),
+spent AS (SELECT *, coalesce(sum(pays::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM paying),
+settled AS (SELECT *, CASE WHEN dead THEN 'tombstoned' WHEN NOT need THEN 'cached' WHEN before >= 30 THEN 'skipped' WHEN {_FETCHED} = 'ok' THEN 'fetched' ELSE 'failed' END AS outcome FROM spent)"""
+
+
+def _vault_store(t: Tables) -> tuple[Corpus, DataFrame]:
+    """A store of notes that have one link each, and the vault as it is now: notes gone and changed, links gone and new."""
+    docs = t.documents()
+    both = F.concat(F.lit("https://both.example/"), (F.col("id") % 14).cast("string"))
+    notes = docs.select("id", F.lit("obsidian").alias("source"), "source_ref", "title", F.lit("body").alias("content"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("content_hash"), F.lit("ok").alias("status"), "deleted_at")
+    children = docs.select(
+        (F.col("id") + 10_000_000).alias("id"), F.lit("obsidian").alias("source"), F.concat("source_ref", F.lit("#"), both).alias("source_ref"), both.alias("url"), F.col("id").alias("parent_document_id"), F.when(F.col("id") % 2 == 0, "ok").otherwise("failed").alias("status"),
+        F.when(F.col("id") % 10 == 4, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
+    )
+    pages = t.raw("pages").groupBy("page_id").agg(F.min("url").alias("url"))
+    n = t.raw("pages").agg(F.max("page_id")).first()[0] + 1  # one number: the modulus of the mapping below
+    n_urls = F.array_compact(F.array(F.when(F.col("id") % 3 == 0, F.col("page")), F.concat(F.lit("https://both.example/"), (F.col("id") % 7).cast("string"))))
+    now = docs.where("id % 11 <> 0").withColumn("page_id", F.col("id") % n).join(pages.withColumnRenamed("url", "page"), "page_id", "left")
+    vault_now = now.select("source_ref", F.when(F.col("id") % 5 == 0, F.lit("changed")).otherwise(F.concat(F.lit("h"), F.col("id").cast("string"))).alias("content_hash"), "title", F.lit("new body").alias("body"), F.lit("{}").alias("frontmatter"), F.array_distinct(n_urls).alias("urls"))
+    return _corpus(t, 30, documents=notes.unionByName(children, allowMissingColumns=True)), written_table(vault_now)
+
+
+@query(
+    """SELECT source_ref, 'ok' AS status, CASE WHEN hash = 'changed' AND NOT gone THEN 'new body' ELSE 'body' END AS content, NULL::VARCHAR AS error, gone FROM vault
+    UNION ALL SELECT source_ref, 'ok', 'body', NULL, true FROM docs WHERE id % 11 = 0 AND deleted_at IS NOT NULL
+    UNION ALL SELECT source_ref, CASE outcome WHEN 'skipped' THEN coalesce(was, 'pending') WHEN 'failed' THEN 'failed' WHEN 'fetched' THEN 'ok' ELSE was END, CASE outcome WHEN 'fetched' THEN 'text of ' || length(url) END, CASE outcome WHEN 'failed' THEN 'HTTP 500' END, dead FROM settled
+    UNION ALL SELECT o.source_ref, o.status, NULL, NULL, o.gone FROM old o JOIN docs d ON d.id = o.parent WHERE o.source_ref NOT IN (SELECT source_ref FROM settled) AND (o.gone OR d.deleted_at IS NOT NULL)""",
+    _VAULT.replace("SELECT source_ref AS path", "SELECT source_ref, source_ref AS path"),
+)
+def vault_sync_run(t: Tables) -> DataFrame:
+    corpus, now = _vault_store(t)
+    corpus.sync_notes(now, Answers())
+    return corpus.documents().select("source_ref", "status", "content", "error", F.col("deleted_at").isNotNull().alias("gone"))
+
+
 @query("SELECT id, CASE WHEN row_number() OVER (ORDER BY id) <= 40 THEN 'retry' ELSE 'skipped' END AS decision FROM docs WHERE deleted_at IS NULL AND status IN ('pending', 'failed')")
 def fetch_retries(t: Tables) -> DataFrame:
     return sync.retry_plan(t.documents(), 40).select("id", "decision")

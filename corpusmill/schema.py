@@ -27,6 +27,9 @@ CHUNKS = _table("id bigint, document_id bigint, ordinal int, text string, token_
 SETS = _table("id bigint, name string, description string, schema_json string, created_at timestamp, updated_at timestamp")
 MEMBERSHIPS = _table("document_id bigint, set_id bigint, extracted_json string, missing_fields array<string>, status string, error string, extracted_at timestamp")
 INGEST_LOG = _table("id bigint, document_id bigint, actor string, url string, at timestamp")
+FETCH_CACHE = _table("key string, url string, final_url string, status string, body string, content_type string, error string, fetched_at string")
+RUN_LOG = _table("job string, outcome string, n bigint, at timestamp")
+BATCHES = _table("stream string, batch bigint")
 REACTIONS = _table("message_id string, reacted_at timestamp")
 
 # What the store allows in these columns.
@@ -47,6 +50,8 @@ class Config:
     max_fetches_per_run: int = 50
     target_chars: int = 4000
     overlap_chars: int = 400
+    #: Keep a full-text index of the documents with every change.
+    full_text: bool = True
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import shutil
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.sync import running_total
 
-RESULT = "key string, url string, final_url string, status string, body string, content_type string, error string"
+RESULT = "key string, url string, final_url string, status string, body string, content_type string, error string, fetched_at string"
 
 
 def cache_key(url):
@@ -48,18 +53,75 @@ def forgotten(cache: DataFrame, urls: DataFrame) -> DataFrame:
     return cache.join(keys, "key", "left").where(F.col("__hit").isNull() | (F.col("status") != "failed")).drop("__hit")
 
 
-def fetched(decisions: DataFrame, fetch: Callable[[str], tuple[str | None, str, str | None, str | None, str | None]]) -> DataFrame:
-    """Results of the URLs to be fetched. ``fetch`` returns final URL, status, body, content type and error; what it raises is a failure of that URL."""
+class Journal:
+    """What a running job has paid for, on a folder that all executors mount: claims, and results by content address.
+
+    A claim is written before a URL is fetched and its result after, each in a file that appears as a
+    whole. When a task is lost and run again it finds both: a result is taken from here, and a claim without
+    a result is not paid for again but counts as interrupted.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder.removeprefix("file:")
+
+    def _file(self, key: str, kind: str) -> str:
+        return f"{self.folder}/{key[:2]}/{key}.{kind}"
+
+    def claim(self, key: str) -> bool:
+        """True for the first one that asks."""
+        os.makedirs(f"{self.folder}/{key[:2]}", exist_ok=True)
+        try:
+            os.close(os.open(self._file(key, "claim"), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+
+    def result(self, key: str) -> dict | None:
+        """The stored result; a file that is no JSON object counts as none."""
+        try:
+            with open(self._file(key, "json")) as file:
+                found = json.load(file)
+        except (FileNotFoundError, ValueError):
+            return None
+        return found if isinstance(found, dict) else None
+
+    def store(self, key: str, result: dict) -> None:
+        part = self._file(key, uuid.uuid4().hex)
+        os.makedirs(os.path.dirname(part), exist_ok=True)
+        with open(part, "w") as file:
+            json.dump(result, file)
+        os.replace(part, self._file(key, "json"))
+
+    def clear(self) -> None:
+        """Forget everything: after the results are in the cache table."""
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def fetched(wanted: DataFrame, fetch: Callable[[str], tuple[str | None, str, str | None, str | None, str | None]], journal: Journal | None = None) -> DataFrame:
+    """Results (``RESULT``) of distinct URLs. ``fetch`` returns final URL, status, body, content type and error; what it raises is a failure of that URL.
+
+    With a journal no URL is paid for twice, also if its task fails afterwards and is run again.
+    """
+    names = [f.split(":")[0] for f in RESULT.replace(" ", ":").split(",:")]
+
+    def result(key: str, url: str) -> dict:
+        if journal is not None and (known := journal.result(key)) is not None:
+            return known
+        if journal is not None and not journal.claim(key):
+            values = (None, "failed", None, None, "interrupted")
+        else:
+            try:
+                values = fetch(url)
+            except Exception as failure:
+                values = (None, "failed", None, None, str(failure))
+        now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        done = dict(zip(names, (key, url, *values, now), strict=True))
+        if journal is not None:
+            journal.store(key, done)
+        return done
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for url in batch["url"]:
-                try:
-                    rows.append((url, *fetch(url)))
-                except Exception as failure:
-                    rows.append((url, None, "failed", None, None, str(failure)))
-            yield pd.DataFrame(rows, columns=["url", "final_url", "status", "body", "content_type", "error"])
-
-    done = decisions.where("decision = 'fetch'").select("url").mapInPandas(run, RESULT.removeprefix("key string, "))
-    return done.select(cache_key(F.col("url")).alias("key"), "*")
+            yield pd.DataFrame([result(k, u) for k, u in zip(batch["key"], batch["url"], strict=True)], columns=names)
+
+    return wanted.select(cache_key(F.col("url")).alias("key"), "url").mapInPandas(run, RESULT)

@@ -53,7 +53,8 @@ class Store:
         """Some folders of a table; columns that one lacks are null, no folders are an empty table."""
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+        return rows.select(*schema.fieldNames())  # without the name of the segment, where it is not asked for
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The current snapshot; an absent table is empty."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.api import Corpus
 from corpusmill.operators.sync import message_links, parsed_messages
+from corpusmill.sources.fetching import Journal
 
 RAW = "id string, text string, timestamp string, senderName string"
 
@@ -34,3 +38,15 @@ def start(links: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return links.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_sync(raw: DataFrame, corpus: Corpus, fetch: Callable, checkpoint: str, react: Callable[[str], bool] | None = None, journal: Journal | None = None, name: str = "chat") -> StreamingQuery:
+    """Bring a stream of raw chat items into a corpus, batch by batch until there is no more.
+
+    Each batch is one commit that holds its number, so one that is replayed after a failure changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        corpus.sync_chat(batch, fetch, react, journal, stream=name, batch=number)
+
+    return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
