@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from corpusmill import models
 from corpusmill.api import Corpus
-from corpusmill.functions import html, records, text, urls, vectors
+from corpusmill.functions import cells, html, records, text, urls, vectors
 from corpusmill.operators import enrichment, fulltext, listing, retrieval, status, sync
 from corpusmill.plans.tables import EMBED_MODEL, SETS, Tables, with_tables
 from corpusmill.operators.ranking import numbered
 from corpusmill.schema import Config, live, searchable, struct_of
 from corpusmill.session import shared_folder, written_table
-from corpusmill.sources import fetching, vault
+from corpusmill.sources import extraction, fetching, vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -609,6 +609,59 @@ def payload_fields(t: Tables) -> DataFrame:
     return rows.select("page_id", "json", records.text_field(F.col("json"), "$.title").alias("title"), records.text_field(F.col("json"), "$.author_name").alias("author"))
 
 
+_CELLS = """cells AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS flag, lang || ', ' || source || ', , No, deep' AS tags, '{"z":1,"a":[true,null]}' AS about,
+    CASE doc_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '2.5' ELSE '' END AS amount, CASE WHEN doc_id % 3 = 2 THEN '"' || lang || '"' WHEN doc_id % 3 = 1 THEN '2.5' ELSE '2' END AS typed FROM documents)"""
+
+
+@query("SELECT doc_id, flag, tags, about, amount, typed, '[\"' || lang || '\",\"' || source || '\"]' AS listed FROM cells JOIN documents USING (doc_id)", _CELLS)
+def record_cells(t: Tables) -> DataFrame:
+    n, q = F.col("doc_id"), F.lit('"')
+    record = F.concat(
+        F.lit('{"flag":'), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(',"tags":['), q, "lang", q, F.lit(","), q, "source", q, F.lit(',null,[false,["deep"]]],"about":{"z":1.0,"a":[true,null]},"amount":'),
+        F.when(n % 3 == 0, "2.0").when(n % 3 == 1, "2.50").otherwise("null"), F.lit("}"),
+    )
+    rows = t.raw("documents").select("doc_id", "lang", "source", cells.record_cells(record).alias("c"))
+    typed = cells.patch_value(F.when(n % 3 == 2, F.concat(F.lit(" "), "lang")).otherwise(F.col("c.amount")), F.lit("number"))
+    listed = cells.patch_value(F.concat("lang", F.lit(" ,, "), "source"), F.lit("array"))
+    return rows.select("doc_id", "c.flag", "c.tags", "c.about", "c.amount", typed.alias("typed"), listed.alias("listed"))
+
+
+_ANSWERS = """answers AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'tiktok' WHEN 1 THEN 'youtube' ELSE 'x' END AS kind, page_id % 4 AS shape, page_id % 13 = 0 AS down FROM pages)"""
+
+
+@query(
+    """SELECT page_id, CASE WHEN good AND kind <> 'x' AND shape = 0 THEN url END AS title, CASE WHEN good AND (kind = 'x' OR shape = 0) THEN 'a' || page_id END AS author,
+    CASE WHEN good AND kind = 'tiktok' AND shape = 0 THEN url WHEN good AND kind = 'x' THEN url END AS content, CASE WHEN good AND kind = 'tiktok' AND shape = 0 THEN 'https://by/' || page_id END AS author_url, error
+    FROM (SELECT *, error IS NULL AS good FROM (SELECT *, CASE WHEN down THEN 'HTTP 503' WHEN kind = 'x' AND shape = 3 THEN 'no JSON object in the answer about a tweet' WHEN kind <> 'x' AND shape >= 2 THEN 'malformed oEmbed response' WHEN kind = 'x' AND shape > 0 THEN 'malformed answer about a tweet' END AS error FROM answers))""",
+    _ANSWERS,
+)
+def payload_documents(t: Tables) -> DataFrame:
+    n, q = F.col("page_id"), F.lit('"')
+    key = n.cast("string")
+    oembed = F.when(n % 4 == 0, F.concat(F.lit('{"title":"'), "url", F.lit('","author_name":"a'), key, F.lit('","author_url":"https://by/'), key, F.lit('"}'))).when(n % 4 == 1, F.lit('{"title":7,"author_name":null,"author_url":["u"]}')).when(n % 4 == 2, F.lit('["list"]')).otherwise(F.lit("{broken"))
+    whole = F.concat(F.lit('<pre>{"tweet":{"text":"'), "url", F.lit('","author":{"screen_name":"a'), key, F.lit('"}}}</pre>'))
+    tweet = F.when(n % 4 == 0, whole).when(n % 4 == 1, F.lit('{"tweet":{"text":"t","author":{}}}')).when(n % 4 == 2, F.lit('{"tweet":null}')).otherwise(F.lit("not found"))
+    kind = F.when(n % 3 == 0, "tiktok").when(n % 3 == 1, "youtube").otherwise("x")
+    down = n % 13 == 0
+    rows = t.raw("pages").select("page_id", "url", kind.alias("kind"), F.when(down, "failed").otherwise("ok").alias("status"), F.when(~down, F.when(n % 3 == 2, tweet).otherwise(oembed)).alias("body"), F.when(down, F.lit("HTTP 503")).alias("error"))
+    return extraction.shredded(rows).select("page_id", "title", "author", "content", F.try_element_at("extra", F.lit("author_url")).alias("author_url"), "error")
+
+
+@query(
+    """SELECT 'index' AS job, CASE action WHEN 'process' THEN 'process' ELSE action END AS outcome, count(*)::BIGINT AS n FROM tried GROUP BY 1, 2
+    UNION ALL SELECT 'enrich', CASE WHEN contains(shown_body, 'q') THEN 'failed' ELSE 'process' END, count(*) FROM (SELECT substr(body, 1, 6000) AS shown_body FROM tried) GROUP BY 1, 2
+    UNION ALL SELECT 'enrich', 'delete', count(*) FROM memberships m JOIN tried ON id = document_id WHERE NOT contains(substr(body, 1, 6000), 'q') AND NOT contains(substr(body, 1, 6000), CASE set_id WHEN 1 THEN 'z' ELSE 'k' END) HAVING count(*) > 0
+    UNION ALL SELECT 'enrich', 'insert', count(*) FROM tried, (VALUES (1, 'z'), (2, 'k')) s(set_id, letter) WHERE NOT contains(substr(body, 1, 6000), 'q') AND contains(substr(body, 1, 6000), letter) AND (id, set_id) NOT IN (SELECT document_id, set_id FROM memberships) HAVING count(*) > 0""",
+    _TRIED,
+)
+def run_log(t: Tables) -> DataFrame:
+    docs = _changed(t, "chunks_hash", EMBED_MODEL).withColumn("enriched_hash", F.lit(None).cast("string"))
+    corpus = _corpus(t, 1, documents=docs, chunks=t.chunks(), sets=t.sets(), set_memberships=t.memberships())
+    corpus.index(RefusesQ())
+    corpus.enrich(RefusesQ())
+    return corpus.run_log().select("job", "outcome", "n")
+
+
 # --- synchronisation ---
 
 

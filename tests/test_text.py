@@ -74,3 +74,16 @@ def test_html_pages():
         "5 &lt; 6 <br> un<p>closed": (None, "5 < 6 un closed"),
     }
     assert {page: html.html_text(page) for page in cases} == cases
+
+
+def test_cells_of_records_and_back(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import cells
+
+    shown = [(None, ""), (True, "Yes"), (False, "No"), ([1, [None, "a"], []], "1, , a, "), ({"b": 1.0, "a": [False, "é"]}, '{"b":1,"a":[false,"é"]}'), (5.0, "5"), (2.5, "2.5"), (-0.00002, "-0.00002"), (1e-7, "1e-7"), (1.25e22, "1.25e+22"), (1e16, "10000000000000000"), ("x", "x")]
+    assert [cells.cell_text(v) for v, _ in shown] == [t for _, t in shown]
+    typed = [(" 5 ", "integer", 5), ("", "number", 0), ("2.50", "number", 2.5), ("0x1F", "integer", 31), ("0xZZ", "integer", "0xZZ"), ("1e3", "integer", 1000), ("five", "number", "five"), ("1e999", "number", None), ("true", "boolean", True), ("True", "boolean", False), (" a,, b ", "array", ["a", "b"]), (" x ", "string", "x"), ("5", "object", "5")]
+    assert [cells.cell_value(t, k) for t, k, _ in typed] == [v for *_, v in typed]
+    rows = spark.createDataFrame([('{"b": [true], "a": {"x": 1}}',), ("[1]",), ("{broken",), (None,)], "record string").select(cells.record_cells("record").alias("c"), cells.patch_value(F.col("record"), F.lit("array")).alias("v")).collect()
+    assert rows[0]["c"] == {"b": "Yes", "a": '{"x":1}'} and [r["c"] for r in rows[1:]] == [None] * 3 and rows[1]["v"] == '["[1]"]' and rows[3]["v"] is None
