@@ -87,3 +87,29 @@ def test_cells_of_records_and_back(spark):
     assert [cells.cell_value(t, k) for t, k, _ in typed] == [v for *_, v in typed]
     rows = spark.createDataFrame([('{"b": [true], "a": {"x": 1}}',), ("[1]",), ("{broken",), (None,)], "record string").select(cells.record_cells("record").alias("c"), cells.patch_value(F.col("record"), F.lit("array")).alias("v")).collect()
     assert rows[0]["c"] == {"b": "Yes", "a": '{"x":1}'} and [r["c"] for r in rows[1:]] == [None] * 3 and rows[1]["v"] == '["[1]"]' and rows[3]["v"] is None
+
+
+def plain_spans(body, target):
+    """The rule by trying every end from the farthest on: paragraph breaks first, then sentence breaks."""
+    found, at = [], 0
+    while at < len(body):
+        end = min(at + target, len(body))
+        if end < len(body):
+            window = body[at:end]
+            paragraph = [e for e in range(len(window), 1, -1) if window[e - 1] == "\n" and "\n" in window[: e - 1][len(window[: e - 1].rstrip()) :]]
+            sentence = [e for e in range(len(window), 1, -1) if window[e - 1].isspace() and (window[e - 2] in ".!?" or (e > 2 and window[e - 2] in "\"')]" and window[e - 3] in ".!?"))]
+            end = at + (paragraph or sentence or [end - at])[0]
+        found.append((at, end))
+        at = end
+    return found
+
+
+@given(st.text(alphabet="ab .!?\n\t\"')  é😀", max_size=300), st.integers(1, 40))
+def test_spans_equal_the_plain_rule(body, target):
+    assert spans(body, target) == plain_spans(body, target)
+
+
+def test_chunks_of_a_long_text_in_linear_time():
+    body = "Some words here. And more\n\n" * 200_000
+    cuts = spans(body, 4000)
+    assert cuts[-1][1] == len(body) and all(body[z - 2 : z] == "\n\n" for _, z in cuts)
