@@ -15,6 +15,7 @@ from corpusmill.operators import enrichment, ingest, listing, retrieval, status,
 from corpusmill.operators.ranking import numbered
 from corpusmill.operators.status import observed
 from corpusmill.operators.text_index import TextIndex
+from corpusmill.operators.vector_index import VectorIndex
 from corpusmill.session import written_table
 from corpusmill.sources import vault
 from corpusmill.sources.fetching import Journal
@@ -42,6 +43,9 @@ class Corpus:
     def text_index(self) -> TextIndex:
         return TextIndex(self.store)
 
+    def vector_index(self) -> VectorIndex:
+        return VectorIndex(self.store)
+
     def fetch_cache(self) -> DataFrame:
         return self.store.read("fetch_cache", schema.FETCH_CACHE)
 
@@ -53,11 +57,14 @@ class Corpus:
         return self.spark.createDataFrame([(k, n) for k, n in counts.items() if n], "outcome string, n bigint")
 
     def _commit(self, tables: dict[str, DataFrame], job: str | None = None, counts: dict[str, int] | None = None, staged: list[Staged] | None = None) -> DataFrame:
-        """New snapshots of tables in one commit, with their full-text index and the run's counts; returns the counts."""
+        """New snapshots of tables in one commit, with their indexes and the run's counts; returns the counts."""
         parts = [*(staged or []), *[self.store.stage(table, rows) for table, rows in tables.items()]]
         if "documents" in tables and self.config.full_text:
             folder = next(p.folder for p in parts if p.table == "documents")
             parts += self.text_index().changed(self.store.read_parts("documents", [folder], schema.DOCUMENTS))
+        if "chunks" in tables and self.config.vector_index:
+            folder = next(p.folder for p in parts if p.table == "chunks")
+            parts += self.vector_index().changed(self.store.read_parts("chunks", [folder], schema.CHUNKS))
         report = self._report(counts or {})
         if job is not None:
             parts.append(self.store.stage("run_log", report.select(F.lit(job).alias("job"), "*", F.current_timestamp().alias("at")), segment=True))
@@ -73,12 +80,20 @@ class Corpus:
         index = self.text_index() if self.config.full_text else None
         return retrieval.hybrid_search(self.documents(), chunks, query, vector, schema.searchable(), limit, index)
 
+    def _held_vectors(self) -> VectorIndex | None:
+        """The index of vectors, if this store keeps one and it has been begun; else all chunks are scanned."""
+        index = self.vector_index() if self.config.vector_index else None
+        return index if index is not None and index.n else None
+
     def related(self, document_id: int, k: int = 10) -> DataFrame:
         anchor = self.spark.range(document_id, document_id + 1).select(F.col("id").alias("document_id"))
+        index = self._held_vectors()
+        if index is not None:
+            return index.nearest(self.documents(), anchor, schema.searchable(), k).rows
         return retrieval.related(self.documents(), self.chunks(), anchor, schema.searchable(), k)
 
     def graph(self, document_id: int) -> tuple[DataFrame, DataFrame]:
-        return retrieval.two_hops(self.documents(), self.chunks(), document_id, schema.searchable())
+        return retrieval.two_hops(self.documents(), self.chunks(), document_id, schema.searchable(), self._held_vectors())
 
     def page(self, limit: int = 50, cursor: str | None = None) -> DataFrame:
         """One page of live documents with their flags; the page is cut before anything is joined to it."""

@@ -117,16 +117,21 @@ def related(docs: DataFrame, chunks: DataFrame, anchors: DataFrame, visible: Col
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def two_hops(docs: DataFrame, chunks: DataFrame, anchor: int, visible: Column) -> tuple[DataFrame, DataFrame]:
+def two_hops(docs: DataFrame, chunks: DataFrame, anchor: int, visible: Column, index=None) -> tuple[DataFrame, DataFrame]:
     """Nodes (``id, hop``) and edges (``source, target``) around an anchor: 10 related ones, and 5 of each of these.
 
     A node keeps its shortest distance; of the two directions of an edge the first one found stays.
+    ``index`` is a stored index of the chunks' vectors (``vector_index.VectorIndex``); without one all chunks are scanned.
     """
+
+    def near(anchors: DataFrame, k: int) -> DataFrame:
+        return related(docs, chunks, anchors, visible, k) if index is None else index.nearest(docs, anchors, visible, k).rows
+
     start = docs.sparkSession.range(anchor, anchor + 1).select(F.col("id").alias("document_id"))
     # at most HOP_ONE rows, written so that the branches below do not find them again
-    one = written_table(related(docs, chunks, start, visible, HOP_ONE).coalesce(1)).select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), F.col("rank"), F.lit(0).alias("turn"), F.lit(1).alias("hop"))
+    one = written_table(near(start, HOP_ONE).coalesce(1)).select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), F.col("rank"), F.lit(0).alias("turn"), F.lit(1).alias("hop"))
     first = one.select(F.col("target").alias("document_id"), F.col("rank").alias("of"))
-    two = related(docs, chunks, first.select("document_id"), visible, HOP_TWO)
+    two = near(first.select("document_id"), HOP_TWO)
     two = two.join(F.broadcast(first.withColumnRenamed("document_id", "anchor")), "anchor").select(F.col("anchor").alias("source"), F.col("document_id").alias("target"), "rank", F.col("of").alias("turn"), F.lit(2).alias("hop"))
     every = one.unionByName(two)
     root = start.select(F.col("document_id").alias("id"), F.lit(0).alias("hop"))

@@ -209,19 +209,19 @@ class TextIndex:
         return best_matches(self.bm25(query), docs.where(visible), len(query_phrases(query)))
 
 
-_kept: dict[tuple[str, str], tuple[str, TextIndex]] = {}
+_kept: dict[tuple, tuple] = {}
 
 
-def index_of(docs: DataFrame, source: DataFrame, name: str) -> TextIndex:
-    """The index of ``docs``, which is derived from the files of ``source``; made once and used again while these are the same.
+def index_of(rows: DataFrame, sources: list[DataFrame], name: str, kind: type = TextIndex):
+    """The index of ``rows``, which are derived from the files of ``sources``; made once and used again while these are the same.
 
     It lies in the shared folder. Files count as the same while their names, sizes and times do.
     """
-    spark = docs.sparkSession
-    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
-    state = hashlib.sha256(repr([tuple(f) for f in files]).encode()).hexdigest()
-    key = (spark.sparkContext.applicationId, name)
+    spark = rows.sparkSession
+    files = [s.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect() for s in sources]
+    state = hashlib.sha256(repr([tuple(f) for found in files for f in found]).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, name, kind)
     if _kept.get(key, ("", None))[0] != state:
         root = f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
-        _kept[key] = (state, TextIndex(Store(spark, root)).update(docs))
+        _kept[key] = (state, kind(Store(spark, root)).update(rows))
     return _kept[key][1]

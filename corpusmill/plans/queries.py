@@ -96,7 +96,7 @@ def hybrid_search(t: Tables) -> DataFrame:
 
 def _corpus(t: Tables, cap: int, **tables: DataFrame) -> Corpus:
     """A store of its own for a job, with some tables in it."""
-    corpus = Corpus(t.spark, f"{shared_folder(t.spark)}/jobs/{uuid.uuid4().hex}", Config(max_fetches_per_run=cap, full_text=False))
+    corpus = Corpus(t.spark, f"{shared_folder(t.spark)}/jobs/{uuid.uuid4().hex}", Config(max_fetches_per_run=cap, full_text=False, vector_index=False))
     corpus.store.commit(tables)
     return corpus
 
@@ -189,6 +189,13 @@ def related_documents(t: Tables) -> DataFrame:
     return found.select("document_id", F.round("score", 6).alias("score"), F.col("rank").alias("vector_rank"))
 
 
+@query("SELECT anchor, document_id, round(score, 6) AS score, rank::INT AS vector_rank FROM nearest WHERE anchor < 8 AND rank <= 10", _RELATED)
+def related_by_cells(t: Tables) -> DataFrame:
+    anchors = t.spark.range(8).select(F.col("id").alias("document_id"))
+    found = t.vector_index().nearest(t.documents(), anchors, searchable(), 10).rows
+    return found.select("anchor", "document_id", F.round("score", 6).alias("score"), F.col("rank").alias("vector_rank"))
+
+
 _GRAPH = f"""{_RELATED},
 one AS (SELECT anchor AS source, document_id AS target, rank, 0 AS turn, 1 AS hop FROM nearest WHERE anchor = {ANCHOR} AND rank <= 10),
 two AS (SELECT n.anchor AS source, n.document_id AS target, n.rank, o.rank AS turn, 2 AS hop FROM nearest n JOIN one o ON o.target = n.anchor WHERE n.rank <= 5),

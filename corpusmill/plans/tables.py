@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.text_index import TextIndex, index_of
+from corpusmill.operators.vector_index import VectorIndex
 
 EMBED_MODEL = "bge-m3"
 
@@ -50,7 +51,11 @@ class Tables:
 
     def text_index(self) -> TextIndex:
         """The stored full-text index of :meth:`documents`: made at the first search over the folder, read by the others."""
-        return index_of(self.documents(), self.raw("documents"), self.sf_dir)
+        return index_of(self.documents(), [self.raw("documents")], self.sf_dir)
+
+    def vector_index(self) -> VectorIndex:
+        """The stored index of the vectors of :meth:`chunks`, made and kept in the same way."""
+        return index_of(self.chunks().drop("text"), [self.raw("embeddings"), self.raw("documents")], self.sf_dir, VectorIndex)
 
     def chunks(self) -> DataFrame:
         rows = self.raw("embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("document_id"), (F.col("vec_id") % 2).cast("int").alias("ordinal"), "embedding")

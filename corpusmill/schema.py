@@ -10,27 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NAMES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "timestamp": T.TimestampType()}
-_NAMES |= {"array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
+_NAMES |= {"array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "array<double>": T.ArrayType(T.DoubleType()), "double": T.DoubleType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
 
 
-def _table(columns: str) -> T.StructType:
+def declared(columns: str) -> T.StructType:
     """A schema from names and types; unlike Spark's own parser it needs no session."""
     return T.StructType([T.StructField(*(part if i == 0 else _NAMES[part] for i, part in enumerate(c.split()))) for c in columns.split(", ")])
 
 
-DOCUMENTS = _table(
+DOCUMENTS = declared(
     "id bigint, source string, source_ref string, url string, parent_document_id bigint, title string, author string, content string, "
     "summary string, keywords string, message_text string, content_hash string, chunks_hash string, enriched_hash string, extra map<string,string>, "
     "frontmatter_json string, status string, error string, fetched_at timestamp, created_at timestamp, updated_at timestamp, deleted_at timestamp"
 )
-CHUNKS = _table("id bigint, document_id bigint, ordinal int, text string, token_count int, embedding array<float>")
-SETS = _table("id bigint, name string, description string, schema_json string, created_at timestamp, updated_at timestamp")
-MEMBERSHIPS = _table("document_id bigint, set_id bigint, extracted_json string, missing_fields array<string>, status string, error string, extracted_at timestamp")
-INGEST_LOG = _table("id bigint, document_id bigint, actor string, url string, at timestamp")
-FETCH_CACHE = _table("key string, url string, final_url string, status string, body string, content_type string, error string, fetched_at string")
-RUN_LOG = _table("job string, outcome string, n bigint, at timestamp")
-BATCHES = _table("stream string, batch bigint")
-REACTIONS = _table("message_id string, reacted_at timestamp")
+CHUNKS = declared("id bigint, document_id bigint, ordinal int, text string, token_count int, embedding array<float>")
+SETS = declared("id bigint, name string, description string, schema_json string, created_at timestamp, updated_at timestamp")
+MEMBERSHIPS = declared("document_id bigint, set_id bigint, extracted_json string, missing_fields array<string>, status string, error string, extracted_at timestamp")
+INGEST_LOG = declared("id bigint, document_id bigint, actor string, url string, at timestamp")
+FETCH_CACHE = declared("key string, url string, final_url string, status string, body string, content_type string, error string, fetched_at string")
+RUN_LOG = declared("job string, outcome string, n bigint, at timestamp")
+BATCHES = declared("stream string, batch bigint")
+REACTIONS = declared("message_id string, reacted_at timestamp")
 
 # What the store allows in these columns.
 SOURCES = ("signal", "obsidian", "manual", "mcp")
@@ -52,6 +52,8 @@ class Config:
     overlap_chars: int = 400
     #: Keep a full-text index of the documents with every change.
     full_text: bool = True
+    #: Keep an index of the chunks' vectors with every change.
+    vector_index: bool = True
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
