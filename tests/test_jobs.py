@@ -45,7 +45,7 @@ class Web:
 
 
 def corpus_at(spark, path, **config):
-    return Corpus(spark, str(path), schema.Config(full_text=False, **config))
+    return Corpus(spark, str(path), schema.Config(full_text=False, vector_index=False, **config))
 
 
 def items(rows):
