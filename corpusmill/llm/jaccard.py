@@ -9,8 +9,9 @@ of the next ring are replicated to the ring below; then by documents as pivots:
 Voronoi cell of its nearest pivot, and to the cell of another pivot if the triangle inequality leaves
 partners there. Members within the threshold of a pivot are linked to it as a star, and a cell whose
 members are known to be in one component is closed; the few members outside of its main component are
-compared with all others. Cells recurse with more pivots until they are small; pivots, compared with all
-members, leave. ``join_links`` is the complete form: it skips no pair for
+compared with all others. Where these are many, but fewer than the main component's, pivots are compared
+with members of other components only: distances within a component would decide nothing. Cells recurse
+with more pivots until they are small; pivots, compared with all members, leave. ``join_links`` is the complete form: it skips no pair for
 being in one component already and returns every link.
 """
 
@@ -220,28 +221,29 @@ def _pairs_outside(rooted: DataFrame, similar: int) -> DataFrame:
 
 
 def _with_pivots(large: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """``region, row, pivot`` for all members and pivots of large regions.
+    """``region, row, pivot`` for all members and pivots of large regions; only those of different ``root`` where the region is ``nearly`` one component.
 
     Pivots are the member that shares most of what it has, and a random few; the same rows in any region they are members of.
     """
     first = large.groupBy("region").agg(F.min(F.struct(*_PLACE))["row"].alias("first"))
     chosen = large.join(first, "region").where((F.col("row") == F.col("first")) | (_scatter(F.col("row"), turn) * F.col("members") < pivots))
-    chosen = written_table(chosen.select("region", F.col("row").alias("pivot")))
-    return large.select("region", "row").join(chosen, "region")
+    chosen = written_table(chosen.select("region", F.col("row").alias("pivot"), F.col("root").alias("pivots_root")))
+    useful = ~F.col("nearly") | (F.col("row") == F.col("pivot")) | (F.col("root") != F.col("pivots_root"))
+    return large.select("region", "row", "root", "nearly").join(chosen, "region").where(useful).select("region", "row", "pivot")
 
 
 def _cells(large: DataFrame, near: DataFrame, distances: DataFrame, similar: int) -> DataFrame:
-    """Voronoi cells of large regions, with replicas of boundary members; pivots leave."""
+    """Voronoi cells of large regions, with replicas of boundary members; pivots leave. Regions that are ``nearly`` one component stay whole."""
     both = distances.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "far").unionByName(distances.select(F.col("b").alias("row"), F.col("a").alias("pivot"), "far"))
     known = near.where("row <> pivot").join(both, ["row", "pivot"]).groupBy("region", "row").agg(F.array_sort(F.collect_list(F.struct("far", "pivot"))).alias("p"))
     done = near.where("row = pivot").select("region", "row")
-    members = large.drop("root", "main", "others").join(done, ["region", "row"], "left_anti").join(known, ["region", "row"])
-    own = F.element_at("p", 1)
+    members = large.drop("root", "main", "others").join(done, ["region", "row"], "left_anti").join(known, ["region", "row"], "left")
+    own = F.get("p", F.lit(0))
     # a partner in the cell of another pivot is at most twice the threshold nearer to it; of two cells one takes the replica
     others = F.filter("p", lambda x: (x["pivot"] < own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))
     members = members.withColumn("others", F.when(F.col("native"), others).otherwise(F.filter("p", lambda x: (x["pivot"] != own["pivot"]) & (x["far"] - own["far"] <= 2 * _reach(similar)))))
-    members = written_table(members.select("region", "row", "n", "r", "own", "h", "native", own.alias("cell"), "others"))
-    split = members.groupBy("region").agg((F.sum(F.size("others") + 1) <= MOST_REPLICAS * F.count("*")).alias("split"))
+    members = written_table(members.select("region", "row", "n", "r", "own", "h", "native", own.alias("cell"), F.coalesce("others", F.array()).alias("others"), "nearly"))
+    split = members.groupBy("region").agg((~F.max("nearly") & (F.sum(F.size("others") + 1) <= MOST_REPLICAS * F.count("*"))).alias("split"))
     members = members.join(split, "region")
     here = F.struct(F.col("cell.far").alias("far"), F.col("cell.pivot").alias("pivot"), F.lit(True).alias("here"))
     there = F.transform("others", lambda x: F.struct(x["far"].alias("far"), x["pivot"].alias("pivot"), F.lit(False).alias("here")))
@@ -275,6 +277,9 @@ def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) ->
     while True:
         some = not large.isEmpty()
         if some:
+            # members outside of a main component that has most members are compared with pivots; its own members need no distances
+            known = "root" in large.columns
+            large = large.withColumn("nearly", F.expr("2 * others <= members") if known else F.lit(False)).withColumn("root", F.col("root" if known else "row"))
             near = written_table(_with_pivots(large, pivots, turn))
             pairs = pairs.unionByName(near.where("row <> pivot").select(*_ordered("row", "pivot"))).distinct()
         distances = written_table(_compared(pairs, sets, similar))
@@ -288,7 +293,7 @@ def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) ->
             roots = written_table(components(found).withColumnRenamed("node", "row"))
         pairs = written_table(_apart(pairs, roots))
         if some and roots is not None:
-            large = _rooted(large, roots)
+            large = _rooted(large.drop("root", "main", "others"), roots)
             outside = written_table(_pairs_outside(large.where(F.col("others") <= SMALL_REGION), similar))
             large, pairs = large.where(F.col("others") > SMALL_REGION), pairs.unionByName(outside)
         if some:
@@ -296,7 +301,7 @@ def _links(regions: DataFrame, sets: DataFrame, similar: int, complete: bool) ->
             within = written_table(_apart(_pairs_within(large.where(F.col("members") <= SMALL_REGION), similar), roots))
             large, pairs = large.where(F.col("members") > SMALL_REGION), pairs.unionByName(within)
             if roots is not None:  # closed cells need no pivots
-                large = _rooted(large, roots).drop("root", "main", "others")
+                large = _rooted(large, roots)
         waiting = pairs.limit(0)
         if pairs.isEmpty() and large.isEmpty():
             break

@@ -69,6 +69,32 @@ def test_join_equals_brute_force(spark, monkeypatch, small, pivots, replicas):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+def test_a_dense_group_compares_outsiders_only(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = rng.choices(words, k=120)
+    texts = []
+    for k in [1] * 45 + [3] * 40 + [5] * 25:
+        copy = list(base)
+        for at in rng.sample(range(len(base)), k):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    nearly, plain = [], jaccard._with_pivots
+
+    def noted(large, pivots, turn):
+        nearly.append(large.where("nearly").count())
+        return plain(large, pivots, turn)
+
+    monkeypatch.setattr(jaccard, "_with_pivots", noted)
+    got = jaccard.join_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+    assert len({c for _, _, c in brute_components(rows)}) > 1
+    assert any(nearly)
+
+
 @pytest.mark.parametrize("small, pivots, replicas", SPLITS[1:])
 def test_all_links_equal_brute_force(spark, monkeypatch, small, pivots, replicas):
     rows = corpus()
