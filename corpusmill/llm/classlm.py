@@ -4,15 +4,17 @@ A text's probability is the product over its tokens of P(class | class before) a
 Counts are taken from all training documents in Spark, words by 64-bit hashes. The exchange algorithm
 moves one unit at a time to the class that raises the likelihood of the class bigrams most, until none
 moves; its units are the most frequent words and groups of all other words by their last two bytes. Then
-every other word with enough uses that is held in memory leaves its group for the class that its own neighbours in the
-core raise the likelihood in most; as core words keep their classes, one such sweep settles. Words beyond
-these, and unseen ones, have the class of their group. Class bigrams are counted again with all classes.
+every other word with enough uses leaves its group for the class that its own neighbours in the
+core raise the likelihood in most; as core words keep their classes, one such sweep settles. Rarer words,
+and unseen ones, have the class of their group. Class bigrams are counted again with all classes.
+Tasks hold the most frequent words in memory; counts and classes of all others reach texts through joins,
+so the bound on memory changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,10 @@ from corpusmill.session import written_table
 UNIT_WORDS, GROUPS, CLASSES, MOST_SWEEPS = 1000, 384, 48, 100
 #: Uses from which a word outside the core leaves its group for a class of its own choice; less do not tell.
 OWN_USES = 10
-#: Words, the most frequent ones, that tasks hold in memory with count and class (18 bytes each); all others are counted through a join.
+#: Words, the most frequent ones, that tasks hold in memory with count and class (18 bytes each); counts and classes of all others are joined.
 HELD_WORDS = 1 << 19
+#: Columns with the words of a text that are not held but have classes of their own, and these classes.
+FAR = ("__far", "__far_class")
 #: Rows of an Arrow batch that a task works on at a time.
 SLICE = 1024
 
@@ -78,17 +82,17 @@ def _found(held: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pair_counts(docs: DataFrame, ids_of, size: int) -> np.ndarray:
-    """Counts of neighbouring ids, ``ids_of(hashes, tails)``, as a matrix; ``size`` - 1 is the text's end, before the first token too."""
+    """Counts of neighbouring ids, ``ids_of(part, hashes, tails)``, as a matrix; ``size`` - 1 is the text's end, before the first token too."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size * size, dtype=np.int64)
-        for _, hashes, tails, sizes in _parts(batches):
-            ids = _with_ends(ids_of(hashes, tails), sizes, size - 1)
+        for part, hashes, tails, sizes in _parts(batches):
+            ids = _with_ends(ids_of(part, hashes, tails), sizes, size - 1)
             total += np.bincount(ids[:-1] * size + ids[1:], minlength=len(total))
         some = np.flatnonzero(total)
         yield pd.DataFrame({"pair": some, "n": total[some]})
 
-    counted = docs.select("text").mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text", *[c for c in FAR if c in docs.columns]).mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(size * size)
     matrix[counted["pair"].to_numpy()] = counted["n"].to_numpy()
     return matrix.reshape(size, size)
@@ -162,8 +166,8 @@ def gains(table: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarra
     return out - (_f(rows + after) - _f(rows)) - (_f(cols + before) - _f(cols))
 
 
-def _own_classes(docs: DataFrame, held: np.ndarray, core: np.ndarray, core_class: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``held`` and classes of the words outside the core that have neighbours in it."""
+def _own_classes(docs: DataFrame, held: np.ndarray, core: np.ndarray, core_class: np.ndarray, table: np.ndarray, inside: bool) -> DataFrame:
+    """``word, class`` of the words outside the core that have neighbours in it: those in ``held``, or (not ``inside``) all others."""
     size = len(table)
     shared = docs.sparkSession.sparkContext.broadcast((held, core, core_class))
 
@@ -172,11 +176,15 @@ def _own_classes(docs: DataFrame, held: np.ndarray, core: np.ndarray, core_class
         for _, hashes, _, sizes in _parts(batches):
             at, there = _found(in_core, hashes)
             known = _with_ends(np.where(there, classes[at] if len(classes) else 0, -1), sizes, size - 1)
-            place, listed = _found(all_held, hashes)
-            place = _with_ends(np.where(listed & ~there, place, -1), sizes, -1)
+            names, (place, listed) = all_held, _found(all_held, hashes)
+            wanted = listed & ~there
+            if not inside:
+                wanted = ~listed
+                names, place[wanted] = np.unique(hashes[wanted], return_inverse=True)
+            place = _with_ends(np.where(wanted, place, -1), sizes, -1)
             left, right = (place[1:] >= 0) & (known[:-1] >= 0), (place[:-1] >= 0) & (known[1:] >= 0)
             keys, n = _summed(np.concatenate([place[1:][left] * 2 * size + known[:-1][left], place[:-1][right] * 2 * size + size + known[1:][right]]))
-            yield pd.DataFrame({"word": keys // (2 * size), "context": (keys % (2 * size)).astype(np.int32), "n": n})
+            yield pd.DataFrame({"word": names[keys // (2 * size)].view(np.int64), "context": (keys % (2 * size)).astype(np.int32), "n": n})
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,15 +195,35 @@ def _own_classes(docs: DataFrame, held: np.ndarray, core: np.ndarray, core_class
                 yield pd.DataFrame({"word": part["word"], "class": value.argmax(axis=1).astype(np.int32)})
 
     counted = docs.select("text").mapInPandas(contexts, "word bigint, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    lists = counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("c")).select("word", F.col("c.context").alias("contexts"), F.col("c.n").alias("ns"))
-    out = lists.mapInPandas(best, "word bigint, class int").toArrow()
-    shared.destroy()
-    return out["word"].to_numpy(), out["class"].to_numpy()
+    # in one order, as sums of floating point decide
+    lists = counted.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("c")).select("word", F.col("c.context").alias("contexts"), F.col("c.n").alias("ns"))
+    return lists.mapInPandas(best, "word bigint, class int")
+
+
+def _with_far(docs: DataFrame, held: np.ndarray, far: DataFrame | None) -> DataFrame:
+    """``docs`` with ``FAR``: each text's words in ``far`` (``word, class``), which are too many to hold, with their classes."""
+    if far is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, hashes, _, sizes in _parts(batches):
+            _, there = _found(shared.value, hashes)
+            pairs = pd.DataFrame({"__row": np.repeat(part["__row"].to_numpy(), sizes)[~there], "word": hashes[~there].view(np.int64)})
+            yield pairs.drop_duplicates()
+
+    numbered = written_table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = numbered.select("__row", "text").mapInPandas(others, "__row bigint, word bigint").join(far.select("word", "class"), "word")
+    lists = found.groupBy("__row").agg(F.collect_list(F.struct("word", "class")).alias("f")).select("__row", F.col("f.word").alias(FAR[0]), F.col("f.class").alias(FAR[1]))
+    return numbered.join(lists, "__row", "left").drop("__row")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Everything a scoring task holds, all of bounded size; ``held`` is sorted, ``whole``: it is the whole vocabulary."""
+    """Everything a scoring task holds, all of bounded size; ``held`` is sorted, ``whole``: it is the whole vocabulary.
+
+    ``far`` is no part of that: a table of the words with classes of their own that are not held, if there are any.
+    """
 
     held: np.ndarray
     held_n: np.ndarray
@@ -207,9 +235,16 @@ class Model:
     vocabulary: int
     ends: int
     whole: bool
+    far: DataFrame | None = None
 
-    def classes(self, at: np.ndarray, there: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        return np.where(there, self.held_class[at] if len(self.held) else 0, self.group_class[_group(tails)])
+    def classes(self, part: pd.DataFrame, hashes: np.ndarray, at: np.ndarray, there: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        out = np.where(there, self.held_class[at] if len(self.held) else 0, self.group_class[_group(tails)]).astype(np.int64)
+        listed = part[part[FAR[0]].notna()] if FAR[0] in part else []
+        if len(listed):
+            words, first = np.unique(np.concatenate(listed[FAR[0]].tolist()).view(np.uint64), return_index=True)
+            place, own = _found(words, hashes)
+            out[own] = np.concatenate(listed[FAR[1]].tolist())[first][place[own]]
+        return out
 
 
 def most_frequent(vocabulary: DataFrame, most: int) -> DataFrame:
@@ -227,14 +262,15 @@ def most_frequent(vocabulary: DataFrame, most: int) -> DataFrame:
 def fit(training: DataFrame, vocabulary: DataFrame) -> Model:
     """Model from training documents and their word counts ``vocabulary`` (``word, tail, n``)."""
     ends, size = training.count(), CLASSES + 1
-    top = most_frequent(vocabulary, HELD_WORDS).toArrow()
-    held, held_n, held_tail = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["tail"].to_numpy().astype(np.int64)
-    order = np.argsort(held)
-    held, held_n, held_tail = held[order], held_n[order], held_tail[order]
+    # the core in order of unsigned hashes, whatever else is held
+    first = vocabulary.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(UNIT_WORDS).select("word", "tail", "n")
+    tops = [rows.toArrow() for rows in (first, most_frequent(vocabulary, HELD_WORDS).select("word", "tail", "n"))]
+    held, at = np.unique(np.concatenate([t["word"].to_numpy() for t in tops]).view(np.uint64), return_index=True)
+    held_n, held_tail = (np.concatenate([t[c].to_numpy() for t in tops])[at].astype(np.int64) for c in ("n", "tail"))
     core_at = np.sort(np.lexsort((held, -held_n))[:UNIT_WORDS])
     core = held[core_at]
 
-    def units(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    def units(_: pd.DataFrame, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
         at, there = _found(core, hashes)
         return np.where(there, at, len(core) + _group(tails))
 
@@ -246,24 +282,33 @@ def fit(training: DataFrame, vocabulary: DataFrame) -> Model:
     held_class = group_class[held_tail]
     held_class[core_at] = unit_class[: len(core)]
     if len(held) > len(core):
-        at, own = _own_classes(training, held, core, unit_class[: len(core)], table)
+        own = _own_classes(training, held, core, unit_class[: len(core)], table, inside=True).toArrow()
+        at = np.searchsorted(held, own["word"].to_numpy().view(np.uint64))
         often = held_n[at] >= OWN_USES
-        held_class[at[often]] = own[often]
+        held_class[at[often]] = own["class"].to_numpy()[often]
+    far, often = None, vocabulary.where(F.col("n") >= OWN_USES)
+    if often.count() > int((held_n >= OWN_USES).sum()):
+        own = _own_classes(training, held, core, unit_class[: len(core)], table, inside=False)
+        far = written_table(own.join(often.select("word", "tail", "n"), "word"))
     groups = vocabulary.groupBy("tail").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
     total, distinct = np.zeros(size), np.zeros(size)
     for r in groups:
         total[group_class[r["tail"]]] += r["n"]
         distinct[group_class[r["tail"]]] += 1 * r["v"]
     seen_tokens, seen_words = int(total.sum()), int(distinct.sum())
-    # held words leave the class of their group for their own
+    # words with a class of their own leave that of their group
     for classes, sign in ((group_class[held_tail], -1), (held_class, 1)):
         np.add.at(total, classes, sign * held_n)
         np.add.at(distinct, classes, sign)
+    for r in far.groupBy("tail", "class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect() if far is not None else []:
+        for c, sign in ((group_class[r["tail"]], -1), (r["class"], 1)):
+            total[c] += sign * r["n"]
+            distinct[c] += sign * r["v"]
     total[CLASSES], distinct[CLASSES] = ends, 1
     model = Model(held, held_n, held_class.astype(np.int16), group_class, table, -np.log10(total + distinct + 1), seen_tokens + ends, seen_words + (ends > 0), ends, len(held) == seen_words)
-    table = _pair_counts(training, lambda hashes, tails: model.classes(*_found(model.held, hashes), tails).astype(np.int64), size)
+    table = _pair_counts(_with_far(training, held, far), lambda part, hashes, tails: model.classes(part, hashes, *_found(model.held, hashes), tails), size)
     # one more word of each class stands for all unseen ones
-    return Model(**{**model.__dict__, "transition": np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + size))})
+    return Model(**{**model.__dict__, "transition": np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + size)), "far": far})
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
@@ -275,7 +320,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """
     added = ("n_tokens", "n_known", "base_score", "score")
     kept = [f for f in docs.schema.fields if f.name not in ("text", *added)]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, far=None))
+    docs = _with_far(docs.select(*[F.col(f"`{f.name}`") for f in kept], "text"), model.held, model.far)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -283,7 +329,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
         for part, hashes, tails, sizes in _parts(batches):
             n = len(part)
             at, there = _found(m.held, hashes)
-            ids = _with_ends(m.classes(at, there, tails).astype(np.int64), sizes, CLASSES)
+            ids = _with_ends(m.classes(part, hashes, at, there, tails), sizes, CLASSES)
             steps = m.transition[ids[:-1], ids[1:]] + m.emission_base[ids[1:]]
             path = np.bincount(np.repeat(np.arange(n), sizes + 1), steps, n)
             owner = np.repeat(np.arange(n), sizes)
@@ -296,10 +342,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
                     found, uses = _summed(found)
                     other[i], times[i] = found.view(np.int64), uses
             parts = pd.DataFrame({"n_tokens": sizes + 1, "held_known": known, "logs": logs, "path": path, "other": other, "times": times})
-            yield pd.concat([part.drop(columns="text").reset_index(drop=True), parts], axis=1)
+            yield pd.concat([part[[f.name for f in kept]].reset_index(drop=True), parts], axis=1)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    parts = docs.select(*[F.col(f"`{f.name}`") for f in kept], "text").mapInPandas(run, f"{fields}n_tokens bigint, held_known bigint, logs double, path double, other array<bigint>, times array<bigint>")
+    parts = docs.mapInPandas(run, f"{fields}n_tokens bigint, held_known bigint, logs double, path double, other array<bigint>, times array<bigint>")
     if model.whole:  # no other word has a count
         parts = parts.withColumns({"rare_known": F.lit(0), "rare_logs": F.lit(0.0)})
     else:

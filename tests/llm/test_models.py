@@ -144,6 +144,20 @@ def test_class_model_counts_and_base_score(spark, monkeypatch, held):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
+def test_words_that_tasks_do_not_hold_have_classes_of_their_own(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{2 * int(rng.paretovariate(0.7)) % 300 + j % 2}" for j in range(40)) for _ in range(400)] + [None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(classlm, "UNIT_WORDS", 40)
+    found = []
+    for held in (1 << 19, 100, 0):
+        monkeypatch.setattr(classlm, "HELD_WORDS", held)
+        found.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in classlm.scored_documents(table).collect()})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[i] == pytest.approx(found[0][i], rel=1e-9) for i in other)
+
+
 def test_words_that_polynomial_hashes_confuse_are_told_apart(spark):
     import zlib
 
