@@ -14,6 +14,7 @@ from corpusmill.operators import fulltext, ranking, retrieval, text_index
 from corpusmill.operators.text_index import TextIndex
 from corpusmill.sources.store import Store
 
+posted = text_index.posted
 GONE = datetime.datetime(2026, 1, 1)
 QUERIES = ("red fox", "the the Été", "bar_foo baz")
 
@@ -94,6 +95,36 @@ def test_a_query_reads_the_buckets_of_its_terms(spark, tmp_path):
     assert len({r["f"].split("bucket=")[1].split("/")[0] for r in read}) == 1
 
 
+def test_few_rows_are_dealt_out_for_many_postings(spark):
+    docs = documents(spark, corpus_rows(random.Random(2))).coalesce(1)
+    rows = text_index.posted(docs, 4)
+    assert rows.count() <= 60 + 4
+    plain = {(r["id"], r["term"], r["tf"]) for r in fulltext.postings(docs).collect()}
+    found = text_index.single(rows.where("bucket >= 0").withColumn("segment", F.lit("a")), ["id", "tf", "places"])
+    assert {(r["id"], r["term"], r["tf"]) for r in found.collect()} == plain
+    assert found.where("size(places) <> tf").count() == 0
+
+
+def test_the_first_segment_deals_out_no_text(spark, tmp_path, monkeypatch):
+    joined = []
+    monkeypatch.setattr(text_index, "posted", lambda docs, *more: joined.append("Join" in docs._jdf.queryExecution().optimizedPlan().toString()) or posted(docs, *more))
+    index = TextIndex(Store(spark, str(tmp_path / "a"))).update(documents(spark, corpus_rows(random.Random(3))))
+    index.update(documents(spark, corpus_rows(random.Random(4))))
+    assert joined == [False, True]
+
+
+def test_folding_equals_the_rule_for_every_character():
+    import unicodedata
+
+    rng = random.Random(4)
+    marks = [chr(c) for c in range(0x300, 0x340)]
+    for n in (1, 5, 40):
+        for _ in range(200):
+            text = "".join(rng.choice([chr(rng.randrange(0x20, 0xD7FF)), rng.choice("aéÅß"), rng.choice(marks[:n]), chr(rng.randrange(0x10000, 0x1F000))]) for _ in range(60))
+            bare = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+            assert fulltext.fold_text(text) == unicodedata.normalize("NFC", bare).lower()
+
+
 def test_empty_index_and_empty_documents(spark, tmp_path):
     empty = documents(spark, [{"id": 1}]).limit(0)
     index = TextIndex(Store(spark, str(tmp_path / "a")))
