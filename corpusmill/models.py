@@ -9,11 +9,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Inputs of one embedding call, and characters of a text that a chat model is shown.
 BATCH, MOST_CHARS = 16, 6000
+#: Rows with their texts and vectors that a task holds at a time; whole calls.
+SLICE = 16 * BATCH
 
 
 class Embedder(Protocol):
@@ -56,7 +59,7 @@ class FirstWords:
 
 
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """``chunks`` with ``embedding`` and ``error``: calls of 16 texts inside Arrow batches.
+    """``chunks`` with ``embedding`` and ``error``: calls of 16 texts inside Arrow batches, of which tasks hold ``SLICE`` rows at a time.
 
     When a call fails its texts are sent one by one, so that only those fail that the model refuses.
     """
@@ -68,14 +71,19 @@ def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
         except Exception as failure:
             return [x for t in texts for x in vectors_of([t])] if len(texts) > 1 else [(None, str(failure))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            found = [x for at in range(0, len(texts), BATCH) for x in vectors_of(texts[at : at + BATCH])]
-            yield batch[[f.name for f in kept]].assign(embedding=[v for v, _ in found], error=[e for _, e in found])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = part.column(names.index("text")).to_pylist()
+                found = [x for at in range(0, len(texts), BATCH) for x in vectors_of(texts[at : at + BATCH])]
+                vectors = pa.array([None if v is None else np.asarray(v, dtype=np.float32).tolist() for v, _ in found], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors, pa.array([e for _, e in found], pa.string())], [*names, "embedding", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return chunks.select(*[f.name for f in kept]).mapInPandas(run, f"{fields}, embedding array<float>, error string")
+    return chunks.select(*names).mapInArrow(run, f"{fields}, embedding array<float>, error string")
 
 
 def enrichments(work: DataFrame, enricher: Enricher, sets: list[tuple[str, str]]) -> DataFrame:
