@@ -283,10 +283,10 @@ class Corpus:
     def index(self, embedder: Embedder) -> DataFrame:
         """Chunks and embeds what changed, stamps its digest; returns how many documents were processed, skipped, failed.
 
-        What a run has computed is written once, so no chunk is sent to the model twice.
+        What the model has computed is written once, so no chunk is sent to it twice; texts are read again instead.
         """
         docs = self.documents()
-        plan = written_table(enrichment.change_plan(docs, self.config.embed_model))
+        plan = enrichment.change_plan(docs, self.config.embed_model)
         fresh = written_table(embedded(enrichment.new_chunks(plan, self.config.target_chars, self.config.overlap_chars), embedder))
         done, counts = observed(enrichment.outcomes(plan, fresh), "action", ("process", "skip", "failed"))
         chunks = enrichment.replaced_chunks(self.chunks(), fresh, done).withColumn("id", F.xxhash64("document_id", "ordinal"))
@@ -295,7 +295,7 @@ class Corpus:
     def enrich(self, enricher: Enricher) -> DataFrame:
         """Summaries, keywords and memberships of what changed; a failed document keeps what it had. Returns the report."""
         docs, sets, memberships = self.documents(), self.sets(), self.memberships()
-        plan = written_table(enrichment.change_plan(docs, self.config.enrich_model, "enriched_hash"))
+        plan = enrichment.change_plan(docs, self.config.enrich_model, "enriched_hash")
         # the sets are part of every prompt
         prompts = [(r["name"], r["description"]) for r in sets.orderBy("name").select("name", "description").collect()]
         replies = written_table(enrichments(plan.where("action = 'process'"), enricher, prompts))

@@ -27,9 +27,9 @@ def new_chunks(plan: DataFrame, target: int = 4000, overlap: int = 400) -> DataF
 
 
 def outcomes(plan: DataFrame, tried: DataFrame, key: str = "document_id") -> DataFrame:
-    """``plan`` with ``action`` skip, process, or failed where any row of ``tried`` has an ``error``."""
+    """``plan`` without its texts, with ``action`` skip, process, or failed where any row of ``tried`` has an ``error``."""
     failed = tried.where("error is not null").select(F.col(key).alias("id"), F.lit(True).alias("failed")).distinct()
-    return plan.join(failed, "id", "left").withColumn("action", F.when(F.col("failed") & (F.col("action") == "process"), "failed").otherwise(F.col("action"))).drop("failed")
+    return plan.drop("body").join(failed, "id", "left").withColumn("action", F.when(F.col("failed") & (F.col("action") == "process"), "failed").otherwise(F.col("action"))).drop("failed")
 
 
 def replaced_chunks(chunks: DataFrame, fresh: DataFrame, done: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""What tasks hold: bounded slices of texts."""
+"""What tasks hold and what runs write: bounded slices of texts, and no text beside the tables themselves."""
 
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from corpusmill import models
+from corpusmill import api, models
 from corpusmill.functions import text
+from corpusmill.models import FirstWords, HashEmbedder
+from corpusmill.operators import status
 
 
 class Rows:
@@ -40,3 +42,19 @@ def test_tasks_hold_and_give_out_slices_of_a_batch(spark):
     found = list(docs.run(iter([batch])))
     assert max(b.num_rows for b in found) == models.SLICE
     assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(i, t, None if t is None else [float(len(t)), 0.5], "no text" if t is None else None) for i, t in enumerate(texts)]
+
+
+def test_runs_write_no_text_beside_chunks_and_documents(spark, tmp_path, monkeypatch):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    for i in range(3):
+        (notes / f"n{i}.md").write_text(f"# Note {i}\nsome words")
+    corpus = api.Corpus(spark, str(tmp_path / "store"))
+    corpus.sync_vault(str(notes))
+    written = []
+    for module in (api, status):
+        monkeypatch.setattr(module, "written_table", lambda rows, write=module.written_table: written.append(rows.columns) or write(rows))
+    assert {r["outcome"]: r["n"] for r in corpus.index(HashEmbedder()).collect()} == {"process": 3}
+    assert {r["outcome"]: r["n"] for r in corpus.enrich(FirstWords()).collect()} == {"process": 3}
+    assert len(written) >= 4 and not any("body" in columns for columns in written)
+    assert {r["outcome"]: r["n"] for r in corpus.index(HashEmbedder()).collect()} == {"skip": 3}
