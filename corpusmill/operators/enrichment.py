@@ -35,12 +35,13 @@ def outcomes(plan: DataFrame, tried: DataFrame, key: str = "document_id") -> Dat
 def replaced_chunks(chunks: DataFrame, fresh: DataFrame, done: DataFrame) -> DataFrame:
     """The chunk table after a run: ``fresh`` chunks of the processed documents in ``done``, all others as they were.
 
-    So a document whose embedding failed keeps its chunks and vectors.
+    So a document whose embedding failed keeps its chunks and vectors. ``fresh`` tells where a row comes from.
     """
     work = done.where("action = 'process'").select(F.col("id").alias("document_id"))
     names = ("document_id", "ordinal", "text", "token_count", "embedding")
     old = chunks.join(work, "document_id", "left_anti").withColumn("token_count", token_estimate(F.col("text")))
-    return old.select(*names).unionByName(fresh.join(work, "document_id", "left_semi").select(*names))
+    new = fresh.join(work, "document_id", "left_semi")
+    return old.select(*names, F.lit(False).alias("fresh")).unionByName(new.select(*names, F.lit(True).alias("fresh")))
 
 
 def stamped(docs: DataFrame, done: DataFrame, column: str) -> DataFrame:

@@ -58,7 +58,7 @@ class Tables:
         return index_of(self.chunks().drop("text"), [self.raw("embeddings"), self.raw("documents")], self.sf_dir, VectorIndex)
 
     def chunks(self) -> DataFrame:
-        rows = self.raw("embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("document_id"), (F.col("vec_id") % 2).cast("int").alias("ordinal"), "embedding")
+        rows = self.raw("embeddings").select(F.expr("vec_id div 2").alias("document_id"), (F.col("vec_id") % 2).cast("int").alias("ordinal"), "embedding")
         texts = self.raw("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("whole"))
         return rows.join(texts, "document_id").select("document_id", "ordinal", F.expr("substring(whole, ordinal * 400 + 1, 400)").alias("text"), "embedding")
 
